@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbaloom.llm import neighbours
+from verbaloom.llm import fuzzy, neighbours
 from verbaloom.session import table
 
 
@@ -12,8 +12,18 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, base, "tm_entries"), "entry_id", "embedding", k=5, dim=96)
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return fuzzy.duplicate_pairs(table(spark, base, "tm_entries"), "entry_id", ["source", "target"])
+
+
+def p2_groups(spark: SparkSession, base: str) -> DataFrame:
+    return fuzzy.duplicate_groups(table(spark, base, "tm_entries"), "entry_id", ["source", "target"])
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
 }
 
 SQL: dict[str, str] = {}
