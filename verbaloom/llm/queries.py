@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verbaloom.llm import fuzzy, neighbours
+from verbaloom.llm import fuzzy, language, neighbours
 from verbaloom.session import table
 
 
@@ -20,10 +21,28 @@ def p2_groups(spark: SparkSession, base: str) -> DataFrame:
     return fuzzy.duplicate_groups(table(spark, base, "tm_entries"), "entry_id", ["source", "target"])
 
 
+def languages(spark: SparkSession, base: str) -> list[str]:
+    """The codes of the small fixed table."""
+    return sorted(r.code for r in table(spark, base, "lang_codes").select("code").distinct().collect())
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    found = language.mislabelled(table(spark, base, "tm_entries"), "entry_id", "target", "lang", languages(spark, base))
+    return found.select(F.col("id").alias("entry_id"), "found_lang")
+
+
+def p3_segments(spark: SparkSession, base: str) -> DataFrame:
+    entries, codes = table(spark, base, "tm_entries"), languages(spark, base)
+    net = language.fit(entries, "entry_id", "target", "lang", codes)
+    return language.languages(entries.dropDuplicates(["entry_id"]), "entry_id", "target", net, by_segment=True)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
 }
 
 SQL: dict[str, str] = {}
