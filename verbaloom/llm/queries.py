@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbaloom.llm import fuzzy, language, neighbours
+from verbaloom.llm import canonical, fuzzy, language, leakage, neighbours
 from verbaloom.session import table
 
 
@@ -37,12 +37,35 @@ def p3_segments(spark: SparkSession, base: str) -> DataFrame:
     return language.languages(entries.dropDuplicates(["entry_id"]), "entry_id", "target", net, by_segment=True)
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    both = canonical.look_alikes(table(spark, base, "demo"), "pair_id", "source", table(spark, base, "tm_entries"), "entry_id", "source")
+    return both.select(F.col("left_id").alias("pair_id"), F.col("right_id").alias("entry_id"))
+
+
+def p5_forms(spark: SparkSession, base: str) -> DataFrame:
+    return canonical.canonical(table(spark, base, "demo").dropDuplicates(["pair_id"]), "pair_id", "source")
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    found = leakage.leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id")
+
+
+def p7_removed(spark: SparkSession, base: str) -> DataFrame:
+    cut = leakage.remove_leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "text")
+    return cut.filter("removed_words > 0")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
+    "p5_found": p5_found,
+    "p5_forms": p5_forms,
+    "p7_found": p7_found,
+    "p7_removed": p7_removed,
 }
 
 SQL: dict[str, str] = {}
