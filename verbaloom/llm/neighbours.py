@@ -7,7 +7,7 @@ that still holds about ``block`` vectors; that is the level to which a query wou
 candidates. All vectors under one prefix are compared with each other in blocks by matrix
 products, and the trees' candidates are merged. Every vector is indexed and every vector is a query.
 
-The sample (``sample`` vectors, the smallest by a hash of their id) fits hyperplanes and estimates
+The sample (``sample`` vectors, chosen by a hash of their id) fits hyperplanes and estimates
 sizes only. Work is n * block * trees, whatever the size of the collection.
 """
 
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbaloom.llm.sampling import hash_sample
+
 TAIL = 24
 
 
@@ -157,8 +159,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & usable("vec", dim))
-    some = base.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas().drop_duplicates("id")
-    total = base.count() if len(some) else 0
+    total = base.count()
+    some = hash_sample(base, "id", sample, total).toPandas().drop_duplicates("id")
     made = [Tree(_unit(some.vec, dim), 32, 17 + t) for t in range(trees)] if len(some) else []
     scale = total / max(1, len(some))
     shared = spark.sparkContext.broadcast(made)
