@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbaloom.llm import canonical, fuzzy, language, leakage, neighbours
+from verbaloom.llm import canonical, fuzzy, language, leakage, neighbours, residue
 from verbaloom.session import table
 
 
@@ -56,6 +56,14 @@ def p7_removed(spark: SparkSession, base: str) -> DataFrame:
     return cut.filter("removed_words > 0")
 
 
+def p8_kinds(spark: SparkSession, base: str) -> DataFrame:
+    return residue.residue(table(spark, base, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return p8_kinds(spark, base).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -66,6 +74,8 @@ QUERIES = {
     "p5_forms": p5_forms,
     "p7_found": p7_found,
     "p7_removed": p7_removed,
+    "p8_found": p8_found,
+    "p8_kinds": p8_kinds,
 }
 
 SQL: dict[str, str] = {}
