@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbaloom.llm import canonical, fuzzy, language, leakage, neighbours, residue
+from verbaloom.llm import canonical, fuzzy, language, leakage, neighbours, pairs, residue
 from verbaloom.session import table
 
 
@@ -37,6 +37,11 @@ def p3_segments(spark: SparkSession, base: str) -> DataFrame:
     return language.languages(entries.dropDuplicates(["entry_id"]), "entry_id", "target", net, by_segment=True)
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    found = pairs.defects(table(spark, base, "demo"), langs=languages(spark, base))
+    return found.select(F.col("id").alias("pair_id"), "defect")
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     both = canonical.look_alikes(table(spark, base, "demo"), "pair_id", "source", table(spark, base, "tm_entries"), "entry_id", "source")
     return both.select(F.col("left_id").alias("pair_id"), F.col("right_id").alias("entry_id"))
@@ -70,6 +75,7 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p7_found": p7_found,
