@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbaloom.llm import canonical, fuzzy, language, leakage, neighbours, pairs, residue
+from verbaloom.llm import canonical, fuzzy, language, leakage, neighbours, packing, pairs, residue
 from verbaloom.session import table
 
 
@@ -51,6 +51,15 @@ def p5_forms(spark: SparkSession, base: str) -> DataFrame:
     return canonical.canonical(table(spark, base, "demo").dropDuplicates(["pair_id"]), "pair_id", "source")
 
 
+def p6_packed(spark: SparkSession, base: str) -> DataFrame:
+    capacities = [r.capacity for r in table(spark, base, "pack_sizes").select("capacity").distinct().collect()]
+    return packing.pack(table(spark, base, "documents"), "doc_id", "text", capacities)
+
+
+def p6_fill(spark: SparkSession, base: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, base))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     found = leakage.leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "text")
     return found.select("doc_id", "item_id")
@@ -78,6 +87,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_removed": p7_removed,
     "p8_found": p8_found,
