@@ -1 +1 @@
-"""functions of the engine."""
+"""Functions of the engine."""

@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources of the engine."""

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Structured Streaming versions of the operators."""
