@@ -28,7 +28,7 @@ def link_labels(c: Column) -> Column:
 
 
 def link_urls(c: Column) -> Column:
-    return F.transform(_all(c, LINK, 2), F.trim)
+    return F.transform(_all(c, LINK, 2), lambda u: F.trim(u))
 
 
 def image_labels(c: Column) -> Column:
@@ -36,7 +36,7 @@ def image_labels(c: Column) -> Column:
 
 
 def image_urls(c: Column) -> Column:
-    return F.transform(_all(c, IMAGE, 2), F.trim)
+    return F.transform(_all(c, IMAGE, 2), lambda u: F.trim(u))
 
 
 def code_spans(c: Column) -> Column:

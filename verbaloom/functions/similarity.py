@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from verbaloom.functions.text import normalised, text_or_empty
 
@@ -22,7 +23,7 @@ DIM = 96
 RATIO_SHARE, JACCARD_SHARE, SEMANTIC_SHARE, LEXICAL_SHARE = 0.72, 0.28, 0.78, 0.22
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of two normalised texts. Null counts as empty; two empty texts are alike."""
     out = []
@@ -90,7 +91,7 @@ def hashed_vector(text: str | None, dim: int = DIM) -> list[float]:
     return (v / norm if norm else v).tolist()
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def hashed_vectors(text: pd.Series) -> pd.Series:
     """One vector for each different text of the batch."""
     codes, values = pd.factorize(text)

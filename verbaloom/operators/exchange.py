@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from verbaloom.functions import text as T
 from verbaloom.operators.catalogue import resolved
@@ -76,7 +77,7 @@ def po_merged(catalogue: DataFrame, entries: DataFrame, keys: list[str], blank_t
     return joined.select(*[target.alias(c) if c == "target" else status.alias(c) if c == "status" else F.col(c) for c in catalogue.columns])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xliff_text(text: pd.Series) -> pd.Series:
     """Escaped text in which code, placeholders and tags are numbered elements."""
 

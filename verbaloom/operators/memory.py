@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,60 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "entry_id", "score", "rank")
 
 
+def exact_nearest(rows: DataFrame, ident: str, vector: str, k: int, dim: int, every: int = 50, block: int = 2048) -> DataFrame:
+    """(query_id, entry_id, cosine, rank): for ids divisible by ``every``, the k nearest of all usable vectors, exactly.
+
+    Query blocks meet chunks of rows: each task multiplies one block by one chunk and keeps k of it, and the
+    chunks' lists are merged. Nothing is broadcast; memory is a block and a chunk, whatever the table's size.
+    """
+    v = F.col(vector)
+    good = v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    base = rows.filter(good & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("i"), v.cast("array<double>").alias("v"))
+    asked = base.filter(F.col("i") % every == 0)
+    blocks = max(1, math.ceil(asked.count() / block))
+    chunks = max(1, math.ceil(base.count() / (8 * block)))
+    part = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    left = asked.withColumn("b", part(blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = base.withColumn("c", part(chunks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def multiply(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": [], "entry_id": [], "cosine": []}).astype({"query_id": "int64", "entry_id": "int64", "cosine": "float64"})
+        r = r.sort_values("i")
+        x, y = (np.stack(d.v.to_numpy()) for d in (q, r))
+        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        s = x @ y.T
+        ids = r.i.to_numpy()
+        s[q.i.to_numpy()[:, None] == ids[None, :]] = -9
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"query_id": np.repeat(q.i.to_numpy(), top.shape[1]), "entry_id": ids[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
+        return out[out.cosine > -5]
+
+    near = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(multiply, "query_id long, entry_id long, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "entry_id")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def by_words(rows: DataFrame, least: int, of: int, every: int = 50) -> DataFrame:
+    """(query_id, entry_id, shared, together): pairs of one language that share at least least/of of their different words.
+
+    Queries are the ids divisible by ``every``. Rows meet on rare words only: of n words ordered by how many
+    rows hold them, two sets this similar share one of the first n - ceil(n * least / of) + 1.
+    """
+    words = rows.filter("source is not null and lang is not null").select(F.col("entry_id").alias("i"), "lang", S.tokens(F.col("source")).alias("w")).filter(F.size("w") > 0)
+    each = words.select("i", "lang", F.explode("w").alias("t"))
+    held = each.groupBy("lang", "t").agg(F.count("*").alias("df"))
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"])
+    ranked = each.join(held, ["lang", "t"]).groupBy("i", "lang").agg(rarest.alias("w"))
+    keep = F.size("w") - F.ceil(F.size("w") * F.lit(least / of) - 1e-9).cast("int") + 1
+    keyed = ranked.select("i", "lang", "w", F.explode(F.slice("w", F.lit(1), keep)).alias("t"))
+    a, b = keyed.filter(F.col("i") % every == 0).alias("a"), keyed.alias("b")
+    met = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.i") != F.col("b.i")))
+    shared = F.size(F.array_intersect("a.w", "b.w")).cast("long")
+    both = met.select(F.col("a.i").alias("query_id"), F.col("b.i").alias("entry_id"), shared.alias("shared"), (F.size("a.w") + F.size("b.w") - shared).alias("together"))
+    return both.filter(F.col("shared") * of >= F.col("together") * least).distinct()
+
+
 def backfill(memory: DataFrame) -> DataFrame:
     """Vectors for entries that lack one; the others aren't computed again."""
     lacking = memory.filter("embedding is null").withColumns({"embedding": S.hashed_vectors("source"), "embedding_backend": F.lit("hash-ngram")})

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from verbaloom.functions import markup as M
 from verbaloom.functions import text as T
@@ -92,7 +93,7 @@ def with_missing_markup(source: Column, target: Column) -> Column:
     return F.trim(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def with_source_urls(source: pd.Series, target: pd.Series) -> pd.Series:
     """The target with the source's addresses put into its links by position, if there are as many."""
     link = re.compile(M.LINK)

@@ -56,7 +56,12 @@ def relevant_terms(texts: DataFrame, ident: str, text: str, glossary: DataFrame)
     if not sizes:
         return texts.limit(0).select(F.col(ident), F.lit("").alias("source"), F.lit("").alias("target"), F.lit("").alias("note"))
     low = texts.select(F.col(ident).alias("_id"), F.lower(F.col(text)).alias("_low"), words(F.col(text)).alias("_w"))
-    runs = [F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - (n - 1))), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]
+
+    def runs_of(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - (n - 1))), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return F.when(F.size("_w") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    runs = [runs_of(n) for n in sizes]
     keyed = low.select("_id", "_low", F.explode(F.array_distinct(F.concat(*runs))).alias("key"))
     hit = keyed.join(terms, "key").filter(F.contains(F.col("_low"), F.lower(F.col("source"))))
     return hit.select(F.col("_id").alias(ident), "source", "target", "note")
