@@ -49,7 +49,7 @@ def relevant_terms(texts: DataFrame, ident: str, text: str, glossary: DataFrame)
     Each text is cut into runs of words up to the longest term, and those are joined with the terms; no
     text meets a term it doesn't hold. A glossary row that repeats counts once.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
     terms = glossary.filter("source <> ''").select("source", F.coalesce("target", F.lit("")).alias("target"), F.coalesce("note", F.lit("")).alias("note")).distinct()
     terms = terms.withColumn("w", words(F.col("source"))).withColumn("n", F.size("w")).withColumn("key", F.array_join("w", " ")).filter("n > 0")
     sizes = sorted(r.n for r in terms.select("n").distinct().collect())  # a few small numbers
