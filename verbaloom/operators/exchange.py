@@ -178,7 +178,7 @@ def html_documents(segs: DataFrame, keys: list[str], columns: int = 2) -> DataFr
         .otherwise(t)
     )
     glue = F.when((F.col("kind") == "table_cell") & (place % columns != 0), "").otherwise("\n")
-    return runs.withColumn("piece", F.concat(glue, piece)).groupBy(*keys).agg(F.ltrim(ordered(F.col("piece"), "")).alias("html"))
+    return runs.withColumn("piece", F.concat(glue, piece)).groupBy(*keys).agg(F.regexp_replace(ordered(F.col("piece"), ""), r"\A\n", "").alias("html"))
 
 
 def shown(catalogue: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _whole(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     if not _exists(path):
         return spark.createDataFrame([], "path string, text string")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def markdown(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md", "mdx")) -> DataFrame:
