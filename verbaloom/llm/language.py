@@ -150,8 +150,10 @@ def train(parts: list[bytes], labels: np.ndarray, langs: list[str], hidden: int
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     of = [np.flatnonzero(labels == i) for i in range(len(langs))]
     have = [i for i in range(len(langs)) if len(of[i])]
+    # Before it could learn single wrong labels by heart: after three passes, at most half of the steps.
+    doubt = min(steps // 2, max(40, 3 * len(parts) // batch))
     for step in range(1, steps + 1):
-        if step == steps // 2:  # by now it knows better than the wrong labels
+        if step == doubt:
             ok = np.zeros(len(parts), bool)
             for lo in range(0, len(parts), 1024):
                 x, sizes = rows_of([p[:window] for p in parts[lo : lo + 1024]])
@@ -199,7 +201,7 @@ def fit(texts: DataFrame, id_col: str, text_col: str, label_col: str, langs: lis
     """Train on at most ``sample`` rows whose label is one of ``langs``; the only rows that reach the driver."""
     usable = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), code_of(F.col(label_col)).alias("lang")).filter(F.col("lang").isin(langs) & (F.length("text") > 0))
     parts, labels = [], []
-    for r in hash_sample(usable, "id", sample).toPandas().sort_values("id").itertuples():
+    for r in hash_sample(usable, "id", sample).toPandas().drop_duplicates("id").sort_values("id").itertuples():
         for p in segments_of(r.text):
             if len(LETTERS.findall(p)) >= 3:
                 parts.append(as_bytes(p))

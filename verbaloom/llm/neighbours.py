@@ -114,7 +114,7 @@ class Tree:
             elif want > 1 and self.kids[at][0] < 0:  # deeper than the sample reaches: bits of the tail
                 bits = min(TAIL, math.ceil(math.log2(want)))
                 low = (x[rows] @ self.tail[:, :bits]) > self.mid[at][:bits]
-                out[rows] = [f"{self.path[at]}.{''.join('01'[b] for b in r)}" for r in low]
+                out[rows] = [f"{self.path[at]}.{''.join('01'[int(b)] for b in r)}" for r in low]
         return out
 
 
