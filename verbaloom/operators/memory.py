@@ -84,52 +84,98 @@ def length_bucket(length: Column, share: float) -> Column:
     return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(math.log(1 / share)))
 
 
-def _pairs(queries: DataFrame, memory: DataFrame, share: float) -> DataFrame:
-    """Pairs of one language whose lengths allow the score: an equi-join on language and length bucket."""
-    q = queries.select("query_id", F.col("lang"), F.col("norm").alias("q_norm"), F.col("words").alias("q_words"), F.explode(F.array(*(length_bucket(F.length("norm"), share) + d for d in (-1, 0, 1)))).alias("bucket"))
-    m = memory.withColumn("bucket", length_bucket(F.length("norm"), share))
-    short, long = F.least(F.length("q_norm"), F.length("norm")), F.greatest(F.length("q_norm"), F.length("norm"))
-    return q.join(m, ["lang", "bucket"]).drop("bucket").filter(short >= long * F.lit(share))
+def _rare_words(df: DataFrame, ident: str, share: float) -> DataFrame:
+    """(ident, lang, word): of n words ordered by how many rows hold them, the first n - ceil(n * share) + 1.
+
+    Two sets of which at least ``share`` of all words are common have one of these in common.
+    """
+    each = df.select(F.col(ident), "lang", F.explode("words").alias("word"))
+    held = each.groupBy("lang", "word").agg(F.count("*").alias("df"))
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"])
+    ranked = each.join(held, ["lang", "word"]).groupBy(ident, "lang").agg(rarest.alias("w"))
+    keep = F.size("w") - F.ceil(F.size("w") * F.lit(share) - 1e-9).cast("int") + 1
+    return ranked.select(ident, "lang", F.explode(F.slice("w", F.lit(1), keep)).alias("word"))
+
+
+def _meeting(q: DataFrame, m: DataFrame, share: float, length_share: float) -> DataFrame:
+    """(query_id, entry_id) that can reach a word overlap of ``share``; without such a bound, by length buckets."""
+    if share > 0:
+        # One order of words for both sides: it is taken over the queries and the memory together.
+        both = q.select(F.concat(F.lit("q"), "query_id").alias("i"), "lang", "words").unionByName(m.select(F.concat(F.lit("m"), "entry_id").alias("i"), "lang", "words"))
+        rare = _rare_words(both, "i", share)
+        side = lambda tag, name: rare.filter(F.startswith("i", F.lit(tag))).select(F.substring("i", 2, 40).cast("long").alias(name), "lang", "word")
+        return side("q", "query_id").join(side("m", "entry_id"), ["lang", "word"]).select("query_id", "entry_id").distinct()
+    left = q.select("query_id", "lang", F.explode(F.array(*(length_bucket(F.length("norm"), length_share) + d for d in (-1, 0, 1)))).alias("bucket"))
+    return left.join(m.select("entry_id", "lang", length_bucket(F.length("norm"), length_share).alias("bucket")), ["lang", "bucket"]).select("query_id", "entry_id")
 
 
 def _prepared(df: DataFrame, ident: str, source: str, extra: list[str]) -> DataFrame:
     text = T.normalised(F.col(source))
-    return df.select(F.col(ident), "lang", text.alias("norm"), S.tokens(F.col(source)).alias("words"), *extra).filter("norm <> '' and lang is not null")
+    return df.select(F.col(ident).cast("long").alias(ident), "lang", text.alias("norm"), S.tokens(F.col(source)).alias("words"), *extra).filter("norm <> '' and lang is not null")
+
+
+def _joined(pairs: DataFrame, q: DataFrame, m: DataFrame) -> DataFrame:
+    return pairs.join(q.withColumnsRenamed({"norm": "q_norm", "words": "q_words", "lang": "q_lang"}), "query_id").join(m, "entry_id")
+
+
+def _by_words(q: DataFrame, m: DataFrame, least: float) -> DataFrame:
+    """(query_id, entry_id) whose words and lengths allow the lexical score; nothing that reaches it is lost."""
+    length_share = max(0.05, S.shortest_for_lexical(least))
+    share = max(0.0, (least - 5e-5 - S.RATIO_SHARE) / S.JACCARD_SHARE)
+    rows = _joined(_meeting(q, m, share, length_share), q, m)
+    short, long = F.least(F.length("q_norm"), F.length("norm")), F.greatest(F.length("q_norm"), F.length("norm"))
+    return rows.filter((short >= long * F.lit(length_share)) & (S.jaccard(F.col("q_words"), F.col("words")) >= F.lit(share))).select("query_id", "entry_id")
 
 
 def fuzzy_lexical(queries: DataFrame, memory: DataFrame, least: float, k: int) -> DataFrame:
     """(query_id, entry_id, score, rank): the k entries of the query's language with the best lexical score.
 
-    Two bounds that lose nothing come first and native: the quotient of the lengths, by buckets that make an
-    equi-join, and the word overlap the score needs. Only what they leave is scored. Ties: later update, then id.
+    Bounds that lose nothing come first and native: rows meet on rare words they must share (from 0.72 up;
+    below, on neighbouring lengths), then length and word overlap thin them out. Only the rest is scored.
+    Ties: later update, then id. Null or empty sources and null languages match nothing.
     """
-    q = _prepared(queries, "query_id", "source", [])
-    m = _prepared(memory, "entry_id", "source", ["updated_at"])
-    pairs = _pairs(q, m, max(0.05, S.shortest_for_lexical(least)))
-    overlap = S.jaccard(F.col("q_words"), F.col("words"))
-    near = pairs.withColumn("jaccard", overlap).filter(F.lit(least - 5e-5) <= F.lit(S.RATIO_SHARE) + F.lit(S.JACCARD_SHARE) * F.col("jaccard"))
-    scored = near.withColumn("score", S.lexical(S.ratio("q_norm", "norm"), F.col("jaccard"))).filter(F.col("score") >= least)
-    return _top(scored, k)
+    q, m = _prepared(queries, "query_id", "source", []), _prepared(memory, "entry_id", "source", ["updated_at"])
+    near = _joined(_by_words(q, m, least), q, m)
+    return _top(near.withColumn("score", S.lexical(S.ratio("q_norm", "norm"), S.jaccard(F.col("q_words"), F.col("words")))).filter(F.col("score") >= least), k)
 
 
 def fuzzy_hybrid(queries: DataFrame, memory: DataFrame, least: float, k: int) -> DataFrame:
     """The same with the hybrid score; both tables bring ``vector`` (unit, or null).
 
-    A pair can qualify by words or by vectors, so the bound on the vectors decides on the pairs that the
-    bounds on the words leave out: sem >= (least - 0.22) / 0.78.
+    A pair can qualify by words or by vectors: to the pairs of the lexical search come those whose cosine
+    is at least (least - 0.22) / 0.78, from products of query blocks and chunks of the memory.
     """
     q = _prepared(queries, "query_id", "source", [F.col("vector").alias("q_vector")])
     m = _prepared(memory, "entry_id", "source", ["updated_at", "vector"])
-    pairs = q.withColumnsRenamed({"norm": "q_norm", "words": "q_words"}).join(m, "lang")
+    by_vector = above(q.select(F.col("query_id").alias("i"), "lang", F.col("q_vector").alias("v")), m.select(F.col("entry_id").alias("i"), "lang", F.col("vector").alias("v")), (least - 5e-5 - S.LEXICAL_SHARE) / S.SEMANTIC_SHARE)
+    pairs = _by_words(q, m, least).unionByName(by_vector).distinct()
     sem = F.coalesce(S.cosine(F.col("q_vector"), F.col("vector")), F.lit(0.0))
-    short, long = F.least(F.length("q_norm"), F.length("norm")), F.greatest(F.length("q_norm"), F.length("norm"))
-    pairs = pairs.withColumn("sem", sem).withColumn("jaccard", S.jaccard(F.col("q_words"), F.col("words")))
-    by_words = (short >= long * F.lit(S.shortest_for_lexical(least))) & (F.lit(least - 5e-5) <= F.lit(S.RATIO_SHARE) + F.lit(S.JACCARD_SHARE) * F.col("jaccard"))
-    by_vector = F.col("sem") >= F.lit((least - 5e-5 - S.LEXICAL_SHARE) / S.SEMANTIC_SHARE)
-    scored = pairs.filter(by_words | by_vector).withColumn("lex", S.lexical(S.ratio("q_norm", "norm"), F.col("jaccard"))).withColumn("score", F.round(S.hybrid(F.col("lex"), F.col("sem")), 4))
+    scored = _joined(pairs, q, m).withColumn("lex", S.lexical(S.ratio("q_norm", "norm"), S.jaccard(F.col("q_words"), F.col("words")))).withColumn("score", F.round(S.hybrid(F.col("lex"), sem), 4))
     return _top(scored.filter(F.col("score") >= least), k)
 
 
+def _blocks(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt out so that every block of the left (b) meets every chunk of the right (c) once."""
+    blocks = max(1, math.ceil(left.count() / block))
+    chunks = max(1, math.ceil(right.count() / (8 * block)))
+    part = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    a = left.withColumn("b", part(blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return a, right.withColumn("c", part(chunks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def above(queries: DataFrame, rows: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """(query_id, entry_id) of one language whose unit vectors (i, lang, v) have a product of at least ``least``."""
+    a, b = _blocks(queries.filter("v is not null"), rows.filter("v is not null"), block)
+
+    def multiply(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": [], "entry_id": []}, dtype="int64")
+        x, y = np.nonzero(np.stack(q.v.to_numpy()).astype(np.float64) @ np.stack(r.v.to_numpy()).astype(np.float64).T >= least - 1e-6)
+        return pd.DataFrame({"query_id": q.i.to_numpy()[x], "entry_id": r.i.to_numpy()[y]})
+
+    return a.groupBy("lang", "b", "c").cogroup(b.groupBy("lang", "b", "c")).applyInPandas(multiply, "query_id long, entry_id long")
+
+
 def _top(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "entry_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "entry_id", "score", "rank")
@@ -144,12 +190,7 @@ def exact_nearest(rows: DataFrame, ident: str, vector: str, k: int, dim: int, ev
     v = F.col(vector)
     good = v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     base = rows.filter(good & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("i"), v.cast("array<double>").alias("v"))
-    asked = base.filter(F.col("i") % every == 0)
-    blocks = max(1, math.ceil(asked.count() / block))
-    chunks = max(1, math.ceil(base.count() / (8 * block)))
-    part = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
-    left = asked.withColumn("b", part(blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = base.withColumn("c", part(chunks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = _blocks(base.filter(F.col("i") % every == 0), base, block)
 
     def multiply(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
@@ -175,18 +216,14 @@ def by_words(rows: DataFrame, least: int, of: int, every: int = 50) -> DataFrame
     Queries are the ids divisible by ``every``. Rows meet on rare words only: of n words ordered by how many
     rows hold them, two sets this similar share one of the first n - ceil(n * least / of) + 1.
     """
-    words = rows.filter("source is not null and lang is not null").select(F.col("entry_id").alias("i"), "lang", S.tokens(F.col("source")).alias("w")).filter(F.size("w") > 0)
-    each = words.select("i", "lang", F.explode("w").alias("t"))
-    held = each.groupBy("lang", "t").agg(F.count("*").alias("df"))
-    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"])
-    ranked = each.join(held, ["lang", "t"]).groupBy("i", "lang").agg(rarest.alias("w"))
-    keep = F.size("w") - F.ceil(F.size("w") * F.lit(least / of) - 1e-9).cast("int") + 1
-    keyed = ranked.select("i", "lang", "w", F.explode(F.slice("w", F.lit(1), keep)).alias("t"))
-    a, b = keyed.filter(F.col("i") % every == 0).alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.i") != F.col("b.i")))
-    shared = F.size(F.array_intersect("a.w", "b.w")).cast("long")
-    both = met.select(F.col("a.i").alias("query_id"), F.col("b.i").alias("entry_id"), shared.alias("shared"), (F.size("a.w") + F.size("b.w") - shared).alias("together"))
-    return both.filter(F.col("shared") * of >= F.col("together") * least).distinct()
+    words = rows.filter("source is not null and lang is not null").select(F.col("entry_id").alias("i"), "lang", S.tokens(F.col("source")).alias("words")).filter(F.size("words") > 0)
+    rare = _rare_words(words, "i", least / of)
+    met = rare.filter(F.col("i") % every == 0).withColumnRenamed("i", "q").join(rare, ["lang", "word"]).filter("q <> i").select("q", "i").distinct()
+    own = words.select("i", "words")
+    both = met.join(own.withColumnsRenamed({"i": "q", "words": "q_words"}), "q").join(own, "i")
+    shared = F.size(F.array_intersect("q_words", "words")).cast("long")
+    out = both.select(F.col("q").alias("query_id"), F.col("i").alias("entry_id"), shared.alias("shared"), (F.size("q_words") + F.size("words") - shared).alias("together"))
+    return out.filter(F.col("shared") * of >= F.col("together") * least)
 
 
 def backfill(memory: DataFrame) -> DataFrame:
