@@ -125,16 +125,21 @@ class Fingerprints:
 
 
 def common_words(text: Column, records: DataFrame, common: float) -> dict[str, int]:
-    """Inverse weight (from 4) of each word that more than ``common`` of the records hold."""
-    total = records.count()
-    held = records.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("w")).filter("w <> ''")
+    """Inverse weight (from 4) of each word that more than ``common`` of the different texts hold.
+
+    Copies count once, so that the words of a text that much of the table repeats keep their weight.
+    """
+    once = records.groupBy(F.xxhash64(text).alias("h")).agg(F.first(text).alias("text"))
+    total = once.count()
+    text = F.col("text")
+    held = once.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("w")).filter("w <> ''")
     often = held.groupBy("w").count().filter(F.col("count") >= F.lit(common * total)).collect()
     full = math.log(1 / common)
-    return {r.w: min(1023, round(4 / max(0.05, math.log(total / min(total, r["count"])) / full) ** 2)) for r in often}
+    return {r.w: min(1023, round(4 / max(0.1, math.log(total / min(total, r["count"])) / full))) for r in often}
 
 
 def near_duplicates(records: DataFrame, id_col: str, text_cols: list[str], threshold: tuple[int, int] = (4, 5),
-                    tables: int = 6, common: float = 0.002, differ: int = 21) -> tuple[DataFrame, DataFrame]:
+                    tables: int = 6, common: float = 0.002, differ: int = 17) -> tuple[DataFrame, DataFrame]:
     """(id, class) of every record with words, and (class_a, class_b, common_words, all_words) of linked classes.
 
     threshold: least share of common words in all words of two multisets, as a fraction. differ: the
