@@ -34,7 +34,7 @@ NAME = r"[^\W\d][\w.\-]*(?: [^\W\d][\w.\-]*){0,3}"  # an identifier or a few wor
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]*\}\}|\{%[^%{}\n]*%\}|\$\{[^{}\n]+\}|<<[^<>\n]+>>|\[\[[^\[\]\n]+\]\]"
     rf"|(?<![\w%])%{NAME}%(?![\w%])|(?<!\w)__[^\W\d_][\w.]*[^\W_]__(?!\w)|(?<![{{$%\w])\{{(?:TODO: ?)?{NAME}\}}(?!\}})"
-    rf"|(?<![\[\]!\w])\[(?:TODO: ?[^\[\]\n]+|{NAME})\](?![\[\](:])|(?<![<\w])<(?:TODO: ?[^<>\n]+|[^\W\d]\w*(?: [^\W\d]\w*){{1,3}}|[A-Z][A-Z_]+|[a-z]+[A-Z_]\w+)>(?!>)"
+    rf"|(?<![\[\]!\w])\[(?=[^\]]{{2}})(?:TODO: ?[^\[\]\n]+|{NAME})\](?![\[\](:])|(?<![<\w])<(?:TODO: ?[^<>\n]+|[^\W\d]\w*(?: [^\W\d]\w*){{1,3}}|[A-Z][A-Z_]+|[a-z]+[A-Z_]\w+)>(?!>)"
 )
 HINT = re.compile(r"[{<\[%]|__")
 TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>")
@@ -199,9 +199,14 @@ def _texts(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
 
 
 def _keys():
-    """Eight tables, each of 16 of the 64 bits."""
-    turned = [F.shiftrightunsigned("sim", 8 * t) if t < 7 else F.shiftrightunsigned("sim", 56).bitwiseOR(F.shiftleft("sim", 8)) for t in range(8)]
-    return F.explode(F.array(*(F.lit(t << 16).cast("long").bitwiseOR(k.bitwiseAND(F.lit(0xFFFF).cast("long"))) for t, k in enumerate(turned)))).alias("key")
+    """Sixteen tables, each of 8 neighbouring bits of the 64, every fourth a new one.
+
+    Lines that differ in seven bits share a table for certain, those that differ in a fifth of them nearly so.
+    Short keys are affordable as one side, the trusted lines, is small: a few hundred skeletons.
+    """
+    bits = F.lit(0xFF).cast("long")
+    turned = [F.shiftrightunsigned("sim", 4 * t) if t < 15 else F.shiftrightunsigned("sim", 60).bitwiseOR(F.shiftleft("sim", 4)) for t in range(16)]
+    return F.explode(F.array(*((F.lit(t << 8).cast("long").bitwiseOR(k.bitwiseAND(bits))).cast("int") for t, k in enumerate(turned)))).alias("key")
 
 
 def near(a: str, b: str) -> float:
@@ -211,7 +216,7 @@ def near(a: str, b: str) -> float:
     return n / (p.total() + q.total() - n)
 
 
-def residue(documents: DataFrame, id_col: str, text_col: str, differ: int = 12, similar: float = 0.8, small: int = 50_000) -> DataFrame:
+def residue(documents: DataFrame, id_col: str, text_col: str, differ: int = 16, similar: float = 0.8, small: int = 50_000) -> DataFrame:
     """(doc_id, kinds): documents with residue, and which: placeholder, filler or message.
 
     differ: most bits in which the SimHash of near lines differs; similar: least similarity of their words.
