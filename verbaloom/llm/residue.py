@@ -28,7 +28,9 @@ from verbaloom.llm.graph import connected_components
 from verbaloom.session import checkpointed
 
 FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
-SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
+#: A code span ends in its own paragraph.
+SPAN = re.compile(r"(?<!`)(`+)(?!`)((?:[^\n]|\n(?![ \t]*(?:\n|[-*+>#|]|\d+[.)])))+?)(?<!`)\1(?!`)")
+OWN_SPAN = re.compile(r"`[^`\n]+`")
 WORD = re.compile(r"[^\W\d_]+|\x01|\x02")
 NAME = r"[^\W\d][\w.\-]*(?: [^\W\d][\w.\-]*){0,3}"  # an identifier or a few words
 PLACEHOLDER = re.compile(
@@ -84,7 +86,9 @@ def lines_of(text: str) -> list[str]:
     if "```" in text or "~~~" in text:
         text = FENCE.sub("\n", text)
     if "`" in text:
-        text = SPAN.sub(" \x03 ", text)
+        # Where every line closes its own spans, a plainer pattern finds the same.
+        own = "``" not in text and all(x.count("`") % 2 == 0 for x in text.split("\n"))
+        text = (OWN_SPAN if own else SPAN).sub(" \x03 ", text)
     return [x for x in text.split("\n") if x.strip()]
 
 
@@ -95,28 +99,32 @@ def skeleton(line: str) -> tuple[tuple[str, ...], bool, bool]:
         marked = PLACEHOLDER.sub(" \x01 ", line)
         slot = "\x01" in marked
         line = TAG.sub(" ", marked)
-    out: list[str] = []
-    latin = total = 0
-    for w in WORD.findall(line.lower()):
-        total += 1
-        if w in LATIN:
+    found = WORD.findall(line.lower())
+    if LATIN.isdisjoint(found):
+        out, latin = found, 0
+    else:
+        out, latin = [], 0
+        for w in found:
+            if w not in LATIN:
+                out.append(w)
+                continue
             latin += 1
             if not out or out[-1] != "\x02":
                 out.append("\x02")
-        else:
-            out.append(w)
     n = len(out)  # a sentence repeated over and over counts once
-    for period in range(1, n // 2 + 1):
-        if n % period == 0 and out == out[:period] * (n // period):
-            out = out[:period]
-            break
-    return tuple(out), slot, total >= 3 and latin >= 0.7 * total
+    if n > 1 and out.count(out[0]) > 1:
+        for period in range(1, n // 2 + 1):
+            if n % period == 0 and out == out[:period] * (n // period):
+                out = out[:period]
+                break
+    return tuple(out), slot, len(found) >= 3 and latin >= 0.7 * len(found)
 
 
 def core(words: tuple[str, ...]) -> tuple[str, ...]:
     """Without the frame of an error message."""
-    kept = tuple(w for w in words if w not in AROUND)
-    return kept or words
+    if AROUND.isdisjoint(words):
+        return words
+    return tuple(w for w in words if w not in AROUND) or words
 
 
 def exemplars() -> list[tuple[str, ...]]:
@@ -132,18 +140,13 @@ def exemplars() -> list[tuple[str, ...]]:
 def simhash(units: list[tuple[str, ...]], known: dict[str, int]) -> np.ndarray:
     """64 bits by unit, each the majority of its words' bits."""
     sizes = np.array([len(u) for u in units], np.int64)
-    h = np.empty(int(sizes.sum()), np.uint64)
-    at = 0
-    for u in units:
-        for w in u:
-            v = known.get(w)
-            if v is None:
-                v = known[w] = xxhash.xxh3_64_intdigest(w)
-            h[at] = v
-            at += 1
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > sizes[:, None], axis=1).view(np.int64).ravel()
+    flat = [w for u in units for w in u]
+    for w in set(flat).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    bits = np.unpackbits(np.array([known[w] for w in flat], np.uint64).view(np.uint8).reshape(-1, 8), axis=1)
+    wide = np.uint16 if sizes.max() < 1 << 16 else np.int64
+    ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=wide)
+    return np.packbits(ones * np.int64(2) > sizes[:, None], axis=1).view(np.int64).ravel()
 
 
 def unit_id(words: tuple[str, ...]) -> int:
@@ -151,7 +154,7 @@ def unit_id(words: tuple[str, ...]) -> int:
 
 
 def _units(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, unit, sim, kind, words): kind 1 a placeholder, 2 pseudo-Latin, 0 neither; words of kind 2 only."""
+    """(doc_id, unit, sim, n, kind, words): n words; kind 1 a placeholder, 2 pseudo-Latin, 0 neither; words of kind 2 only."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -172,10 +175,10 @@ def _units(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                             units.append(words)
                             kinds.append(1 if slot else 2 if latin else 0)
                 if units:
-                    yield pd.DataFrame({"doc_id": docs, "unit": [unit_id(u) for u in units], "sim": simhash(units, known), "kind": kinds, "words": [" ".join(u) if k == 2 else None for u, k in zip(units, kinds, strict=True)]})
+                    yield pd.DataFrame({"doc_id": docs, "unit": [unit_id(u) for u in units], "sim": simhash(units, known), "n": [len(u) for u in units], "kind": kinds, "words": [" ".join(u) if k == 2 else None for u, k in zip(units, kinds, strict=True)]})
 
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    return base.mapInPandas(split, "doc_id long, unit long, sim long, kind int, words string")
+    return base.mapInPandas(split, "doc_id long, unit long, sim long, n int, kind int, words string")
 
 
 def _texts(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int, small: int) -> DataFrame:
@@ -225,8 +228,8 @@ def residue(documents: DataFrame, id_col: str, text_col: str, differ: int = 16,
     spark: SparkSession = documents.sparkSession
     units = checkpointed(_units(documents, id_col, text_col))
     seeds = exemplars()
-    start = spark.createDataFrame(pd.DataFrame({"unit": [unit_id(w) for w in seeds], "sim": simhash(seeds, {}), "words": [" ".join(w) for w in seeds]}), "unit long, sim long, words string")
-    trusted = checkpointed(start.unionByName(units.filter("kind = 2").select("unit", "sim", "words")).dropDuplicates(["unit"]))
+    start = spark.createDataFrame(pd.DataFrame({"unit": [unit_id(w) for w in seeds], "sim": simhash(seeds, {}), "n": [len(w) for w in seeds], "words": [" ".join(w) for w in seeds]}), "unit long, sim long, n int, words string")
+    trusted = checkpointed(start.unionByName(units.filter("kind = 2").select("unit", "sim", "n", "words")).dropDuplicates(["unit"]))
     labelled, frontier, links = trusted.select("unit"), trusted, None
 
     @F.pandas_udf("double")
@@ -234,11 +237,12 @@ def residue(documents: DataFrame, id_col: str, text_col: str, differ: int = 16,
         return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)])
 
     while True:
-        probe = frontier.select(F.col("unit").alias("from"), F.col("sim").alias("other"), _keys())
+        probe = frontier.select(F.col("unit").alias("from"), F.col("sim").alias("other"), F.col("n").alias("m"), _keys())
         n = frontier.count()
-        met = units.filter("kind = 0").select("unit", "doc_id", "sim", _keys()).join(F.broadcast(probe) if n <= small else probe, "key")
-        met = met.filter((F.col("unit") != F.col("from")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= differ))
-        met = met.groupBy("unit", "from", "sim").agg(F.min("doc_id").alias("doc_id")).join(labelled.withColumn("old", F.lit(1)), "unit", "left").filter("old is null").drop("old")
+        met = units.filter("kind = 0").select("unit", "doc_id", "sim", "n", _keys()).join(F.broadcast(probe) if n <= small else probe, "key")
+        # Texts this similar differ in length by no more than the similarity allows.
+        met = met.filter((F.least("n", "m") >= F.greatest("n", "m") * similar) & (F.col("unit") != F.col("from")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= differ))
+        met = met.groupBy("unit", "from", "sim", "n").agg(F.min("doc_id").alias("doc_id")).join(labelled.withColumn("old", F.lit(1)), "unit", "left").filter("old is null").drop("old")
         met = checkpointed(met)
         wanted = met.select("unit", "doc_id").dropDuplicates(["unit"])
         size = wanted.count()
@@ -246,9 +250,9 @@ def residue(documents: DataFrame, id_col: str, text_col: str, differ: int = 16,
             break
         words = _texts(documents, id_col, text_col, wanted, size, small)
         pairs = met.join(words, "unit").join(frontier.select(F.col("unit").alias("from"), F.col("words").alias("of")), "from")
-        linked = checkpointed(pairs.filter(likeness("words", "of") >= similar).select("unit", "from", "sim", "words"))
+        linked = checkpointed(pairs.filter(likeness("words", "of") >= similar).select("unit", "from", "sim", "n", "words"))
         links = linked.select("unit", "from") if links is None else links.unionByName(linked.select("unit", "from"))
-        frontier = checkpointed(linked.dropDuplicates(["unit"]).select("unit", "sim", "words"))
+        frontier = checkpointed(linked.dropDuplicates(["unit"]).select("unit", "sim", "n", "words"))
         if frontier.isEmpty():
             break
         labelled = labelled.unionByName(frontier.select("unit"))
