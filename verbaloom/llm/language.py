@@ -219,6 +219,17 @@ def _judge(parts: list[str], p: np.ndarray, words: int, sure: float) -> dict[int
     return {int(k): float(p[whole & (best == k), k].mean()) for k in np.unique(best[whole])}
 
 
+def _settle(parts: list[str], p: np.ndarray, words: int, sure: float) -> np.ndarray:
+    """Parts too short to tell lean on the languages of the text's whole sentences."""
+    n = np.array([len(LETTERS.findall(x)) for x in parts])
+    whole = (n >= words) & (p.max(1) >= sure)
+    if not whole.any() or whole.all():
+        return p
+    q = p.copy()
+    q[~whole] *= p[whole].mean(0) + 1e-3
+    return q / q.sum(1, keepdims=True)
+
+
 def languages(texts: DataFrame, id_col: str, text_col: str, net: Network, words: int = 4, sure: float = 0.6, by_segment: bool = False) -> DataFrame:
     """(id, found_lang, confidence) for each language of each text; by_segment: (id, segment, part, found_lang, confidence).
 
@@ -241,6 +252,7 @@ def languages(texts: DataFrame, id_col: str, text_col: str, net: Network, words:
                         mine = p[at : at + len(s)]
                         at += len(s)
                         if by_segment:
+                            mine = _settle(s, mine, words, sure)
                             rows += [(i, n, x, own.langs[int(q.argmax())], float(q.max())) for n, (x, q) in enumerate(zip(s, mine, strict=True))]
                         else:
                             rows += [(i, own.langs[k], c) for k, c in _judge(s, mine, words, sure).items()]
