@@ -8,6 +8,7 @@ texts look the same if their display forms are equal.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ ARMENIAN = dict(zip("օոսցհՍՏ", "onugհUS".replace("հ", "h"), strict=True
 LATIN = {"ı": "i", "ȷ": "j", "ɡ": "g", "ɑ": "a", "ⅼ": "l", "∕": "/", "⁄": "/", "∶": ":", "ꞌ": "'"}
 #: Kinds of hyphen.
 HYPHENS = "‐‑‒⁃−﹣－˗֊᠆"
+#: Characters that are their own display form.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ„“”‘’–—«»]*\Z")
 BLANK = regex.compile(r"[\p{White_Space}᠎]+")
 IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]+")
 
@@ -38,7 +41,7 @@ def display_form(text: str | None) -> str | None:
     """The one form of all texts that look like this one; case stays."""
     if text is None:
         return None
-    if text.isascii():
+    if PLAIN.match(text):
         return " ".join(text.split())
     text = unicodedata.normalize("NFKC", IGNORABLE.sub("", text).translate(shapes()))
     text = unicodedata.normalize("NFC", IGNORABLE.sub("", text).translate(shapes()))
