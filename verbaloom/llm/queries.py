@@ -95,4 +95,15 @@ QUERIES = {
     "p8_kinds": p8_kinds,
 }
 
-SQL: dict[str, str] = {}
+#: Exact comparisons in SQL, where whole tables allow them.
+SQL: dict[str, str] = {
+    "p2_found": r"""with m as (select distinct entry_id, concat_ws(' ', source, target) as t from tm_entries where entry_id is not null),
+w as (select entry_id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) as w from m), o as (select entry_id, w, row_number() over (partition by entry_id, w) as k from w),
+n as (select entry_id, count(*) as n from w group by entry_id), p as (select a.entry_id as x, b.entry_id as y, count(*) as i from o a join o b on a.w = b.w and a.k = b.k and a.entry_id < b.entry_id group by all)
+select x as entry_a, y as entry_b from p join n a on a.entry_id = x join n b on b.entry_id = y where 5 * i >= 4 * (a.n + b.n - i)""",
+    "p7_found": r"""with d as (select distinct doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null and doc_id is not null),
+e as (select distinct item_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items where text is not null and item_id is not null),
+g as (select distinct id, array_to_string(w[k : k + 11], ' ') as g from (select id, w, unnest(range(1, len(w) - 10)) as k from e)),
+h as (select id, array_to_string(w[k : k + 11], ' ') as g from (select id, w, unnest(range(1, len(w) - 10)) as k from d))
+select distinct h.id as doc_id, g.id as item_id from h join g using (g)""",
+}
