@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verbaloom.functions.text import text_or_empty
+from verbaloom.functions.text import BLANKS, text_or_empty
 
 #: The patterns of the markup that translations must keep.
 LINK = r"(?<!!)\[([^\]]+)\]\(([^)]+)\)"
@@ -60,7 +60,7 @@ def props(c: Column) -> Column:
 
 def children(c: Column) -> Column:
     """(component, text) of the components' content, tags removed; the empty ones keep their place."""
-    inner = F.transform(_all(c, CHILD, 2), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
+    inner = F.transform(_all(c, CHILD, 2), lambda x: F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), f"^{BLANKS}|{BLANKS}$", ""))
     return F.arrays_zip(_all(c, CHILD, 1).alias("component"), inner.alias("text"))
 
 

@@ -125,7 +125,7 @@ def hash_vectors(spark: SparkSession, base: str) -> DataFrame:
     return memory(spark, base).select("entry_id", S.hashed_vectors("source").alias("vector"))
 
 
-@query()
+@query(f"with {MEM} select entry_id, coalesce(len(embedding), 96)::int as width, case when embedding is null then 'hash-ngram' else embedding_backend end as embedding_backend from mem")
 def tm_backfill(spark: SparkSession, base: str) -> DataFrame:
     return M.backfill(memory(spark, base)).select("entry_id", F.size("embedding").alias("width"), "embedding_backend")
 

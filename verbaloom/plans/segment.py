@@ -9,7 +9,7 @@ from verbaloom.functions import markup as M
 from verbaloom.functions import text as T
 from verbaloom.operators import segment as S
 from verbaloom.operators import site
-from verbaloom.plans.common import CAT, catalogue, norm, query
+from verbaloom.plans.common import BLANKS, CAT, catalogue, norm, query
 from verbaloom.session import table
 
 FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
@@ -128,7 +128,7 @@ def jsx_props(spark: SparkSession, base: str) -> DataFrame:
     return catalogue(spark, base).select("pair_id", F.posexplode(M.props(tagged)).alias("ordinal", "p")).select("pair_id", "ordinal", "p.prop", "p.value")
 
 
-@query()
+@query(f"""with {CAT}, c as (select pair_id, 0 as ordinal, 'Tab' as component, regexp_replace(regexp_replace(coalesce(source, ''), '<[^>]+>', '', 'g'), '^{BLANKS}|{BLANKS}$', '', 'g') as text from cat union all select pair_id, 1, 'Note', regexp_replace(regexp_replace(coalesce(target, ''), '<[^>]+>', '', 'g'), '^{BLANKS}|{BLANKS}$', '', 'g') from cat) select * from c where text <> ''""")
 def jsx_children(spark: SparkSession, base: str) -> DataFrame:
     tagged = F.concat(F.lit("<Tab>"), T.text_or_empty(F.col("source")), F.lit("</Tab><Note><b>"), T.text_or_empty(F.col("target")), F.lit("</b></Note>"))
     return catalogue(spark, base).select("pair_id", F.posexplode(M.children(tagged)).alias("ordinal", "c")).select("pair_id", "ordinal", "c.component", "c.text").filter("text <> ''")

@@ -11,6 +11,7 @@ from verbaloom.operators import plugins as P
 from verbaloom.operators import qa
 from verbaloom.operators.segment import translatable
 from verbaloom.plans.common import CAT, COUNTS, STATE, catalogue, norm, query
+from verbaloom.plans.lint import TESTS
 from verbaloom.session import table
 
 NAMED = f"named as (select *, {STATE} as state from cat)"
@@ -61,9 +62,13 @@ def _issues(spark: SparkSession, base: str) -> DataFrame:
     return qa.lint(catalogue(spark, base), ["doc_path"]).groupBy("doc_path").agg(F.count("*").alias("lint_issues"))
 
 
-@query()
+FOUND = " union all ".join(f"select doc_path from t where {test}" for test in TESTS.values())
+
+
+@query(f"""with {CAT}, {NAMED}, s as (select doc_path, {COUNTS} from named group by doc_path), t as (select * from cat where not coalesce(frozen, false) and target <> ''), f as ({FOUND}), i as (select doc_path, count(*) as n from f group by doc_path)
+select s.*, coalesce(n, 0) as lint_issues, missing + needs_review + coalesce(n, 0) as attention from s left join i using (doc_path) order by attention desc, doc_path limit 10""")
 def attention_topk(spark: SparkSession, base: str) -> DataFrame:
-    """A top-k report; its SQL is that of its parts (status_by_page, lint_summary)."""
+    """A top-k report."""
     return C.attention(C.status_summary(catalogue(spark, base), ["doc_path"]), _issues(spark, base), 10)
 
 
