@@ -26,12 +26,17 @@ def query(sql: str | None = None, name: str | None = None):
     return take
 
 
-def catalogue(spark: SparkSession, base: str) -> DataFrame:
-    return latest(table(spark, base, "demo"), ["pair_id"], ["extracted_at"])
+def _of(df: DataFrame, columns: str, *always: str) -> DataFrame:
+    return df.select(*dict.fromkeys([*always[:1], *columns.split(), *always[1:]])) if columns else df
 
 
-def memory(spark: SparkSession, base: str) -> DataFrame:
-    return latest(table(spark, base, "tm_entries"), ["entry_id"], ["ingested_at"])
+def catalogue(spark: SparkSession, base: str, columns: str = "") -> DataFrame:
+    """columns: the ones a query needs, so the scan reads no others."""
+    return latest(_of(table(spark, base, "demo"), columns, "pair_id", "extracted_at"), ["pair_id"], ["extracted_at"])
+
+
+def memory(spark: SparkSession, base: str, columns: str = "") -> DataFrame:
+    return latest(_of(table(spark, base, "tm_entries"), columns, "entry_id", "ingested_at"), ["entry_id"], ["ingested_at"])
 
 
 CAT = "cat as (select * from demo qualify row_number() over (partition by pair_id order by extracted_at desc nulls last) = 1)"

@@ -25,7 +25,7 @@ def tokens_listing(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {CAT} select pair_id, {po('source')} as source, {po('target')} as target from cat")
 def po_escape(spark: SparkSession, base: str) -> DataFrame:
-    return catalogue(spark, base).select("pair_id", T.po_escape(F.col("source")).alias("source"), T.po_escape(F.col("target")).alias("target"))
+    return catalogue(spark, base, "source target").select("pair_id", T.po_escape(F.col("source")).alias("source"), T.po_escape(F.col("target")).alias("target"))
 
 
 PO = f"""po as (select doc_path, lang, 'msgid ""' || chr(10) || 'msgstr ""' || chr(10) || '"Content-Type: text/plain; charset=UTF-8\\n"' || chr(10) || chr(10) || string_agg('#: ' || doc_path || chr(10) || '#. kind=' || coalesce(kind, '') || ' status=' || coalesce(status, '') || chr(10) || 'msgctxt "' || {po('id')} || '"' || chr(10) || 'msgid "' || {po('source')} || '"' || chr(10) || 'msgstr "' || {po('target')} || '"', chr(10) || chr(10) order by ord) || chr(10) as text from op group by doc_path, lang)"""
@@ -94,7 +94,7 @@ def _inline(x: str) -> str:
 @query(f"with {CAT}, v as (select pair_id, coalesce(nullif(target, ''), source, '') as t from cat) select pair_id, {_inline('t')} as html from v where not regexp_matches(replace(t, '**', ''), '[*_]')")
 def inline_html(spark: SparkSession, base: str) -> DataFrame:
     """Emphasis needs a look-behind, so the query keeps to texts without single stars and underscores."""
-    rows = O.shown(catalogue(spark, base)).filter(~F.replace("shown", F.lit("**"), F.lit("")).rlike("[*_]"))
+    rows = O.shown(catalogue(spark, base, "source target")).filter(~F.replace("shown", F.lit("**"), F.lit("")).rlike("[*_]"))
     return rows.select("pair_id", O.inline(F.col("shown")).alias("html"))
 
 
@@ -105,11 +105,11 @@ def render_html(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"""with {CAT} select doc_path, lang, sha256(string_agg('<li><a href="#' || id || '">' || {html("coalesce(nullif(target, ''), source, '')")} || '</a></li>', chr(10) order by ord)) as toc from cat where kind = 'heading' and id is not null group by doc_path, lang""")
 def page_toc(spark: SparkSession, base: str) -> DataFrame:
-    return _hashed(O.contents(catalogue(spark, base).filter("id is not null"), KEYS), "toc")
+    return _hashed(O.contents(catalogue(spark, base, "doc_path lang ord id kind source target").filter("id is not null"), KEYS), "toc")
 
 
 @query(f"""with {CAT} select pair_id, case when kind = 'code_block' and ord % 2 = 0 then 'html_block' else kind end as kind from cat""")
 def diagram_blocks(spark: SparkSession, base: str) -> DataFrame:
     """Every second code block is taken to be a diagram."""
     said = F.when((F.col("kind") == "code_block") & (F.col("ord") % 2 == 0), F.lit('{"lang": "mermaid"}')).otherwise(F.lit("{}"))
-    return O.diagrams(catalogue(spark, base).withColumn("meta", said)).select("pair_id", "kind")
+    return O.diagrams(catalogue(spark, base, "ord id kind frozen source target").withColumn("meta", said)).select("pair_id", "kind")

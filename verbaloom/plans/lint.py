@@ -17,7 +17,7 @@ MARKED = f"{CAT}, p as (select *, coalesce(source, '') as s, coalesce(target, ''
 
 
 def marked(spark: SparkSession, base: str) -> DataFrame:
-    cat = catalogue(spark, base).withColumns({"s": T.text_or_empty(F.col("source")), "t": T.text_or_empty(F.col("target"))})
+    cat = catalogue(spark, base, "id ord frozen source target").withColumns({"s": T.text_or_empty(F.col("source")), "t": T.text_or_empty(F.col("target"))})
     return cat.withColumns({"source": F.expr(SRC), "target": F.expr(TGT)})
 
 
@@ -54,14 +54,14 @@ def lint_summary(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {CAT} select pair_id, '[WARN] ' || id || ' (' || kind || '): Text contraction > 55%' as line from cat where not coalesce(frozen, false) and target <> '' and length(source) > 20 and length(target) < length(source) * 0.45")
 def lint_messages(spark: SparkSession, base: str) -> DataFrame:
-    found = qa.lint(catalogue(spark, base), ["pair_id", "id", "kind"]).filter("rule = 'L7'")
+    found = qa.lint(catalogue(spark, base, "id kind frozen source target"), ["pair_id", "id", "kind"]).filter("rule = 'L7'")
     return found.select("pair_id", qa.format_issue(F.lit("warn"), F.col("id"), F.col("kind"), F.col("rule")).alias("line"))
 
 
 @query(rf"with {CAT} select pair_id, lower(regexp_extract(target, '(?i)\b(du|dir|dein|dich|euch|ihr)\b', 1)) as word from cat where not coalesce(frozen, false) and target <> '' and regexp_full_match(target, '[\x00-\x7f]*') and regexp_matches(target, '(?i)\b(du|dir|dein|dich|euch|ihr)\b')")
 def ai_lint_tone(spark: SparkSession, base: str) -> DataFrame:
     """Word ends differ beyond ASCII between the engines, so the query keeps to ASCII targets."""
-    return qa.tone(catalogue(spark, base).filter(F.col("target").rlike(r"^[\x00-\x7f]*\z")), ["pair_id"], "Bitte Sie verwenden")
+    return qa.tone(catalogue(spark, base, "frozen target").filter(F.col("target").rlike(r"^[\x00-\x7f]*\z")), ["pair_id"], "Bitte Sie verwenden")
 
 
 PRODUCT = r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"
@@ -69,7 +69,7 @@ PRODUCT = r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"
 
 @query(rf"with {CAT}, a as (select pair_id, target, regexp_extract_all('MyTool ' || source, '{PRODUCT}', 0) as n from cat where not coalesce(frozen, false) and target <> '' and regexp_full_match(source, '[\x00-\x7f]*')), u as (select pair_id, target, unnest(n) as product from a) select pair_id, product from u where not contains(target, product)")
 def ai_lint_product_case(spark: SparkSession, base: str) -> DataFrame:
-    cat = catalogue(spark, base).filter(F.col("source").rlike(r"^[\x00-\x7f]*\z")).withColumn("source", F.concat(F.lit("MyTool "), F.col("source")))
+    cat = catalogue(spark, base, "frozen source target").filter(F.col("source").rlike(r"^[\x00-\x7f]*\z")).withColumn("source", F.concat(F.lit("MyTool "), F.col("source")))
     return qa.lost_products(cat, ["pair_id"])
 
 
@@ -97,13 +97,13 @@ def autofix(spark: SparkSession, base: str) -> DataFrame:
 s as (select token, tag, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))) as chars, case when tag = 'h1' then 120 when tag = 'td' then 80 else 240 end as most from b) select * from s where chars > most""")
 def visual_overflow(spark: SparkSession, base: str) -> DataFrame:
     tag = F.when(F.col("kind") == "heading", "h1").when(F.col("kind") == "table_cell", "td").otherwise("p")
-    blocks = catalogue(spark, base).filter("id is not null").select(F.col("id").alias("token"), tag.alias("tag"), T.text_or_empty(F.col("target")).alias("text"))
+    blocks = catalogue(spark, base, "id kind target").filter("id is not null").select(F.col("id").alias("token"), tag.alias("tag"), T.text_or_empty(F.col("target")).alias("text"))
     return qa.visual(blocks)
 
 
 @query(f"with {CAT} select id as token, 'td' as tag, {html('coalesce(source, %s)' % (chr(39) * 2))} as text from cat where id is not null and not contains(coalesce(source, ''), '<')")
 def token_blocks(spark: SparkSession, base: str) -> DataFrame:
-    rows = catalogue(spark, base).filter("id is not null").filter(~F.contains(T.text_or_empty(F.col("source")), F.lit("<")))
+    rows = catalogue(spark, base, "id source").filter("id is not null").filter(~F.contains(T.text_or_empty(F.col("source")), F.lit("<")))
     page = rows.select(F.concat(F.lit('<table><tr><td data-token="'), F.col("id"), F.lit('">'), T.html_escape(F.col("source")), F.lit("</td></tr></table>")).alias("html"))
     return qa.token_blocks(page.withColumn("html", F.regexp_replace("html", "^<table><tr>|</tr></table>$", "")), "html")
 
@@ -111,7 +111,7 @@ def token_blocks(spark: SparkSession, base: str) -> DataFrame:
 @query(f"""with {CAT}, r as (select pair_id, '```json' || chr(10) || '{{"translations": [' || to_json(coalesce(target, '')) || ',],}}' || chr(10) || '```' as reply from cat where not contains(coalesce(target, ''), '`') and not regexp_matches(coalesce(target, ''), ',\\s*[\\]}}]'))
 select pair_id, json_extract_string(regexp_replace(trim(replace(replace(reply, '```json', ''), '```', '')), ',\\s*([\\]}}])', '\\1', 'g'), '$.translations[0]') as target from r""")
 def json_repair(spark: SparkSession, base: str) -> DataFrame:
-    clean = catalogue(spark, base).filter(~F.contains(T.text_or_empty(F.col("target")), F.lit("`")) & ~T.text_or_empty(F.col("target")).rlike(r",\s*[\]}]"))
+    clean = catalogue(spark, base, "target").filter(~F.contains(T.text_or_empty(F.col("target")), F.lit("`")) & ~T.text_or_empty(F.col("target")).rlike(r",\s*[\]}]"))
     inner = F.regexp_extract(F.to_json(F.struct(T.text_or_empty(F.col("target")).alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
     reply = F.concat(F.lit('```json\n{"translations": ['), inner, F.lit(",],}\n```"))
     return clean.select("pair_id", F.get_json_object(jsonish.repaired(reply), "$.translations[0]").alias("target"))
@@ -119,6 +119,6 @@ def json_repair(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {CAT} select pair_id::varchar as batch, id, target, true as ok from cat where id is not null and target is not null and not regexp_matches(target, ',\\s*[\\]}}]')")
 def translation_lists(spark: SparkSession, base: str) -> DataFrame:
-    rows = catalogue(spark, base).filter("id is not null and target is not null").filter(~F.col("target").rlike(r",\s*[\]}]"))
+    rows = catalogue(spark, base, "id target").filter("id is not null and target is not null").filter(~F.col("target").rlike(r",\s*[\]}]"))
     reply = F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.array(F.struct("id", "target")).alias("items"))), F.lit(" done"))
     return jsonish.translations(rows.select("pair_id", F.array("id").alias("ids"), reply.alias("reply")), "pair_id", "ids", "reply")

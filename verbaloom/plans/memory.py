@@ -17,17 +17,17 @@ ONE = "one as (select * from mem qualify row_number() over (partition by source_
 
 
 def _one(spark: SparkSession, base: str) -> DataFrame:
-    return latest(memory(spark, base), ["source_key", "lang"], ["updated_at", "entry_id"])
+    return latest(memory(spark, base, "source_key lang target updated_at"), ["source_key", "lang"], ["updated_at", "entry_id"])
 
 
 @query(f"with {CAT}, {MEM}, {ONE} select pair_id, o.target as tm_target, case when o.target is not null then 1.0::double end as tm_score from cat left join (select * from one where target <> '') o on o.source_key = sha256({norm('cat.source')}) and o.lang = cat.lang where cat.source is not null")
 def tm_exact(spark: SparkSession, base: str) -> DataFrame:
-    return M.exact(catalogue(spark, base).filter("source is not null"), _one(spark, base)).select("pair_id", "tm_target", "tm_score")
+    return M.exact(catalogue(spark, base, "source lang").filter("source is not null"), _one(spark, base)).select("pair_id", "tm_target", "tm_score")
 
 
 @query(f"with {CAT}, {MEM}, {ONE} select pair_id from cat where source is not null and coalesce(target, '') = '' and not coalesce(frozen, false) and not exists (select 1 from one o where o.target <> '' and o.source_key = sha256({norm('cat.source')}) and o.lang = cat.lang)")
 def tm_residual(spark: SparkSession, base: str) -> DataFrame:
-    gaps = catalogue(spark, base).filter("source is not null and coalesce(target, '') = '' and not coalesce(frozen, false)")
+    gaps = catalogue(spark, base, "source lang target frozen").filter("source is not null and coalesce(target, '') = '' and not coalesce(frozen, false)")
     return M.exact(gaps, _one(spark, base)).filter("tm_target is null").select("pair_id")
 
 
@@ -40,7 +40,7 @@ select source_key, lang, max(case when up = 1 then source end) as source, max(ca
 
 def _new(spark: SparkSession, base: str) -> DataFrame:
     rev = table(spark, base, "tm_revisions").dropDuplicates(["id"]).filter("revised_at is not null")
-    known = memory(spark, base).select("source_key", "lang", "source", "kind", "segment_id").distinct()
+    known = memory(spark, base, "source_key lang source kind segment_id").select("source_key", "lang", "source", "kind", "segment_id").distinct()
     return rev.join(known, ["source_key", "lang"]).select(
         "source_key", "source", "target", "lang", "kind", "segment_id", "status", F.col("revised_at").alias("updated_at"), "meta_json",
         F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_backend"), F.col("id").alias("seq"),
@@ -62,7 +62,7 @@ def revision_history_topn(spark: SparkSession, base: str) -> DataFrame:
 @query(f"""with {MEM}, {REV}, k as (select segment_id, lang, source_key from mem where segment_id is not null qualify row_number() over (partition by segment_id, lang order by updated_at desc nulls last, source_key desc) = 1),
 h as (select id, source_key, lang, row_number() over (partition by source_key, lang order by revised_at desc nulls last, id desc) as rank from rev qualify rank <= 8) select k.segment_id, h.id, h.rank from k join h on h.source_key = k.source_key and h.lang = k.lang""")
 def segment_history(spark: SparkSession, base: str) -> DataFrame:
-    return M.segment_history(memory(spark, base), table(spark, base, "tm_revisions"), 8).select("segment_id", "id", "rank")
+    return M.segment_history(memory(spark, base, "segment_id lang source_key updated_at"), table(spark, base, "tm_revisions"), 8).select("segment_id", "id", "rank")
 
 
 @query(f"with {REV} select coalesce(author, 'unknown') as author, count(*) as n, count(distinct source_key) as texts from rev group by 1")
@@ -88,7 +88,7 @@ VECS = f"{MEM}, v as (select entry_id, embedding from mem where len(embedding) =
 select query_id, entry_id, round(s, 6) as cosine, row_number() over (partition by query_id order by s desc, entry_id) as rank from c qualify rank <= 5""")
 def cosine_topk(spark: SparkSession, base: str) -> DataFrame:
     """The stated queries (ids divisible by 50) against all rows, exactly, in blocks of products."""
-    return M.exact_nearest(memory(spark, base), "entry_id", "embedding", 5, 96, every=50).select("query_id", "entry_id", F.round("cosine", 6).alias("cosine"), "rank")
+    return M.exact_nearest(memory(spark, base, "embedding"), "entry_id", "embedding", 5, 96, every=50).select("query_id", "entry_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 TOKENS = lambda c: f"list_distinct(list_filter(string_split(lower({norm(c)}), ' '), lambda w: w <> ''))"
@@ -98,11 +98,11 @@ TOKENS = lambda c: f"list_distinct(list_filter(string_split(lower({norm(c)}), '
 c as (select a.entry_id as query_id, b.entry_id, len(list_intersect(a.w, b.w)) as n, len(a.w) as x, len(b.w) as y from t a join t b on a.lang = b.lang and a.entry_id % 50 = 0 and a.entry_id <> b.entry_id)
 select query_id, entry_id, n as shared, x + y - n as together from c where n > 0 and 3 * n >= x + y - n""")
 def token_jaccard(spark: SparkSession, base: str) -> DataFrame:
-    return M.by_words(memory(spark, base), 1, 3, every=50)
+    return M.by_words(memory(spark, base, "source lang"), 1, 3, every=50)
 
 
 def _sides(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    mem = memory(spark, base).filter("source is not null")
+    mem = memory(spark, base, "source lang updated_at").filter("source is not null")
     return mem.filter("entry_id % 50 = 0").withColumnRenamed("entry_id", "query_id"), mem
 
 
@@ -122,12 +122,12 @@ def tm_fuzzy_hybrid(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def hash_vectors(spark: SparkSession, base: str) -> DataFrame:
-    return memory(spark, base).select("entry_id", S.hashed_vectors("source").alias("vector"))
+    return memory(spark, base, "source").select("entry_id", S.hashed_vectors("source").alias("vector"))
 
 
 @query(f"with {MEM} select entry_id, coalesce(len(embedding), 96)::int as width, case when embedding is null then 'hash-ngram' else embedding_backend end as embedding_backend from mem")
 def tm_backfill(spark: SparkSession, base: str) -> DataFrame:
-    return M.backfill(memory(spark, base)).select("entry_id", F.size("embedding").alias("width"), "embedding_backend")
+    return M.backfill(memory(spark, base, "source embedding embedding_backend")).select("entry_id", F.size("embedding").alias("width"), "embedding_backend")
 
 
 @query(f"with {REV} select source_key, lang, id, status from rev where source_key is not null qualify row_number() over (partition by source_key, lang order by revised_at desc nulls last, id desc) = 1")

@@ -100,7 +100,7 @@ MARKED = "m0 as (select pair_id, case ord % 3 when 0 then '[see](u/' || ord || '
 def _listed(spark: SparkSession, base: str, expr, name: str) -> DataFrame:
     """Segments of the tables hold few links and images, so some are put before them, alike in both engines."""
     marked = F.expr("case ord % 3 when 0 then '[see](u/' || ord || ') ' || coalesce(source, '') when 1 then '![pic ' || ord || '](a.png) [x](y)[z](w) ' || coalesce(source, '') else coalesce(source, '') end")
-    return catalogue(spark, base).withColumn("source", marked).select("pair_id", F.posexplode(expr(F.col("source"))).alias("pos", name))
+    return catalogue(spark, base, "ord source").withColumn("source", marked).select("pair_id", F.posexplode(expr(F.col("source"))).alias("pos", name))
 
 
 @query(rf"with {CAT}, {MARKED}, m as (select pair_id, regexp_extract_all(regexp_replace(coalesce(source, ''), '!\[([^\]]*)\]\(([^)]+)\)', '', 'g'), '\[([^\]]+)\]\(([^)]+)\)', 1) as a from m0) select pair_id, generate_subscripts(a, 1) - 1 as pos, unnest(a) as label from m")
@@ -125,19 +125,19 @@ TAGGED = "'<Card title=\"' || coalesce(source, '') || '\" label=''x''>' || coale
 @query(f"with {CAT}, m as (select pair_id, regexp_extract_all({TAGGED}, '{PROP}', 1) as a, regexp_extract_all({TAGGED}, '{PROP}', 2) as b from cat) select pair_id, generate_subscripts(a, 1) - 1 as ordinal, unnest(a) as prop, unnest(b) as value from m")
 def jsx_props(spark: SparkSession, base: str) -> DataFrame:
     tagged = F.concat(F.lit('<Card title="'), T.text_or_empty(F.col("source")), F.lit("\" label='x'>"), T.text_or_empty(F.col("target")), F.lit("</Card>"))
-    return catalogue(spark, base).select("pair_id", F.posexplode(M.props(tagged)).alias("ordinal", "p")).select("pair_id", "ordinal", "p.prop", "p.value")
+    return catalogue(spark, base, "source target").select("pair_id", F.posexplode(M.props(tagged)).alias("ordinal", "p")).select("pair_id", "ordinal", "p.prop", "p.value")
 
 
 @query(f"""with {CAT}, c as (select pair_id, 0 as ordinal, 'Tab' as component, regexp_replace(regexp_replace(coalesce(source, ''), '<[^>]+>', '', 'g'), '^{BLANKS}|{BLANKS}$', '', 'g') as text from cat union all select pair_id, 1, 'Note', regexp_replace(regexp_replace(coalesce(target, ''), '<[^>]+>', '', 'g'), '^{BLANKS}|{BLANKS}$', '', 'g') from cat) select * from c where text <> ''""")
 def jsx_children(spark: SparkSession, base: str) -> DataFrame:
     tagged = F.concat(F.lit("<Tab>"), T.text_or_empty(F.col("source")), F.lit("</Tab><Note><b>"), T.text_or_empty(F.col("target")), F.lit("</b></Note>"))
-    return catalogue(spark, base).select("pair_id", F.posexplode(M.children(tagged)).alias("ordinal", "c")).select("pair_id", "ordinal", "c.component", "c.text").filter("text <> ''")
+    return catalogue(spark, base, "source target").select("pair_id", F.posexplode(M.children(tagged)).alias("ordinal", "c")).select("pair_id", "ordinal", "c.component", "c.text").filter("text <> ''")
 
 
 @query(rf"with {CAT}, m as (select pair_id, list_filter(list_transform(regexp_extract_all('![a](img/' || id || '.png) ![b](https://x.y/z.png) ' || coalesce(source, ''), '!\[([^\]]*)\]\(([^)]+)\)', 2), lambda u: trim(u)), lambda u: u <> '' and not regexp_matches(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|//)')) as a from cat) select pair_id, unnest(a) as ref from m")
 def asset_refs(spark: SparkSession, base: str) -> DataFrame:
     text = F.concat(F.lit("![a](img/"), F.col("id"), F.lit(".png) ![b](https://x.y/z.png) "), T.text_or_empty(F.col("source")))
-    return catalogue(spark, base).select("pair_id", F.explode(M.asset_refs(text)).alias("ref"))
+    return catalogue(spark, base, "id source").select("pair_id", F.explode(M.asset_refs(text)).alias("ref"))
 
 
 VALUE = lambda key: f"""regexp_replace(trim(regexp_replace(list_filter(string_split(regexp_extract({UNIX}, '{FRONT}', 1), chr(10)), lambda l: regexp_matches(l, '^\\s*{key}\\s*:'))[-1], '^\\s*{key}\\s*:', '')), '^["'']+|["'']+$', '', 'g')"""
@@ -172,7 +172,7 @@ def site_search(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {CAT} select pair_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(source, ''))), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '-'), ''), 'section') as slug from cat where regexp_full_match(coalesce(source, ''), '[\\x00-\\x7f]*')")
 def slugify(spark: SparkSession, base: str) -> DataFrame:
-    ascii_only = catalogue(spark, base).filter(T.text_or_empty(F.col("source")).rlike(r"^[\x00-\x7f]*\z"))
+    ascii_only = catalogue(spark, base, "source").filter(T.text_or_empty(F.col("source")).rlike(r"^[\x00-\x7f]*\z"))
     return ascii_only.select("pair_id", T.slug(F.col("source")).alias("slug"))
 
 

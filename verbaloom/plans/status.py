@@ -19,22 +19,22 @@ NAMED = f"named as (select *, {STATE} as state from cat)"
 
 @query(f"with {CAT}, {NAMED} select doc_path, lang, {COUNTS} from named group by doc_path, lang")
 def status_rollup(spark: SparkSession, base: str) -> DataFrame:
-    return C.status_summary(catalogue(spark, base), ["doc_path", "lang"])
+    return C.status_summary(catalogue(spark, base, "doc_path lang frozen status target"), ["doc_path", "lang"])
 
 
 @query(f"with {CAT}, {NAMED} select doc_path, {COUNTS} from named group by doc_path")
 def status_by_page(spark: SparkSession, base: str) -> DataFrame:
-    return C.status_summary(catalogue(spark, base), ["doc_path"])
+    return C.status_summary(catalogue(spark, base, "doc_path lang frozen status target"), ["doc_path"])
 
 
 @query(f"with {CAT}, {NAMED} select doc_path, lang, {COUNTS}, cast(grouping(doc_path, lang) as bigint) as level from named group by grouping sets ((doc_path, lang), (lang), ())")
 def status_grouping_sets(spark: SparkSession, base: str) -> DataFrame:
-    return C.status_grouping_sets(catalogue(spark, base))
+    return C.status_grouping_sets(catalogue(spark, base, "doc_path lang frozen status target"))
 
 
 @query(f"with {CAT}, {NAMED}, s as (select doc_path, {COUNTS} from named group by doc_path) select *, " + ", ".join(f"{c} * 100.0::double / greatest(1, total) as {c}_pct" for c in C.COUNTED) + " from s")
 def status_percentages(spark: SparkSession, base: str) -> DataFrame:
-    return C.percentages(C.status_summary(catalogue(spark, base), ["doc_path"]))
+    return C.percentages(C.status_summary(catalogue(spark, base, "doc_path lang frozen status target"), ["doc_path"]))
 
 
 PAGES = f"""with {CAT}, {NAMED}, own as (select doc_path, {COUNTS} from named where lang = 'en' group by doc_path),
@@ -44,7 +44,7 @@ pages as (select p.source as doc_path, own.total is not null as has_catalogue, {
 
 @query(PAGES + " select * from pages")
 def pages_missing_catalogue(spark: SparkSession, base: str) -> DataFrame:
-    return C.pages_with_status(table(spark, base, "site_index"), catalogue(spark, base), "en")
+    return C.pages_with_status(table(spark, base, "site_index"), catalogue(spark, base, "doc_path lang frozen status target"), "en")
 
 
 @query(PAGES + """ select doc_path, case when not has_catalogue then '- `' || doc_path || '`: catalog missing' else '- `' || doc_path || '`: ' || translated || ' translated, ' || missing || ' missing, ' || needs_review || ' needs_review, ' || total || ' total' end as line from pages
@@ -55,11 +55,11 @@ def ci_report(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {CAT}, {NAMED} select lang, bool_or(state in ('missing', 'needs_review')) as failing from named group by lang")
 def check_exit(spark: SparkSession, base: str) -> DataFrame:
-    return C.unfinished(C.status_summary(catalogue(spark, base), ["doc_path", "lang"]))
+    return C.unfinished(C.status_summary(catalogue(spark, base, "doc_path lang frozen status target"), ["doc_path", "lang"]))
 
 
 def _issues(spark: SparkSession, base: str) -> DataFrame:
-    return qa.lint(catalogue(spark, base), ["doc_path"]).groupBy("doc_path").agg(F.count("*").alias("lint_issues"))
+    return qa.lint(catalogue(spark, base, "doc_path frozen source target"), ["doc_path"]).groupBy("doc_path").agg(F.count("*").alias("lint_issues"))
 
 
 FOUND = " union all ".join(f"select doc_path from t where {test}" for test in TESTS.values())
@@ -69,34 +69,34 @@ FOUND = " union all ".join(f"select doc_path from t where {test}" for test in TE
 select s.*, coalesce(n, 0) as lint_issues, missing + needs_review + coalesce(n, 0) as attention from s left join i using (doc_path) order by attention desc, doc_path limit 10""")
 def attention_topk(spark: SparkSession, base: str) -> DataFrame:
     """A top-k report."""
-    return C.attention(C.status_summary(catalogue(spark, base), ["doc_path"]), _issues(spark, base), 10)
+    return C.attention(C.status_summary(catalogue(spark, base, "doc_path lang frozen status target"), ["doc_path"]), _issues(spark, base), 10)
 
 
 @query(f"with {CAT} select pair_id, {norm('source')} as norm, 'sha256:' || sha256({norm('source')}) as own, fingerprint = 'sha256:' || sha256({norm('source')}) as agrees from cat where source is not null")
 def normalize_fingerprint(spark: SparkSession, base: str) -> DataFrame:
     own = T.fingerprint(F.col("source"))
-    return catalogue(spark, base).filter("source is not null").select("pair_id", T.normalised(F.col("source")).alias("norm"), own.alias("own"), (F.col("fingerprint") == own).alias("agrees"))
+    return catalogue(spark, base, "source fingerprint").filter("source is not null").select("pair_id", T.normalised(F.col("source")).alias("norm"), own.alias("own"), (F.col("fingerprint") == own).alias("agrees"))
 
 
 @query(f"with {CAT} select sha256({norm('source')}) as source_key, lang, count(*) as n, count(distinct doc_path) as docs from cat where source is not null group by all having count(*) > 1")
 def source_key_dups(spark: SparkSession, base: str) -> DataFrame:
-    keyed = catalogue(spark, base).filter("source is not null").withColumn("source_key", T.source_key(F.col("source")))
+    keyed = catalogue(spark, base, "source lang doc_path").filter("source is not null").withColumn("source_key", T.source_key(F.col("source")))
     return keyed.groupBy("source_key", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_path").alias("docs")).filter("n > 1")
 
 
 @query(f"with {CAT} select pair_id, kind from cat where not coalesce(frozen, false) and kind not in ('code_block', 'html_block')")
 def translatable_filter(spark: SparkSession, base: str) -> DataFrame:
-    return translatable(catalogue(spark, base)).select("pair_id", "kind")
+    return translatable(catalogue(spark, base, "kind frozen")).select("pair_id", "kind")
 
 
 @query(f"with {CAT} select pair_id, source from cat where not coalesce(frozen, false) and coalesce(target, '') = ''")
 def missing_filter(spark: SparkSession, base: str) -> DataFrame:
-    return C.needs_translation(catalogue(spark, base)).select("pair_id", "source")
+    return C.needs_translation(catalogue(spark, base, "source frozen target")).select("pair_id", "source")
 
 
 def _halves(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """The state before the newest deliveries as the old catalogue, the whole one without targets as new segments."""
-    old = catalogue(spark, base).filter("lang = 'en'")
+    old = catalogue(spark, base, "doc_path lang frozen status target ord id").filter("lang = 'en'")
     return old, old.withColumns({"target": F.lit(""), "status": F.when(F.col("ord") % 7 == 0, "needs_review").otherwise("new")})
 
 
@@ -114,7 +114,7 @@ def catalog_merge(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {CAT} select pair_id, coalesce(nullif(target, ''), source) as shown from cat")
 def target_resolution(spark: SparkSession, base: str) -> DataFrame:
-    return catalogue(spark, base).select("pair_id", C.resolved("target", "target", "source").alias("shown"))
+    return catalogue(spark, base, "target source").select("pair_id", C.resolved("target", "target", "source").alias("shown"))
 
 
 @query(f"""with {CAT}, n as (select * replace (case when ord % 5 = 0 then '' else target end as target), lower(trim(coalesce(status, ''))) as said from cat where lang = 'en'),
@@ -122,7 +122,7 @@ best as (select doc_path, fingerprint, target, id from n where fingerprint is no
 select n.pair_id, best.target, best.id as synced_from_id from n join best using (fingerprint) where not coalesce(n.frozen, false) and coalesce(n.target, '') = ''""")
 def branch_sync(spark: SparkSession, base: str) -> DataFrame:
     """The branch to fill lacks every fifth target; pages repeat some of their texts."""
-    both = catalogue(spark, base).filter("lang = 'en'").withColumns({"status": F.lower(F.trim(T.text_or_empty(F.col("status")))), "doc_path": F.lit("all"), "target": F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("target"))})
+    both = catalogue(spark, base, "doc_path lang frozen status target ord id fingerprint").filter("lang = 'en'").withColumns({"status": F.lower(F.trim(T.text_or_empty(F.col("status")))), "doc_path": F.lit("all"), "target": F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("target"))})
     # An id may come twice in a catalogue, so the pair's number stands for it on the side to fill.
     synced = C.sync_targets(both.withColumn("id", F.col("pair_id")), both)
     return synced.select(F.col("id").alias("pair_id"), "target", "synced_from_id")
@@ -132,17 +132,17 @@ def branch_sync(spark: SparkSession, base: str) -> DataFrame:
 coalesce(last_value(case when not coalesce(frozen, false) then source end ignore nulls) over (partition by doc_path, lang order by ord rows between unbounded preceding and 1 preceding), '') as prev_source,
 coalesce(first_value(case when not coalesce(frozen, false) then source end ignore nulls) over (partition by doc_path, lang order by ord rows between 1 following and unbounded following), '') as next_source from cat""")
 def neighbor_context(spark: SparkSession, base: str) -> DataFrame:
-    return C.neighbours(catalogue(spark, base), ["doc_path", "lang"]).select("pair_id", "prev_source", "next_source")
+    return C.neighbours(catalogue(spark, base, "doc_path lang ord frozen source"), ["doc_path", "lang"]).select("pair_id", "prev_source", "next_source")
 
 
 @query(f"with {CAT} select doc_path, id, '[' || lang || '] ' || source as target, 'needs_review' as status, 'mock' as provider from cat where not coalesce(frozen, false) and coalesce(target, '') = '' and source <> ''")
 def mock_translate(spark: SparkSession, base: str) -> DataFrame:
-    return P.translate(catalogue(spark, base), "mock", ["doc_path", "lang"]).drop("lang")
+    return P.translate(catalogue(spark, base, "doc_path lang ord id frozen source target"), "mock", ["doc_path", "lang"]).drop("lang")
 
 
 @query()
 def prompt_payloads(spark: SparkSession, base: str) -> DataFrame:
-    return P.payloads(catalogue(spark, base), ["doc_path", "lang"])
+    return P.payloads(catalogue(spark, base, "doc_path lang ord id kind frozen source target"), ["doc_path", "lang"])
 
 
 @query("""with d as (select path, sha256(coalesce(text, '')) as hash, fetched_at from documents where path is not null), lim as (select timestamp '2025-01-01' as t)
@@ -155,7 +155,7 @@ def incremental_changed_docs(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def id_reuse_greedy(spark: SparkSession, base: str) -> DataFrame:
     """Segments in English against the manifest of the German catalogue of the same pages; tested against a plain greedy match."""
-    own = catalogue(spark, base).withColumnRenamed("source", "src_text")
+    own = catalogue(spark, base, "doc_path lang ord id kind source fingerprint status").withColumnRenamed("source", "src_text")
     new = own.filter("lang = 'fr'").select("doc_path", "kind", "ord", "id", "fingerprint", "src_text", "status")
     old = own.filter("lang = 'en'").select("doc_path", "kind", "ord", "id", "fingerprint", "src_text")
     return C.reuse_ids(new, old).select("doc_path", "ord", "id", "status")

@@ -47,7 +47,7 @@ select c.pair_id, g.source, g.target, g.note from c join g on contains(c.t, ' '
 
 @query(RELEVANT)
 def glossary_relevant(spark: SparkSession, base: str) -> DataFrame:
-    return O.relevant_terms(catalogue(spark, base), "pair_id", "source", table(spark, base, "glossary"))
+    return O.relevant_terms(catalogue(spark, base, "source"), "pair_id", "source", table(spark, base, "glossary"))
 
 
 @query(f"with r as ({RELEVANT}) select pair_id, 'Glossary entries that must be respected:' || chr(10) || string_agg('- ' || source || ' -> ' || target || case when note <> '' then ' (' || note || ')' else '' end, chr(10) order by '- ' || source || ' -> ' || target || case when note <> '' then ' (' || note || ')' else '' end) as prompt from r group by pair_id")
