@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,4 +56,6 @@ def test_pack(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert P.pack(df, "doc_id", "text", [64]).count() == 0
+    assert P.pack(df, "doc_id", "text", [64]).count() == 0 and P.pack(df, "doc_id", "text", []).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        P.pack(df, "doc_id", "text", [0])

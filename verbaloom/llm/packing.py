@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from verbaloom.session import checkpointed
 
 UNITS = 512
+SCHEMA = "doc_id long, part int, first_token long, tokens long, container_id long, capacity int"
 
 
 def default_vocabulary() -> str:
@@ -197,11 +198,15 @@ def pack(texts: DataFrame, id_col: str, text_col: str, capacities: list[int], vo
 
     A text longer than the largest capacity is split into full containers and a rest; no other text is. A
     container is of the smallest capacity that holds what it got. Texts without tokens (null, empty) take no
-    space and get no row; an id that comes twice counts once; an empty table gives no rows.
+    space and get no row; an id that comes twice counts once; an empty table gives no rows, and neither do
+    texts for which there are no capacities at all. A capacity below one is refused.
     """
-    if not capacities or min(capacities) < 1:
+    spark = texts.sparkSession
+    if not capacities:
+        return spark.createDataFrame([], SCHEMA)
+    if min(capacities) < 1:
         raise ValueError("capacities must be positive")
-    spark, largest = texts.sparkSession, max(capacities)
+    largest = max(capacities)
     counted = checkpointed(token_counts(texts, id_col, text_col, vocabulary).groupBy("id").agg(F.max("tokens").alias("tokens")))
     parts = counted.filter("tokens > 0").select(F.col("id").alias("doc_id"), "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / largest))).alias("part"))
     parts = parts.select("doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * largest).alias("first_token"), F.least(F.lit(largest), F.col("tokens") - F.col("part") * largest).cast("long").alias("tokens"))
@@ -227,7 +232,7 @@ def pack(texts: DataFrame, id_col: str, text_col: str, capacities: list[int], vo
             yield pd.DataFrame({"doc_id": pdf.doc_id, "part": pdf.part, "first_token": pdf.first_token, "tokens": pdf.tokens, "container_id": container[k] + (number - start[k]) // each[k], "capacity": capacity[k]})
 
     numbered = parts.withColumn("number", F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "part")))
-    return numbered.mapInPandas(put, "doc_id long, part int, first_token long, tokens long, container_id long, capacity int")
+    return numbered.mapInPandas(put, SCHEMA)
 
 
 def fill(packed: DataFrame) -> DataFrame:
