@@ -100,12 +100,12 @@ class Fingerprints:
             sizes.append(len(found))
         return _mix(np.array(hashes, np.uint64)), np.array(inverse, np.uint64), np.array(sizes, np.int64)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows with words, class hash, 64 bits, segment << 20 | full min-hash by table)."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows with words, their numbers of words, class hash, 64 bits, segment << 20 | full min-hash by table)."""
         x, inverse, sizes = self.features(texts)
         rows = np.flatnonzero(sizes)
         if not len(rows):
-            return rows, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.tables), np.int64)
+            return rows, rows, rows, rows, np.zeros((0, self.tables), np.int64)
         at = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
         cls = (np.add.reduceat(_mix(x), at) ^ (sizes[rows].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)
         out = np.zeros((len(rows), self.tables), np.int64)
@@ -121,7 +121,7 @@ class Fingerprints:
                 out[:, table] |= one.astype(np.int64) << bit
                 if (place := table * BITS + bit) < 64:
                     sketch |= one << np.uint64(place)
-        return rows, cls, sketch.view(np.int64), out
+        return rows, sizes[rows], cls, sketch.view(np.int64), out
 
 
 def common_words(text: Column, records: DataFrame, common: float) -> dict[str, int]:
@@ -156,10 +156,10 @@ def near_duplicates(records: DataFrame, id_col: str, text_cols: list[str], thres
         for pdf in batches:
             for lo in range(0, len(pdf), 4096):
                 part = pdf.iloc[lo : lo + 4096]
-                rows, cls, sketch, segs = prints(part.text.tolist())
-                yield pd.DataFrame({"id": part.id.to_numpy()[rows], "cls": cls, "sketch": sketch, "segs": list(segs)})
+                rows, n, cls, sketch, segs = prints(part.text.tolist())
+                yield pd.DataFrame({"id": part.id.to_numpy()[rows], "n": n, "cls": cls, "sketch": sketch, "segs": list(segs)})
 
-    marked = checkpointed(base.mapInPandas(mark, "id long, cls long, sketch long, segs array<long>"))
+    marked = checkpointed(base.mapInPandas(mark, "id long, n int, cls long, sketch long, segs array<long>"))
     members = marked.select("id", "cls").distinct()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,11 +167,13 @@ def near_duplicates(records: DataFrame, id_col: str, text_cols: list[str], thres
             segs = np.stack(pdf.segs.to_numpy()) if len(pdf) else np.zeros((0, tables), np.int64)
             for t in range(segs.shape[1]):
                 row, word = golay_keys(segs[:, t] >> 20)
-                yield pd.DataFrame({"key": (t << 32) | (word << 20) | (segs[row, t] & 0xFFFFF), "cls": pdf.cls.to_numpy()[row], "sketch": pdf.sketch.to_numpy()[row]})
+                yield pd.DataFrame({"key": (t << 32) | (word << 20) | (segs[row, t] & 0xFFFFF), "cls": pdf.cls.to_numpy()[row], "n": pdf.n.to_numpy()[row], "sketch": pdf.sketch.to_numpy()[row]})
 
-    keyed = marked.dropDuplicates(["cls"]).select("cls", "sketch", "segs").mapInPandas(keys, "key long, cls long, sketch long")
+    keyed = marked.dropDuplicates(["cls"]).select("cls", "n", "sketch", "segs").mapInPandas(keys, "key long, cls long, n int, sketch long")
     a, b = keyed.alias("a"), keyed.alias("b")
     close = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= differ)
+    # Multisets this similar differ in size by no more than the threshold allows; that loses nothing.
+    close &= F.least("a.n", "b.n") * threshold[1] >= F.greatest("a.n", "b.n") * threshold[0]
     candidates = checkpointed(a.join(b, close).select(F.col("a.cls").alias("class_a"), F.col("b.cls").alias("class_b")).distinct())
 
     ends = candidates.select(F.explode(F.array("class_a", "class_b")).alias("cls")).distinct()
