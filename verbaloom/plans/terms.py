@@ -40,6 +40,22 @@ def glossary_new_terms(spark: SparkSession, base: str) -> DataFrame:
     return O.new_terms(term_scores(spark, base), table(spark, base, "glossary"))
 
 
+@query()
+def term_scores_whole(spark: SparkSession, base: str) -> DataFrame:
+    """The terms of every document, as are the next two; term_scores, term_topk and glossary_new_terms only compare with SQL, on ASCII texts."""
+    return O.term_scores(table(spark, base, "documents"), "text")
+
+
+@query()
+def term_topk_whole(spark: SparkSession, base: str) -> DataFrame:
+    return O.top_terms(term_scores_whole(spark, base), 80, 5)
+
+
+@query()
+def glossary_new_terms_whole(spark: SparkSession, base: str) -> DataFrame:
+    return O.new_terms(term_scores_whole(spark, base), table(spark, base, "glossary"))
+
+
 RELEVANT = f"""with {CAT}, g as (select distinct source, coalesce(target, '') as target, coalesce(note, '') as note, regexp_replace(lower(source), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g') as k from glossary where source <> ''),
 c as (select pair_id, ' ' || regexp_replace(lower(coalesce(source, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g') || ' ' as t, lower(coalesce(source, '')) as low from cat)
 select c.pair_id, g.source, g.target, g.note from c join g on contains(c.t, ' ' || g.k || ' ') and contains(c.low, lower(g.source))"""
