@@ -43,3 +43,55 @@ def test_terms_of_texts_beyond_ascii(spark, tmp_path):
 def test_terms_of_all_documents(spark):
     texts = [r.text for r in spark.read.parquet(f"{BASE}/documents.parquet").select("text").collect()]
     assert {r.term: r.score for r in QUERIES["term_scores_whole"](spark, BASE).collect()} == plain_terms(texts)
+
+
+CATALOGUE = "pair_id long, doc_path string, lang string, ord int, id string, kind string, source string, target string, frozen boolean, fingerprint string, status string, meta string, extracted_at timestamp"
+
+
+def demo(spark, folder, rows):
+    """rows: dictionaries of what differs from a plain pair, numbered from 0."""
+    plain = {"doc_path": "d", "lang": "de", "ord": 0, "id": "x", "kind": "p", "source": "s", "target": "t", "frozen": False, "fingerprint": "f", "status": "new", "meta": None, "extracted_at": None}
+    names = [c.split()[0] for c in CATALOGUE.split(", ")]
+    made = [{"pair_id": i} | plain | {"ord": i, "id": f"x{i}"} | r for i, r in enumerate(rows)]
+    spark.createDataFrame([tuple(r[c] for c in names) for r in made], CATALOGUE).coalesce(1).write.parquet(f"{folder}/demo.parquet")
+    return str(folder)
+
+
+def pairs(spark, base):
+    """The pairs of a folder's catalogue by number; repeated deliveries are equal but for their time."""
+    return {r.pair_id: r for r in spark.read.parquet(f"{base}/demo.parquet").collect()}
+
+
+def plain_tone(cat):
+    found = {i: re.search(r"\b(du|dir|dein|dich|euch|ihr)\b", r.target or "", re.I) for i, r in cat.items() if not r.frozen}
+    return sorted((i, m.group(1).lower()) for i, m in found.items() if m)
+
+
+def plain_products(cat):
+    name = re.compile(r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b")
+    return sorted((i, p) for i, r in cat.items() if not r.frozen and r.target and r.source is not None for p in name.findall("MyTool " + r.source) if p not in r.target)
+
+
+def plain_slug(s):
+    s = re.sub(r"[^\w\s-]", "", (s or "").lower().strip())
+    return re.sub("-+", "-", re.sub(r"[\s_]+", "-", s)).strip("-") or "section"
+
+
+def same_as_plain(spark, rows, base):
+    cat = pairs(spark, base)
+    assert rows(QUERIES["ai_lint_tone_whole"](spark, base)) == sorted(plain_tone(cat), key=repr)
+    assert rows(QUERIES["ai_lint_product_case_whole"](spark, base)) == sorted(plain_products(cat), key=repr)
+    assert rows(QUERIES["slugify_whole"](spark, base)) == sorted(((i, plain_slug(r.source)) for i, r in cat.items()), key=repr)
+    return cat
+
+
+def test_checks_and_slugs_beyond_ascii(spark, rows, tmp_path):
+    base = demo(spark, tmp_path, [{"source": "Über PowerShell – ça", "target": "Für dich: geprüft"}, {"source": "Größe_ändern", "target": "début du café, éduqué, dué"}, {"source": "Grün\x1cİx ² PowerShellé", "target": "édu MyTool"}, {"source": None, "target": "du"}, {"source": "“”", "target": "Ihr Ziel é", "frozen": True}])
+    cat = same_as_plain(spark, rows, base)
+    assert plain_tone(cat) == [(0, "dich"), (1, "du"), (3, "du")] and (0, "PowerShell") in plain_products(cat)
+    assert plain_slug(cat[1].source) == "größe-ändern" and plain_slug(cat[4].source) == "section"
+
+
+@here
+def test_checks_and_slugs_of_all_pairs(spark, rows):
+    same_as_plain(spark, rows, BASE)

@@ -38,9 +38,9 @@ def segment_id(path: Column, kind: Column, index: Column, text: Column) -> Colum
 
 
 def slug(c: Column) -> Column:
-    """Lower case, words joined by hyphens; ``section`` if nothing is left."""
-    s = F.regexp_replace(F.lower(F.trim(text_or_empty(c))), r"(?U)[^\w\s-]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?U)[\s_]+", "-"), "-+", "-")
+    """Lower case, words of letters and digits (Unicode) joined by hyphens; ``section`` if nothing is left."""
+    s = F.regexp_replace(F.lower(F.trim(text_or_empty(c))), r"(?U)[^\p{L}\p{N}_\s\x1C-\x1F-]", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)[\s\x1C-\x1F_]+", "-"), "-+", "-")
     return F.coalesce(F.nullif(F.trim(s, F.lit("-")), F.lit("")), F.lit("section"))
 
 

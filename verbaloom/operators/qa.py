@@ -13,8 +13,8 @@ from verbaloom.functions import markup as M
 from verbaloom.functions import text as T
 
 #: Forms of informal address, and shares of length that look wrong.
-INFORMAL = r"(?i)\b(du|dir|dein|dich|euch|ihr)\b"
-PRODUCT = r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"
+INFORMAL = r"(?iU)\b(du|dir|dein|dich|euch|ihr)\b"
+PRODUCT = r"(?U)\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"
 LONGEST, SHORTEST, LEAST_LENGTH = 1.5, 0.45, 20
 
 

@@ -64,6 +64,12 @@ def ai_lint_tone(spark: SparkSession, base: str) -> DataFrame:
     return qa.tone(catalogue(spark, base, "frozen target").filter(F.col("target").rlike(r"^[\x00-\x7f]*\z")), ["pair_id"], "Bitte Sie verwenden")
 
 
+@query()
+def ai_lint_tone_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every target; ai_lint_tone only compares with SQL."""
+    return qa.tone(catalogue(spark, base, "frozen target"), ["pair_id"], "Bitte Sie verwenden")
+
+
 PRODUCT = r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"
 
 
@@ -73,6 +79,13 @@ def ai_lint_product_case(spark: SparkSession, base: str) -> DataFrame:
     return qa.lost_products(cat, ["pair_id"])
 
 
+@query()
+def ai_lint_product_case_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every source; ai_lint_product_case only compares with SQL."""
+    cat = catalogue(spark, base, "frozen source target").withColumn("source", F.concat(F.lit("MyTool "), F.col("source")))
+    return qa.lost_products(cat, ["pair_id"])
+
+
 @query(f"""with {MARKED}, k as (select * from l where target <> '' and not contains(source, '[doc]')),
 i as (select *, case when len({IS}) > 0 and len({IT}) = 0 then target || chr(10) || chr(10) || array_to_string(list_transform({IS}, lambda u: '![i](' || u || ')'), chr(10)) else target end as a from k where len({image('source', 1)}) = 0 or {image('source', 1)} = ['i']),
 c as (select *, a || coalesce(array_to_string(list_transform(list_filter(list_distinct({code('source')}), lambda x: not list_contains({code('a')}, x)), lambda x: ' `' || x || '`'), ''), '') as b from i where len(list_distinct({code('source')})) <= 1),

@@ -176,6 +176,12 @@ def slugify(spark: SparkSession, base: str) -> DataFrame:
     return ascii_only.select("pair_id", T.slug(F.col("source")).alias("slug"))
 
 
+@query()
+def slugify_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every source; slugify only compares with SQL."""
+    return catalogue(spark, base, "source").select("pair_id", T.slug(F.col("source")).alias("slug"))
+
+
 @query(r"""select distinct doc_path, lang, regexp_replace(regexp_replace(doc_path, '^docs/', ''), '\.[^./]*$', '') || case when lang = 'de' then '' else '.' || lang end || '.html' as html,
 regexp_replace(regexp_replace(doc_path, '^docs/', ''), '\.[^./]*$', '') || '.catalog.json' as catalog from demo""")
 def output_paths(spark: SparkSession, base: str) -> DataFrame:
