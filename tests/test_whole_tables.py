@@ -1,5 +1,6 @@
 """Queries over whole tables for which SQL sees a part only, against brute force on small tables and the smallest test tables."""
 
+import html
 import os
 import re
 from collections import Counter
@@ -95,3 +96,44 @@ def test_checks_and_slugs_beyond_ascii(spark, rows, tmp_path):
 @here
 def test_checks_and_slugs_of_all_pairs(spark, rows):
     same_as_plain(spark, rows, BASE)
+
+
+def plain_inline(s):
+    """Emphasis is looked for between code and tags, in text whose code and tags are cut out."""
+    kept = []
+
+    def cut(x):
+        kept.append(x)
+        return f"\ue000{len(kept) - 1}\ue001"
+
+    s = re.sub(r"`([^`]+)`", r"<code>\1</code>", html.escape(s))
+    s = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img src="\2" alt="\1">', s)
+    s = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', s)
+    s = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", s)
+    s = re.sub(r"(?s)<code>.*?</code>|<[^>]*>", lambda m: cut(m.group(0)), s)
+    for mark in (r"\*", "_"):
+        s = re.sub(rf"(?<![\w*]){mark}(?!\s)([^*_]+)(?<!\s){mark}(?![\w*])", r"<em>\1</em>", s)
+    return re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m.group(1))], s)
+
+
+def same_markup_and_json(spark, rows, base):
+    cat = pairs(spark, base)
+    assert rows(QUERIES["json_repair_whole"](spark, base)) == sorted(((i, r.target or "") for i, r in cat.items()), key=repr)
+    lists = rows(QUERIES["translation_lists_whole"](spark, base).select("batch", "id", "target", "ok"))
+    assert lists == sorted(((str(i), r.id, r.target, True) for i, r in cat.items() if r.id is not None and r.target is not None), key=repr)
+    blocks = rows(QUERIES["token_blocks_whole"](spark, base).select("token", "tag", "text"))
+    assert blocks == sorted(((r.id, "td", html.escape(r.source or "")) for r in cat.values() if r.id is not None), key=repr)
+    assert rows(QUERIES["inline_html_whole"](spark, base)) == sorted(((i, plain_inline(r.target or r.source or "")) for i, r in cat.items()), key=repr)
+
+
+def test_markup_and_json_that_sql_leaves_out(spark, rows, tmp_path):
+    targets = ["`a`, }", "[1, ] und ```json", 'say "x, ]" \\ ,}', "a *b* und é_c_ _d_ `_e_ *f*` [g](/_h_/) *i_ _j `k` l_", None, "", ",]\n,\t}", "**a** *b c*, 2*3*4"]
+    base = demo(spark, tmp_path, [{"target": t, "source": "<Tab a='1'> </td> *x*"} for t in targets])
+    same_markup_and_json(spark, rows, base)
+    got = {r.pair_id: r.html for r in QUERIES["inline_html_whole"](spark, base).collect()}
+    assert got[3] == 'a <em>b</em> und é_c_ <em>d</em> <code>_e_ *f*</code> <a href="/_h_/">g</a> *i_ <em>j <code>k</code> l</em>'
+
+
+@here
+def test_markup_and_json_of_all_pairs(spark, rows):
+    same_markup_and_json(spark, rows, BASE)

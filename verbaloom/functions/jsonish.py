@@ -14,16 +14,24 @@ FIELDS = ("target", "translation", "translated", "text", "value", "msgstr")
 LISTS = ("translations", "items", "results", "data", "targets")
 
 
-def repaired(c: Column) -> Column:
-    """Without a code fence and without commas before a closing bracket. Null counts as empty."""
+def _unfenced(c: Column) -> Column:
     s = F.trim(F.coalesce(c, F.lit("")))
-    s = F.regexp_replace(s, r"(?is)\A```(?:json)?\s*(.*?)\s*`*\z", "$1")
-    return F.regexp_replace(s, r",\s*([\]}])", "$1")
+    return F.regexp_replace(s, r"(?is)\A```(?:json)?\s*(.*?)\s*`*\z", "$1")
+
+
+def _without_commas(c: Column) -> Column:
+    """Quoted strings are matched first and stay as they are."""
+    return F.regexp_replace(c, r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+")|,\s*(?=[\]}])', "$1")
+
+
+def repaired(c: Column) -> Column:
+    """Without a code fence and without commas before a closing bracket, save in strings. Null counts as empty."""
+    return _without_commas(_unfenced(c))
 
 
 def widest(c: Column) -> Column:
     """From the first opening to the last closing bracket; empty if there is none."""
-    return F.regexp_extract(repaired(c), r"(?s)([\[{].*[\]}])", 1)
+    return _without_commas(F.regexp_extract(_unfenced(c), r"(?s)([\[{].*[\]}])", 1))
 
 
 def valid(c: Column) -> Column:

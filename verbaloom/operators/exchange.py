@@ -16,6 +16,8 @@ from verbaloom.operators.catalogue import resolved
 #: What an XLIFF placeholder stands for, and which helper segments a page leaves out.
 PROTECTED = re.compile(r"(`[^`]+`|\{\{[^}]+\}\}|</?[A-Z][A-Za-z0-9_.]*\b[^>]*>)")
 HELPERS = ("image_alt", "link_text", "jsx_prop", "jsx_child")
+#: Two noncharacters, which no text may hold.
+ASIDE = "\ufdd0\ufdd1"
 
 
 def ordered(value: Column, separator: str, by: str = "ord") -> Column:
@@ -148,7 +150,11 @@ def inline(c: Column) -> Column:
     s = F.regexp_replace(s, r"!\[([^\]]*)\]\(([^)\s]+)\)", '<img src="$2" alt="$1">')
     s = F.regexp_replace(s, r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>')
     s = F.regexp_replace(s, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    return F.regexp_replace(s, r"(?<![\w*])[*_]([^*_\s][^*_]*)[*_](?![\w*])", "<em>$1</em>")
+    # Stars and underscores of code and tags are set aside while emphasis is looked for.
+    parts = F.regexp_extract_all(s, F.lit(r"(?s)<code>.*?</code>|<[^>]*>|[^<]+"), F.lit(0))
+    s = F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("<")), F.translate(p, "*_", ASIDE)).otherwise(p)), "")
+    s = F.regexp_replace(s, r"(?U)(?<![\w*])([*_])([^*_\s](?:[^*_]*[^*_\s])?)\1(?![\w*])", "<em>$2</em>")
+    return F.translate(s, ASIDE, "*_")
 
 
 def html_documents(segs: DataFrame, keys: list[str], columns: int = 2) -> DataFrame:

@@ -98,6 +98,12 @@ def inline_html(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("pair_id", O.inline(F.col("shown")).alias("html"))
 
 
+@query()
+def inline_html_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every shown text; inline_html only compares with SQL."""
+    return O.shown(catalogue(spark, base, "source target")).select("pair_id", O.inline(F.col("shown")).alias("html"))
+
+
 @query()
 def render_html(spark: SparkSession, base: str) -> DataFrame:
     return O.html_documents(O.shown(O.diagrams(catalogue(spark, base))), KEYS)

@@ -116,7 +116,17 @@ def visual_overflow(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {CAT} select id as token, 'td' as tag, {html('coalesce(source, %s)' % (chr(39) * 2))} as text from cat where id is not null and not contains(coalesce(source, ''), '<')")
 def token_blocks(spark: SparkSession, base: str) -> DataFrame:
-    rows = catalogue(spark, base, "id source").filter("id is not null").filter(~F.contains(T.text_or_empty(F.col("source")), F.lit("<")))
+    return _blocks(catalogue(spark, base, "id source").filter(~F.contains(T.text_or_empty(F.col("source")), F.lit("<"))))
+
+
+@query()
+def token_blocks_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every source; token_blocks only compares with SQL."""
+    return _blocks(catalogue(spark, base, "id source"))
+
+
+def _blocks(cat: DataFrame) -> DataFrame:
+    rows = cat.filter("id is not null")
     page = rows.select(F.concat(F.lit('<table><tr><td data-token="'), F.col("id"), F.lit('">'), T.html_escape(F.col("source")), F.lit("</td></tr></table>")).alias("html"))
     return qa.token_blocks(page.withColumn("html", F.regexp_replace("html", "^<table><tr>|</tr></table>$", "")), "html")
 
@@ -125,13 +135,33 @@ def token_blocks(spark: SparkSession, base: str) -> DataFrame:
 select pair_id, json_extract_string(regexp_replace(trim(replace(replace(reply, '```json', ''), '```', '')), ',\\s*([\\]}}])', '\\1', 'g'), '$.translations[0]') as target from r""")
 def json_repair(spark: SparkSession, base: str) -> DataFrame:
     clean = catalogue(spark, base, "target").filter(~F.contains(T.text_or_empty(F.col("target")), F.lit("`")) & ~T.text_or_empty(F.col("target")).rlike(r",\s*[\]}]"))
+    return _from_reply(clean)
+
+
+@query()
+def json_repair_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every target; json_repair only compares with SQL."""
+    return _from_reply(catalogue(spark, base, "target"))
+
+
+def _from_reply(cat: DataFrame) -> DataFrame:
     inner = F.regexp_extract(F.to_json(F.struct(T.text_or_empty(F.col("target")).alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
     reply = F.concat(F.lit('```json\n{"translations": ['), inner, F.lit(",],}\n```"))
-    return clean.select("pair_id", F.get_json_object(jsonish.repaired(reply), "$.translations[0]").alias("target"))
+    return cat.select("pair_id", F.get_json_object(jsonish.repaired(reply), "$.translations[0]").alias("target"))
 
 
 @query(f"with {CAT} select pair_id::varchar as batch, id, target, true as ok from cat where id is not null and target is not null and not regexp_matches(target, ',\\s*[\\]}}]')")
 def translation_lists(spark: SparkSession, base: str) -> DataFrame:
-    rows = catalogue(spark, base, "id target").filter("id is not null and target is not null").filter(~F.col("target").rlike(r",\s*[\]}]"))
+    return _from_lists(catalogue(spark, base, "id target").filter(~F.col("target").rlike(r",\s*[\]}]")))
+
+
+@query()
+def translation_lists_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every target that isn't null; translation_lists only compares with SQL."""
+    return _from_lists(catalogue(spark, base, "id target"))
+
+
+def _from_lists(cat: DataFrame) -> DataFrame:
+    rows = cat.filter("id is not null and target is not null")
     reply = F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.array(F.struct("id", "target")).alias("items"))), F.lit(" done"))
     return jsonish.translations(rows.select("pair_id", F.array("id").alias("ids"), reply.alias("reply")), "pair_id", "ids", "reply")
