@@ -1,5 +1,6 @@
 """Queries over whole tables for which SQL sees a part only, against brute force on small tables and the smallest test tables."""
 
+import difflib
 import html
 import os
 import re
@@ -137,3 +138,85 @@ def test_markup_and_json_that_sql_leaves_out(spark, rows, tmp_path):
 @here
 def test_markup_and_json_of_all_pairs(spark, rows):
     same_markup_and_json(spark, rows, BASE)
+
+
+def plain_merge(cat):
+    last = {}
+    for r in sorted(cat.values(), key=lambda r: (r.ord, r.pair_id)):
+        last[r.lang, r.id] = r
+    out = []
+    for r in cat.values():
+        own, e = "needs_review" if r.ord % 7 == 0 else "new", last[r.lang, r.id] if r.id is not None else None
+        if e is None:
+            out.append((r.pair_id, "", own))
+        else:
+            out.append((r.pair_id, e.target or "", "needs_review" if "needs_review" in (own, e.status) else "translated" if e.target else own))
+    return sorted(out, key=repr)
+
+
+def plain_sync(cat):
+    cut = lambda r: "" if r.ord % 5 == 0 else r.target
+    best = {}
+    for r in sorted(cat.values(), key=lambda r: (r.ord, r.pair_id)):
+        if r.fingerprint is not None and cut(r) and (r.status or "").strip(" ").lower() in ("translated", "needs_review"):
+            k = (r.lang, r.fingerprint)
+            if k not in best or (r.ord, r.id) >= (best[k].ord, best[k].id):
+                best[k] = r
+    return {r.pair_id: {(x.target, x.id) for x in cat.values() if (x.ord, x.id, x.lang, x.fingerprint) == (b.ord, b.id, b.lang, b.fingerprint)} for r in cat.values() if not r.frozen and not cut(r) and (b := best.get((r.lang, r.fingerprint)))}
+
+
+def plain_po(cat):
+    new = {}
+    for r in cat.values():
+        t = 'Neu "\\n\n' + r.target if r.ord % 2 == 0 and r.target else r.target or ""
+        if not r.frozen and r.id is not None:
+            k = (r.doc_path, r.lang, r.id)
+            new[k] = max(new.get(k, ""), t)
+    return sorted(((r.pair_id, n, "translated") if (n := new.get((r.doc_path, r.lang, r.id))) else (r.pair_id, r.target, r.status) for r in cat.values()), key=repr)
+
+
+def plain_ids(cat):
+    out = []
+    for page, lang in sorted({(r.doc_path, r.lang) for r in cat.values() if r.lang != "en"}):
+        used = set()
+        mine, old = (sorted((r for r in cat.values() if r.doc_path == page and r.lang == x), key=lambda r: r.ord) for x in (lang, "en"))
+        text = lambda r: " ".join((r.source or "").replace("\r\n", "\n").split())
+        for r in mine:
+            best, top = None, 0
+            for o in old:
+                if o.kind == r.kind and (r.kind, o.id) not in used and (n := difflib.SequenceMatcher(None, text(r), text(o)).ratio()) > top:
+                    best, top = o, n
+            if top >= 0.88:
+                used.add((r.kind, best.id))
+                out.append((page, lang, r.ord, best.id, "current" if best.fingerprint == r.fingerprint else "needs_review"))
+            else:
+                out.append((page, lang, r.ord, r.id, r.status))
+    return sorted(out, key=repr)
+
+
+def same_states(spark, rows, base):
+    cat = pairs(spark, base)
+    assert rows(QUERIES["catalog_merge_whole"](spark, base)) == plain_merge(cat)
+    sync, got = plain_sync(cat), QUERIES["branch_sync_whole"](spark, base).collect()
+    assert sorted(r.pair_id for r in got) == sorted(sync) and all((r.target, r.synced_from_id) in sync[r.pair_id] for r in got)
+    assert rows(QUERIES["po_import_merge_whole"](spark, base)) == plain_po(cat)
+
+
+def test_states_of_every_language(spark, rows, tmp_path):
+    made = [{"lang": lang, "ord": i, "id": f"x{i}", "target": f"{lang}{i}", "status": "translated", "fingerprint": f"f{i // 6}", "source": f"The number of the text is {i}"} for lang in ("en", "de", "it") for i in range(8)]
+    base = demo(spark, tmp_path, made)
+    same_states(spark, rows, base)
+    got = {r.pair_id: r for r in QUERIES["catalog_merge_whole"](spark, base).collect()}
+    assert got[9].target == "de1" and got[17].target == "it1"
+    synced = {r.pair_id: r.target for r in QUERIES["branch_sync_whole"](spark, base).collect()}
+    assert synced[8] == "de4" and synced[16] == "it4"
+    merged = {r.pair_id: r.target for r in QUERIES["po_import_merge_whole"](spark, base).collect()}
+    assert merged[10] == 'Neu "\\n\nde2' and merged[11] == "de3"
+    ids = rows(QUERIES["id_reuse_greedy"](spark, base).select("doc_path", "lang", "ord", "id", "status"))
+    assert ids == plain_ids(pairs(spark, base)) and {r[1] for r in ids} == {"de", "it"}
+
+
+@here
+def test_states_of_all_pairs(spark, rows):
+    same_states(spark, rows, BASE)
+    assert rows(QUERIES["id_reuse_greedy"](spark, BASE).select("doc_path", "lang", "ord", "id", "status")) == plain_ids(pairs(spark, BASE))

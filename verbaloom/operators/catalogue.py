@@ -89,10 +89,10 @@ def needs_translation(catalogue: DataFrame) -> DataFrame:
     return catalogue.filter(~F.coalesce("frozen", F.lit(False)) & (T.text_or_empty(F.col("target")) == ""))
 
 
-def merge_targets(segs: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Targets and status of the last entry with a segment's id; segments without one stay as they are."""
-    old = catalogue.groupBy("id").agg(F.max_by(F.struct("target", "status"), "ord").alias("e"))
-    joined = segs.join(old, "id", "left")
+def merge_targets(segs: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Targets and status of the last entry with a segment's id; segments without one stay as they are. keys: what must be equal besides, such as the language."""
+    old = catalogue.groupBy(*keys, "id").agg(F.max_by(F.struct("target", "status"), "ord").alias("e"))
+    joined = segs.join(old, [*keys, "id"], "left")
     target = F.when(F.col("e").isNotNull(), T.text_or_empty(F.col("e.target"))).otherwise(F.col("target"))
     status = (
         F.when(F.col("e").isNull(), F.col("status"))

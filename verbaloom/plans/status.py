@@ -112,6 +112,15 @@ def catalog_merge(spark: SparkSession, base: str) -> DataFrame:
     return C.merge_targets(new, once).select("pair_id", "target", "status")
 
 
+@query()
+def catalog_merge_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every language, each merged with its own entries; catalog_merge only compares with SQL, in English."""
+    old = catalogue(spark, base, "lang status target ord id")
+    new = old.withColumns({"target": F.lit(""), "status": F.when(F.col("ord") % 7 == 0, "needs_review").otherwise("new")})
+    once = old.groupBy("lang", "id").agg(F.max_by(F.struct("target", "status", "ord"), F.struct("ord", "pair_id")).alias("e")).select("lang", "id", "e.*")
+    return C.merge_targets(new, once, ("lang",)).select("pair_id", "target", "status")
+
+
 @query(f"with {CAT} select pair_id, coalesce(nullif(target, ''), source) as shown from cat")
 def target_resolution(spark: SparkSession, base: str) -> DataFrame:
     return catalogue(spark, base, "target source").select("pair_id", C.resolved("target", "target", "source").alias("shown"))
@@ -122,7 +131,18 @@ best as (select doc_path, fingerprint, target, id from n where fingerprint is no
 select n.pair_id, best.target, best.id as synced_from_id from n join best using (fingerprint) where not coalesce(n.frozen, false) and coalesce(n.target, '') = ''""")
 def branch_sync(spark: SparkSession, base: str) -> DataFrame:
     """The branch to fill lacks every fifth target; pages repeat some of their texts."""
-    both = catalogue(spark, base, "doc_path lang frozen status target ord id fingerprint").filter("lang = 'en'").withColumns({"status": F.lower(F.trim(T.text_or_empty(F.col("status")))), "doc_path": F.lit("all"), "target": F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("target"))})
+    return _synced(catalogue(spark, base, "doc_path lang frozen status target ord id fingerprint").filter("lang = 'en'"))
+
+
+@query()
+def branch_sync_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every language, each filled from itself; branch_sync only compares with SQL, in English."""
+    return _synced(catalogue(spark, base, "doc_path lang frozen status target ord id fingerprint"))
+
+
+def _synced(cat: DataFrame) -> DataFrame:
+    # The language stands for the page: texts are shared by all pages of a language.
+    both = cat.withColumns({"status": F.lower(F.trim(T.text_or_empty(F.col("status")))), "doc_path": F.col("lang"), "target": F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("target"))})
     # An id may come twice in a catalogue, so the pair's number stands for it on the side to fill.
     synced = C.sync_targets(both.withColumn("id", F.col("pair_id")), both)
     return synced.select(F.col("id").alias("pair_id"), "target", "synced_from_id")
@@ -154,8 +174,12 @@ def incremental_changed_docs(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def id_reuse_greedy(spark: SparkSession, base: str) -> DataFrame:
-    """Segments in English against the manifest of the German catalogue of the same pages; tested against a plain greedy match."""
+    """Segments of every other language against the manifest of the English catalogue of the same pages, each language for itself; tested against a plain greedy match."""
     own = catalogue(spark, base, "doc_path lang ord id kind source fingerprint status").withColumnRenamed("source", "src_text")
-    new = own.filter("lang = 'fr'").select("doc_path", "kind", "ord", "id", "fingerprint", "src_text", "status")
-    old = own.filter("lang = 'en'").select("doc_path", "kind", "ord", "id", "fingerprint", "src_text")
-    return C.reuse_ids(new, old).select("doc_path", "ord", "id", "status")
+    # A page in one language is a document of its own, so a language can't use up the ids of another.
+    page = F.to_json(F.struct("doc_path", "lang"))
+    new = own.filter("lang <> 'en'").withColumn("doc_path", page)
+    pages = new.select("doc_path").distinct().withColumn("page", F.get_json_object("doc_path", "$.doc_path"))
+    old = own.filter("lang = 'en'").withColumnRenamed("doc_path", "page").join(pages, "page").select(*[F.col(c).alias(c) for c in ("doc_path", "kind", "ord", "id", "fingerprint", "src_text")])
+    reused = C.reuse_ids(new.select("doc_path", "kind", "ord", "id", "fingerprint", "src_text", "status"), old)
+    return reused.select(F.get_json_object("doc_path", "$.doc_path").alias("doc_path"), F.get_json_object("doc_path", "$.lang").alias("lang"), "ord", "id", "status")
