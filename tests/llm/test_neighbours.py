@@ -52,3 +52,15 @@ def test_strings_are_cut_at_the_block(spark):
     cut = tree.prefixes(x, np.arange(len(x)), 100, 8.0)
     _, sizes = np.unique(cut, return_counts=True)
     assert sizes.max() <= 400 and len(sizes) >= 40
+
+
+def test_copies_never_make_a_node_of_other_vectors_flat():
+    for share in (3, 2):
+        for seed in range(20):
+            g = np.random.default_rng(seed)
+            x = g.standard_normal((600, DIM)).astype(np.float32)
+            x[: 600 // share + 30 * (share == 2)] = x[0]
+            tree = N.Tree(x, 32, seed)
+            cut = tree.prefixes(x, np.arange(len(x)), 50, 1.0)
+            dealt = [i for i, p in enumerate(cut) if "#" in p]
+            assert dealt and (x[dealt] == x[0]).all(), (share, seed)

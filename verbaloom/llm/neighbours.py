@@ -67,23 +67,30 @@ class Tree:
 
     @staticmethod
     def _cut(x: np.ndarray, rng: np.random.Generator):
-        """A hyperplane between two means; where it would be lopsided, at the median."""
+        """A hyperplane between two means; where it would be lopsided, at the median. None only if all vectors are equal, up to rounding."""
         y = x if len(x) <= 2048 else x[rng.choice(len(x), 2048, replace=False)]
-        c = y[rng.choice(len(y), 2, replace=False)]
+        first = y[rng.integers(len(y))]
+        others = np.flatnonzero(np.abs(x - first).max(axis=1) > 1e-6)
+        if not len(others):
+            return None
+        c = start = np.stack([first, x[rng.choice(others)]])
         for _ in range(6):
             right = (y @ (c[0] - c[1])) > (c[0] @ c[0] - c[1] @ c[1]) / 2
             if right.all() or not right.any():
                 break
             c = np.stack([y[right].mean(0), y[~right].mean(0)])
         w = c[0] - c[1]
-        norm = float(np.linalg.norm(w))
-        if norm < 1e-6:
-            return None
-        w = w / norm
+        if np.linalg.norm(w) < 1e-6:
+            c = start
+            w = c[0] - c[1]
+        w = w / float(np.linalg.norm(w))
         p, b = x @ w, float(((c[0] + c[1]) / 2) @ w)
         if min((p > b).sum(), (p <= b).sum()) < 0.1 * len(x):
             b = float(np.median(p))
         right = p > b
+        if right.all() or not right.any():  # copies hold the median: between the outermost
+            b = float((p.min() + p.max()) / 2)
+            right = p > b
         return None if right.all() or not right.any() else (w.astype(np.float32), b, right)
 
     def prefixes(self, x: np.ndarray, ids: np.ndarray, block: int, scale: float) -> np.ndarray:
