@@ -33,3 +33,11 @@ def test_forms(spark):
     df = spark.createDataFrame([(1, "Ａ"), (2, None), (3, "​ "), (4, "ß" * 100_000)], "id long, source string")
     got = {r.id: (r.form, r.key) for r in K.canonical(df, "id", "source").collect()}
     assert got[1] == ("A", "a") and got[2] == (None, None) and got[3] == ("", "") and got[4][1] == "ss" * 100_000
+
+
+def test_forms_of_both_tables(spark, rows, tmp_path):
+    from verbaloom.llm.queries import p5_forms
+
+    spark.createDataFrame([(1, "Ａ b"), (1, "Ａ b"), (2, None)], "pair_id long, source string").write.parquet(f"{tmp_path}/demo.parquet")
+    spark.createDataFrame([(1, "A b"), (7, "ﬁle"), (7, "ﬁle")], "entry_id long, source string").write.parquet(f"{tmp_path}/tm_entries.parquet")
+    assert rows(p5_forms(spark, str(tmp_path)).select("table", "id", "form", "key")) == [("demo", 1, "A b", "a b"), ("demo", 2, None, None), ("tm_entries", 1, "A b", "a b"), ("tm_entries", 7, "file", "file")]

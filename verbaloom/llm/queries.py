@@ -48,7 +48,13 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, base: str) -> DataFrame:
-    return canonical.canonical(table(spark, base, "demo").dropDuplicates(["pair_id"]), "pair_id", "source")
+    """(table, id, form, key) of the sources of both tables."""
+
+    def forms(name: str, ident: str) -> DataFrame:
+        once = table(spark, base, name).select(ident, "source").dropDuplicates([ident])
+        return canonical.canonical(once, ident, "source").select(F.lit(name).alias("table"), "id", "form", "key")
+
+    return forms("demo", "pair_id").unionByName(forms("tm_entries", "entry_id"))
 
 
 def p6_packed(spark: SparkSession, base: str) -> DataFrame:
