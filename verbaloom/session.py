@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +46,44 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; what is in it goes when the session's process ends, or by ``release``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    return path
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    made = spark.sparkContext.__dict__.setdefault("_verbaloom_scratch", [])
+    if not made:
+        atexit.register(release, spark)
+    made.append(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this session's checkpoints and stored tables. Results not yet read may depend on them."""
+    made = spark.sparkContext.__dict__.get("_verbaloom_scratch", [])
+    while made:
+        path = made.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage by a table in columns in the shared folder: for wide rows of which later steps read a part."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+    own = sc._jsc.sc().getCheckpointDir().get()
+    if own not in sc.__dict__.setdefault("_verbaloom_checkpoints", set()):
+        sc._verbaloom_checkpoints.add(own)
+        _remember(df.sparkSession, own)
     return df.checkpoint(eager=True)
