@@ -1,31 +1,37 @@
 """Problem 8: template residue, filler, error pages and scripts-required notices.
 
-A document is taken apart into lines outside code; a line's skeleton is its words without markup, numbers,
-case and repeated sentences, with every placeholder or run of pseudo-Latin reduced to one mark. Lines that a
-strict rule recognises are trusted: an unfilled placeholder, mostly pseudo-Latin, or the skeleton of one of
-the known sentences. From the trusted texts the label spreads to near-duplicates: lines meet in partitioned
-tables of a 64-bit SimHash, the Hamming distance and then the words are compared, and verified links are
-followed until no new line is found; connected components carry the label from trusted lines to the others.
-
-A placeholder marks its own line only and is no start for the search, since the same line with the
-placeholder filled in would be as near to it. Documents are read in full; nothing is capped.
+A document is taken apart into units outside code: its lines, and the sentences of paragraphs that hold several
+(also where a sentence is wrapped over lines). A unit's skeleton is its words without markup, numbers, case and
+repeated sentences, with every placeholder or run of pseudo-Latin reduced to one mark. No sentence is known
+beforehand. Trusted labels come from the structure of a unit alone:
+
+* a placeholder in the syntax of a template engine (``{{x}}``, ``{% x %}``, ``${x}``, ``#{x}``);
+* mostly pseudo-Latin, keys struck along the rows of a keyboard, or a line that says one thing three times over;
+* a line that is an HTTP status (``HTTP 503: ...``, ``# 503 ...``, ``... (503)``);
+* what stands in a ``noscript`` element.
+
+All else is found as a near-duplicate of a trusted unit. Units meet in partitioned tables of a 64-bit SimHash: four
+tables of 16 bits, in which the searching side also looks up every key that differs in at most two bits, so that
+units within eleven bits meet for certain. The Hamming distance and then the words are compared, verified links are
+followed until no new unit is found, and connected components carry the labels. Possible placeholders in signs
+that also serve other ends (``[x]``, ``{x}``, ``<x>``, ``%x%``, ``__x__`` ...) take part with the slot masked and link with masked units
+only, since the same line with the slot filled in is as near. Documents are read once and in full; nothing is capped.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbaloom.llm.graph import connected_components
-from verbaloom.session import checkpointed
+from verbaloom.session import checkpointed, stored
 
 FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 #: A code span ends in its own paragraph.
@@ -33,55 +39,52 @@ SPAN = re.compile(r"(?<!`)(`+)(?!`)((?:[^\n]|\n(?![ \t]*(?:\n|[-*+>#|]|\d+[.)]))
 OWN_SPAN = re.compile(r"`[^`\n]+`")
 WORD = re.compile(r"[^\W\d_]+|\x01|\x02")
 NAME = r"[^\W\d][\w.\-]*(?: [^\W\d][\w.\-]*){0,3}"  # an identifier or a few words
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]*\}\}|\{%[^%{}\n]*%\}|\$\{[^{}\n]+\}|<<[^<>\n]+>>|\[\[[^\[\]\n]+\]\]"
-    rf"|(?<![\w%])%{NAME}%(?![\w%])|(?<!\w)__[^\W\d_][\w.]*[^\W_]__(?!\w)|(?<![{{$%\w])\{{(?:TODO: ?)?{NAME}\}}(?!\}})"
-    rf"|(?<![\[\]!\w])\[(?=[^\]]{{2}})(?:TODO: ?[^\[\]\n]+|{NAME})\](?![\[\](:])|(?<![<\w])<(?:TODO: ?[^<>\n]+|[^\W\d]\w*(?: [^\W\d]\w*){{1,3}}|[A-Z][A-Z_]+|[a-z]+[A-Z_]\w+)>(?!>)"
+#: The syntax of template engines, which nothing else uses.
+ENGINE = r"\{\{[^{}\n]*\}\}|\{%[^%{}\n]*%\}|[$#]\{[^{}\n]+\}"
+#: Signs that stand around a placeholder, but also around a link of a wiki, strong text, a variable or a label.
+SIGNS = (
+    rf"<<[^<>\n]+>>|\[\[[^\[\]\n]+\]\]|(?<![\w%])%{NAME}%(?![\w%])|(?<!\w)__[^\W\d_][\w.]*[^\W_]__(?!\w)"
+    rf"|(?<![{{$#%\w])\{{(?:TODO: ?)?{NAME}\}}(?!\}})|(?<![\[\]!\w])\[(?=[^\]]{{2}})(?:TODO: ?[^\[\]\n]+|{NAME})\](?![\[\](:])"
+    r"|(?<![<\w])<(?:TODO: ?[^<>\n]+|[^\W\d]\w*(?: [^\W\d]\w*){1,3}|[A-Z][A-Z_]+|[a-z]+[A-Z_]\w+)>(?!>)"
 )
+SURE = re.compile(ENGINE)
+MAYBE = re.compile(SIGNS)
 HINT = re.compile(r"[{<\[%]|__")
 TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>")
-
-#: Words of pseudo-Latin filler.
+#: The codes of client and server errors in HTTP.
+CODES = r"(?:40\d|41[0-8]|42[1-6]|428|429|431|451|50[0-8]|51[01])"
+#: A status as a whole line: named by its protocol, a title that begins with the code, or a title with the code behind it.
+STATUS = re.compile(rf"^\W*HTTP(?:/\d(?:\.\d)?)?\W{{0,3}}{CODES}\b\W*[^\d.]*$|^\s*(?:#|\*\*|__|<h\d>)\W*{CODES}\W{{1,3}}[^\W\d][^\d.]*$|^\W*[^\W\d][^\d.]*\((?:HTTP )?{CODES}\)\W*$", re.I)
+NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.I | re.S)
+SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)\]*_]*\s+")
+#: What begins a block of its own, so that no paragraph runs on.
+OWN = re.compile(r"^\s*(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|\||:::|[-*_=]{3,}\s*$|<)")
+#: Words of pseudo-Latin filler, without those that also are common words of today.
 LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua "
-    "enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
-    "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt "
-    "culpa officia deserunt mollit anim laborum vitae lectus fermis felis sapien rutrum augue pulvis varus ornare "
-    "cursus dapibus magnis mollis".split()
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim "
+    "minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit "
+    "voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt "
+    "mollit anim laborum vitae lectus felis sapien rutrum augue ornare cursus dapibus magnis mollis porta fermentum pulvinar "
+    "varius accumsan aenean aliquam bibendum blandit condimentum congue convallis curabitur cras diam dictumst dignissim donec "
+    "efficitur egestas eget eleifend eros etiam euismod facilisis faucibus feugiat finibus fringilla fusce gravida habitasse "
+    "hendrerit iaculis imperdiet interdum justo lacinia lacus laoreet libero ligula lobortis luctus maecenas malesuada mattis "
+    "mauris metus molestie morbi neque nibh nisl nunc odio orci pellentesque pharetra phasellus placerat platea porttitor "
+    "posuere praesent pretium proin purus quisque rhoncus risus sagittis scelerisque semper sodales sollicitudin suscipit "
+    "suspendisse tellus tempus tincidunt tortor tristique turpis ultrices ultricies urna vehicula vestibulum vivamus viverra "
+    "volutpat vulputate".split()
 )
-#: Messages of error pages.
-ERRORS = """
-Page not found | Access denied | Service unavailable | Internal server error | Gateway timed out | Bad gateway | Forbidden
-Seite nicht gefunden | Zugriff verweigert | Dienst nicht verfügbar | Interner Serverfehler | Zeitüberschreitung der Verbindung
-Page introuvable | Accès refusé | Service indisponible | Erreur interne du serveur | Délai de connexion dépassé
-Página no encontrada | Acceso denegado | Servicio no disponible | Error interno del servidor | Tiempo de espera agotado
-Pagina non trovata | Accesso negato | Servizio non disponibile | Errore interno del server | Tempo di connessione scaduto
-Pagina niet gevonden | Toegang geweigerd | Dienst niet beschikbaar | Interne serverfout | Verbinding verlopen
-"""
-#: Notices that scripts must be enabled.
-NOTICES = """
-Please enable JavaScript to view this page. | We cannot load the content without JavaScript. | This app needs scripts. Your browser has them turned off. | Your browser is not supported. Scripts and cookies must be allowed.
-Bitte aktivieren Sie JavaScript, um diese Seite zu sehen. | Ohne JavaScript können wir den Inhalt nicht laden. | Diese Anwendung benötigt Skripte. Ihr Browser hat sie abgeschaltet. | Ihr Browser wird nicht unterstützt. Skripte und Cookies müssen erlaubt sein.
-Veuillez activer JavaScript pour afficher cette page. | Sans JavaScript, nous ne pouvons pas charger le contenu. | Cette application a besoin de scripts. Votre navigateur les a désactivés. | Votre navigateur n'est pas pris en charge. Les scripts et les cookies doivent être autorisés.
-Active JavaScript para ver esta página. | Sin JavaScript no podemos cargar el contenido. | Esta aplicación necesita scripts. Su navegador los tiene desactivados. | Su navegador no es compatible. Debe permitir scripts y cookies.
-Attivare JavaScript per visualizzare questa pagina. | Senza JavaScript non possiamo caricare il contenuto. | Questa applicazione richiede script. Il browser li ha disattivati. | Il browser non è supportato. Script e cookie devono essere consentiti.
-Schakel JavaScript in om deze pagina te bekijken. | Zonder JavaScript kunnen we de inhoud niet laden. | Deze toepassing heeft scripts nodig. Uw browser heeft ze uitgeschakeld. | Uw browser wordt niet ondersteund. Scripts en cookies moeten toegestaan zijn.
-"""
-#: Filler in place of content.
-FILLER = """
-Sample text, replace before publishing. | Your text goes here. This is dummy copy only. | Blah blah blah, content to follow, blah blah. | asdf asdf qwer jkl test test
-Platzhaltertext, bitte vor der Veröffentlichung ersetzen. | Hier steht später der eigentliche Text. Dies ist nur ein Blindtext. | Bla bla bla, Inhalt folgt, bla bla. | asdf asdf qwer jklö test test
-Texte provisoire, à remplacer avant publication. | Votre texte ici. Ceci n'est qu'un faux texte. | Bla bla bla, contenu à venir, bla bla. | azer azer qsdf jklm test test
-Texto de muestra, sustituir antes de publicar. | Aquí va su texto. Esto es solo texto de relleno. | Bla bla bla, contenido pendiente, bla bla. | asdf asdf qwer jklñ prueba prueba
-Testo di prova, da sostituire prima della pubblicazione. | Qui va il testo vero. Questo è solo testo segnaposto. | Bla bla bla, contenuto in arrivo, bla bla. | asdf asdf qwer jkl prova prova
-Voorbeeldtekst, vervangen vóór publicatie. | Hier komt later de echte tekst. Dit is slechts opvultekst. | Bla bla bla, inhoud volgt, bla bla. | asdf asdf qwer jkl test test
-"""
+#: Rows of letters on keyboards.
+KEYS = "qwertyuiop asdfghjklö qwertzuiopü asdfghjklñ azertyuiop qsdfghjklm zxcvbnm yxcvbnm wxcvbn".split()
+RUNS = frozenset(row[i:j] for row in KEYS for i in range(len(row)) for j in range(i + 3, len(row) + 1))
 #: What an error message may be wrapped in.
 AROUND = frozenset({"http", "https", "error", "fehler", "erreur", "errore", "fout", "status", "code"})
+PLAIN, SLOT, TEMPLATE, FILLER, MESSAGE = range(5)  # SLOT: perhaps a placeholder; the last three are trusted
+LABELS = {TEMPLATE: "placeholder", FILLER: "filler", MESSAGE: "message"}
+TABLES, WIDTH = 4, 16
 
 
-def lines_of(text: str) -> list[str]:
-    """The lines outside fenced code; a code span becomes a blank sign."""
+def masked(text: str) -> str:
+    """The text outside code, with \\x03 for a code span."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
         text = FENCE.sub("\n", text)
@@ -89,35 +92,66 @@ def lines_of(text: str) -> list[str]:
         # Where every line closes its own spans, a plainer pattern finds the same.
         own = "``" not in text and all(x.count("`") % 2 == 0 for x in text.split("\n"))
         text = (OWN_SPAN if own else SPAN).sub(" \x03 ", text)
-    return [x for x in text.split("\n") if x.strip()]
+    return text
 
 
-def skeleton(line: str) -> tuple[tuple[str, ...], bool, bool]:
-    """(words, holds a placeholder, mostly pseudo-Latin). \x01 stands for a placeholder, \x02 for pseudo-Latin."""
-    slot = False
+def lines_of(text: str) -> list[str]:
+    return [x for x in masked(text).split("\n") if x.strip()]
+
+
+def sentences_of(lines: list[str]) -> Iterator[str]:
+    """The sentences of paragraphs that hold several or run over several lines. lines: with the blank ones."""
+    run: list[str] = []
+    for line in [*lines, ""]:
+        own = OWN.match(line) is not None
+        if run and (own or not line.strip()):
+            if len(run) > 1 or SENTENCE.search(run[0]):
+                yield from SENTENCE.split(" ".join(run))
+            run = []
+        if line.strip():
+            run.append(line)
+            if own and line.lstrip()[:1] in "#|":
+                if SENTENCE.search(line):
+                    yield from SENTENCE.split(line)
+                run = []
+
+
+def mashed(words: list[str]) -> bool:
+    """Mostly keys struck one beside the other, in two different words at least."""
+    return not RUNS.isdisjoint(words) and len(RUNS.intersection(words)) >= 2 and sum(w in RUNS for w in words) * 2 >= len(words)
+
+
+def skeleton(line: str) -> tuple[tuple[str, ...], int]:
+    """(words, kind). \\x01 stands for a placeholder, \\x02 for pseudo-Latin."""
+    kind, bare = PLAIN, line
     if HINT.search(line):
-        marked = PLACEHOLDER.sub(" \x01 ", line)
-        slot = "\x01" in marked
-        line = TAG.sub(" ", marked)
-    found = WORD.findall(line.lower())
-    if LATIN.isdisjoint(found):
-        out, latin = found, 0
-    else:
-        out, latin = [], 0
+        bare = SURE.sub(" \x01 ", line)
+        kind = TEMPLATE if "\x01" in bare else PLAIN
+        bare = MAYBE.sub(" \x01 ", bare)
+        if kind == PLAIN and "\x01" in bare:
+            kind = SLOT
+        bare = TAG.sub(" ", bare)
+    found = WORD.findall(bare.casefold())
+    out, latin = found, 0 if LATIN.isdisjoint(found) else sum(w in LATIN for w in found)
+    if latin >= 3 and latin >= 0.3 * len(found):
+        out = []
         for w in found:
             if w not in LATIN:
                 out.append(w)
-                continue
-            latin += 1
-            if not out or out[-1] != "\x02":
+            elif not out or out[-1] != "\x02":
                 out.append("\x02")
-    n = len(out)  # a sentence repeated over and over counts once
-    if n > 1 and out.count(out[0]) > 1:
+    n, times = len(out), 1
+    if n > 1 and out.count(out[0]) > 1:  # what is said over and over counts once
         for period in range(1, n // 2 + 1):
             if n % period == 0 and out == out[:period] * (n // period):
-                out = out[:period]
+                out, times = out[:period], n // period
                 break
-    return tuple(out), slot, len(found) >= 3 and latin >= 0.7 * len(found)
+    if kind == PLAIN and found:
+        if len(found) >= 3 and latin >= 0.6 * len(found) or times >= 3 and len(out) >= 3 and line.lstrip()[:1] != "|" or mashed(found):
+            kind = FILLER
+        elif n <= 12 and ("4" in line or "5" in line) and STATUS.match(bare):
+            kind = MESSAGE
+    return tuple(out), kind
 
 
 def core(words: tuple[str, ...]) -> tuple[str, ...]:
@@ -127,14 +161,28 @@ def core(words: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(w for w in words if w not in AROUND) or words
 
 
-def exemplars() -> list[tuple[str, ...]]:
-    """Skeletons of the known sentences, whole and sentence by sentence."""
-    out = []
-    for text in re.split(r"[|\n]", unicodedata.normalize("NFC", ERRORS + NOTICES + FILLER)):
-        if text.strip():
-            parts = [text, *re.split(r"(?<=\.)\s+", text.strip())]
-            out += [core(skeleton(p)[0]) for p in parts]
-    return [w for w in dict.fromkeys(out) if w]
+def units_of(text: str) -> dict[tuple[str, ...], int]:
+    """The skeletons of a text's lines and sentences, each with its kind."""
+    text, found = masked(text), {}
+    lines = text.split("\n")
+
+    def take(part: str, kind: int = PLAIN) -> None:
+        words, own = skeleton(part)
+        if words:
+            words, kind = core(words), max(own, kind)
+            if kind > found.get(words, -1):
+                found[words] = kind
+
+    if "noscript" in text.lower():
+        for m in NOSCRIPT.finditer(text):
+            for part in (m.group(1), *SENTENCE.split(m.group(1))):
+                take(part, MESSAGE)
+    for line in lines:
+        if line.strip():
+            take(line)
+    for part in sentences_of(lines):
+        take(part)
+    return found
 
 
 def simhash(units: list[tuple[str, ...]], known: dict[str, int]) -> np.ndarray:
@@ -154,7 +202,7 @@ def unit_id(words: tuple[str, ...]) -> int:
 
 
 def _units(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, unit, sim, n, kind, words): n words; kind 1 a placeholder, 2 pseudo-Latin, 0 neither; words of kind 2 only."""
+    """(doc_id, unit, sim, n, kind, words): every different unit of every document; n words."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -165,51 +213,34 @@ def _units(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = pdf.iloc[lo : lo + 1500]
                 docs, units, kinds = [], [], []
                 for doc, text in zip(part.doc_id, part.text, strict=True):
-                    seen = set()
-                    for line in lines_of(text):
-                        words, slot, latin = skeleton(line)
-                        words = core(words)
-                        if words and words not in seen:
-                            seen.add(words)
-                            docs.append(doc)
-                            units.append(words)
-                            kinds.append(1 if slot else 2 if latin else 0)
+                    found = units_of(text)
+                    docs += [doc] * len(found)
+                    units += found.keys()
+                    kinds += found.values()
                 if units:
-                    yield pd.DataFrame({"doc_id": docs, "unit": [unit_id(u) for u in units], "sim": simhash(units, known), "n": [len(u) for u in units], "kind": kinds, "words": [" ".join(u) if k == 2 else None for u, k in zip(units, kinds, strict=True)]})
+                    words = [" ".join(u) for u in units]
+                    ids = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
+                    yield pd.DataFrame({"doc_id": docs, "unit": ids, "sim": simhash(units, known), "n": [len(u) for u in units], "kind": kinds, "words": words})
 
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     return base.mapInPandas(split, "doc_id long, unit long, sim long, n int, kind int, words string")
 
 
-def _texts(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int, small: int) -> DataFrame:
-    """(unit, words) of the wanted (unit, doc_id) rows, read again from their documents."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # Broadcast only while the counted size allows; beyond it a shuffled join.
-    rows = docs.join(F.broadcast(wanted) if size <= small else wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.collect_set("unit").alias("units"))
+def masks() -> list[int]:
+    """All changes of at most two of the key's bits."""
+    one = [1 << i for i in range(WIDTH)]
+    return [0, *one, *(a | b for i, a in enumerate(one) for b in one[:i])]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text, units in zip(pdf.text, pdf.units, strict=True):
-                want = set(units.tolist())
-                for line in lines_of(text):
-                    words = core(skeleton(line)[0])
-                    if words and unit_id(words) in want:
-                        out.append((unit_id(words), " ".join(words)))
-            yield pd.DataFrame(out, columns=["unit", "words"])
 
-    return rows.mapInPandas(read, "unit long, words string").dropDuplicates(["unit"])
-
-
-def _keys():
-    """Sixteen tables, each of 8 neighbouring bits of the 64, every fourth a new one.
-
-    Lines that differ in seven bits share a table for certain, those that differ in a fifth of them nearly so.
-    Short keys are affordable as one side, the trusted lines, is small: a few hundred skeletons.
-    """
-    bits = F.lit(0xFF).cast("long")
-    turned = [F.shiftrightunsigned("sim", 4 * t) if t < 15 else F.shiftrightunsigned("sim", 60).bitwiseOR(F.shiftleft("sim", 4)) for t in range(16)]
-    return F.explode(F.array(*((F.lit(t << 8).cast("long").bitwiseOR(k.bitwiseAND(bits))).cast("int") for t, k in enumerate(turned)))).alias("key")
+def _keys(probing: bool) -> Column:
+    """The unit's keys: table, whether it has a slot, and 16 of the 64 bits; the searching side adds the near keys."""
+    bits = F.lit((1 << WIDTH) - 1).cast("long")
+    own = [F.shiftrightunsigned("sim", WIDTH * t).bitwiseAND(bits).bitwiseOR(F.lit(t << WIDTH + 1).cast("long")).bitwiseOR(F.when(F.col("slot"), 1 << WIDTH).otherwise(0).cast("long")) for t in range(TABLES)]
+    keys = F.array(*(k.cast("int") for k in own))
+    if probing:
+        changes = F.array(*map(F.lit, masks()))
+        keys = F.flatten(F.transform(keys, lambda k: F.transform(changes, lambda m: k.bitwiseXOR(m))))
+    return F.explode(keys).alias("key")
 
 
 def near(a: str, b: str) -> float:
@@ -219,51 +250,61 @@ def near(a: str, b: str) -> float:
     return n / (p.total() + q.total() - n)
 
 
-def residue(documents: DataFrame, id_col: str, text_col: str, differ: int = 16, similar: float = 0.8, small: int = 50_000) -> DataFrame:
-    """(doc_id, kinds): documents with residue, and which: placeholder, filler or message.
+def labels(documents: DataFrame, id_col: str, text_col: str, differ: int = 16, similar: float = 0.8, small: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units, trusted units, labels of all units found).
 
-    differ: most bits in which the SimHash of near lines differs; similar: least similarity of their words.
-    Null and blank texts have none; a document delivered twice counts once; an empty table gives no rows.
+    differ: most bits in which the SimHash of near units differs; similar: least similarity of their words;
+    small: most searching units that are broadcast (548 keys each); beyond it the join shuffles. That changes no result.
     """
-    spark: SparkSession = documents.sparkSession
-    units = checkpointed(_units(documents, id_col, text_col))
-    seeds = exemplars()
-    start = spark.createDataFrame(pd.DataFrame({"unit": [unit_id(w) for w in seeds], "sim": simhash(seeds, {}), "n": [len(w) for w in seeds], "words": [" ".join(w) for w in seeds]}), "unit long, sim long, n int, words string")
-    trusted = checkpointed(start.unionByName(units.filter("kind = 2").select("unit", "sim", "n", "words")).dropDuplicates(["unit"]))
-    labelled, frontier, links = trusted.select("unit"), trusted, None
+    units = stored(_units(documents, id_col, text_col))
+    different = stored(units.groupBy("unit").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.max("kind").alias("kind"), F.max(F.col("kind").isin(SLOT, TEMPLATE)).alias("slot")))
+    texts = units.select("unit", "words")
+    trusted = checkpointed(different.filter(F.col("kind") >= TEMPLATE).join(texts, "unit").groupBy("unit", "sim", "n", "slot", "kind").agg(F.first("words").alias("words")))
+    open_units = different.filter(F.col("kind") < TEMPLATE).select("unit", "sim", "n", _keys(False))
+    labelled, frontier, links = trusted.select("unit"), trusted.drop("kind"), None
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)])
 
     while True:
-        probe = frontier.select(F.col("unit").alias("from"), F.col("sim").alias("other"), F.col("n").alias("m"), _keys())
         n = frontier.count()
-        met = units.filter("kind = 0").select("unit", "doc_id", "sim", "n", _keys()).join(F.broadcast(probe) if n <= small else probe, "key")
+        if not n:
+            break
+        probe = frontier.select(F.col("unit").alias("from"), F.col("sim").alias("other"), F.col("n").alias("m"), F.col("slot"), _keys(True))
+        met = open_units.join(F.broadcast(probe) if n <= small else probe, "key")
         # Texts this similar differ in length by no more than the similarity allows.
-        met = met.filter((F.least("n", "m") >= F.greatest("n", "m") * similar) & (F.col("unit") != F.col("from")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= differ))
-        met = met.groupBy("unit", "from", "sim", "n").agg(F.min("doc_id").alias("doc_id")).join(labelled.withColumn("old", F.lit(1)), "unit", "left").filter("old is null").drop("old")
-        met = checkpointed(met)
-        wanted = met.select("unit", "doc_id").dropDuplicates(["unit"])
+        met = met.filter((F.least("n", "m") >= F.greatest("n", "m") * similar) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= differ))
+        met = checkpointed(met.select("unit", "sim", "n", "slot", "from").distinct().join(labelled.distinct(), "unit", "left_anti"))
+        wanted = met.select("unit").distinct()
         size = wanted.count()
         if not size:
             break
-        words = _texts(documents, id_col, text_col, wanted, size, small)
+        words = texts.join(F.broadcast(wanted) if size <= 50 * small else wanted, "unit").groupBy("unit").agg(F.first("words").alias("words"))
         pairs = met.join(words, "unit").join(frontier.select(F.col("unit").alias("from"), F.col("words").alias("of")), "from")
-        linked = checkpointed(pairs.filter(likeness("words", "of") >= similar).select("unit", "from", "sim", "n", "words"))
+        linked = checkpointed(pairs.filter(likeness("words", "of") >= similar).select("unit", "from", "sim", "n", "slot", "words"))
         links = linked.select("unit", "from") if links is None else links.unionByName(linked.select("unit", "from"))
-        frontier = checkpointed(linked.dropDuplicates(["unit"]).select("unit", "sim", "n", "words"))
-        if frontier.isEmpty():
-            break
+        frontier = checkpointed(linked.dropDuplicates(["unit"]).select("unit", "sim", "n", "slot", "words"))
         labelled = labelled.unionByName(frontier.select("unit"))
 
-    found = trusted.select("unit")
+    found = trusted.select("unit", "kind")
     if links is not None:
         part = connected_components(links, "unit", "from")
-        sure = part.join(trusted.select(F.col("unit").alias("node")), "node").select("component").distinct()
-        found = found.unionByName(part.join(sure, "component").select(F.col("node").alias("unit"))).distinct()
-    found = checkpointed(found)
-    named = F.broadcast(found) if found.count() <= 20 * small else found
-    hits = units.filter("kind = 0").join(named, "unit").select("doc_id", F.lit("message").alias("kind"))
-    own = units.filter("kind > 0").select("doc_id", F.when(F.col("kind") == 1, "placeholder").otherwise("filler").alias("kind"))
-    return hits.unionByName(own).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+        sure = part.join(trusted.select(F.col("unit").alias("node"), "kind"), "node").groupBy("component").agg(F.min("kind").alias("kind"))
+        spread = part.join(sure, "component").select(F.col("node").alias("unit"), "kind")
+        found = found.unionByName(spread.join(trusted, "unit", "left_anti"))
+    return units, trusted, checkpointed(found)
+
+
+def residue(documents: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """(doc_id, kinds, linked): documents with residue; which: placeholder, filler or message, joined by commas; and
+    whether none of it is trusted by its structure, so that the document is found by near-duplicates only.
+
+    Null and blank texts have none; a document delivered twice counts once; an empty table gives no rows.
+    """
+    units, _, found = labels(documents, id_col, text_col, **options)
+    named = F.broadcast(found) if found.count() <= 1_000_000 else found
+    name = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    hits = units.select("doc_id", "unit", F.col("kind").alias("own")).join(named, "unit")
+    kinds = F.array_join(F.array_sort(F.collect_set(name[F.col("kind")])), ",")
+    return hits.groupBy("doc_id").agg(kinds.alias("kinds"), (F.max("own") < TEMPLATE).alias("linked"))
