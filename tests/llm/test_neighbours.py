@@ -21,19 +21,19 @@ def test_recall_on_clusters_in_small_blocks(spark):
     g = np.random.default_rng(0)
     x = np.concatenate([g.standard_normal(DIM) * 3 + g.standard_normal((30, DIM)) * 0.5 for _ in range(60)])
     df = frame(spark, x, [(9001, None, "x", 1), (9002, [1.0], "x", 1), (9003, [0.0] * DIM, "x", 1), (9004, [float("nan")] + [1.0] * (DIM - 1), "x", 1), (9005, [float("inf")] * DIM, "x", 1), (None, [1.0] * DIM, "x", 1), (0, [float(v) for v in x[0]], "y", 2)])
-    got = N.nearest(df, "entry_id", "vec", k=5, dim=DIM, block=200, sample=600).collect()
+    got = N.nearest(df, "entry_id", "vec", k=5, dim=DIM, block=100, segment=400, sample=600).collect()
     assert len(got) == 5 * len(x)
     true = {(i, int(j)) for i, r in enumerate(brute(x, 5)) for j in r}
     assert len({(r.id, r.neighbour) for r in got} & true) >= 0.9 * len(true)
     assert all(r.id != r.neighbour and -1 <= r.cosine <= 1 for r in got)
-    again = {(r.id, r.neighbour) for r in N.nearest(df, "entry_id", "vec", k=5, dim=DIM, block=200, sample=600).collect()}
+    again = {(r.id, r.neighbour) for r in N.nearest(df, "entry_id", "vec", k=5, dim=DIM, block=100, segment=400, sample=600).collect()}
     assert again == {(r.id, r.neighbour) for r in got}
 
 
 def test_a_third_of_equal_vectors(spark):
     g = np.random.default_rng(1)
     x = np.concatenate([np.tile(g.standard_normal(DIM), (200, 1)), g.standard_normal((400, DIM))])
-    got = N.nearest(frame(spark, x), "entry_id", "vec", k=3, dim=DIM, block=64, sample=300).collect()
+    got = N.nearest(frame(spark, x), "entry_id", "vec", k=3, dim=DIM, block=48, segment=64, sample=300).collect()
     hot = [r for r in got if r.id < 200]
     assert len(hot) == 600 and all(r.cosine > 0.9999 for r in hot)
 
@@ -45,22 +45,65 @@ def test_few_rows_and_empty(spark):
     assert N.nearest(df.limit(1), "entry_id", "vec", dim=DIM).count() == 0
 
 
-def test_strings_are_cut_at_the_block(spark):
+def forest(x, rows, block, segment, seed=3):
+    u, w = np.unique(x[rows], axis=0, return_counts=True)
+    return N.Forest([N.Tree(u, w, 32, seed + i) for i in range(4)], len(x) / len(rows), block, segment)
+
+
+def test_strings_are_one_sorted_array_of_segments():
     g = np.random.default_rng(2)
-    x = g.standard_normal((4000, DIM)).astype(np.float32)
-    tree = N.Tree(x[:500], 32, 3)
-    cut = tree.prefixes(x, np.arange(len(x)), 100, 8.0)
-    _, sizes = np.unique(cut, return_counts=True)
-    assert sizes.max() <= 400 and len(sizes) >= 40
+    x = N._unit([r for r in g.standard_normal((4000, DIM))], DIM)
+    for names, key, length in forest(x, np.arange(500), 100, 400).places(x, np.arange(len(x))):
+        order = np.argsort(key, kind="stable")
+        changes = np.count_nonzero(np.array(names)[order][1:] != np.array(names)[order][:-1])
+        sizes = np.unique(names, return_counts=True)[1]
+        assert changes == len(sizes) - 1 and sizes.max() <= 1600 and len(sizes) >= 8 and (key >= 0).all() and length.min() >= 0
+
+
+def test_all_trees_ascend_together():
+    sizes = [np.array([[100, 60, 20, 4]]), np.array([[100, 30, 10, 5]])]
+    assert [int(N.ascent(sizes, n)[0]) for n in (9, 10, 30, 31, 90, 91, 999)] == [3, 2, 2, 1, 1, 0, 0]
+
+
+def test_runs_follow_the_counts_of_the_array():
+    key = np.sort(np.random.default_rng(0).integers(0, 1 << 62, 4096))
+    for length, low, high in ((7, 20, 50), (0, 40, 128), (40, 8, 128)):
+        lo, hi = N._runs(key, np.full(4096, length), 32)
+        at = np.arange(4096)
+        assert (lo <= at).all() and (at < hi).all() and (hi - lo <= high).all() and np.median(hi - lo) >= low
+    lo, hi = N._runs(np.full(1000, 5, np.int64), np.full(1000, 62), 32)
+    assert (lo <= np.arange(1000)).all() and (np.arange(1000) < hi).all() and (hi - lo).max() <= 64
 
 
-def test_copies_never_make_a_node_of_other_vectors_flat():
-    for share in (3, 2):
-        for seed in range(20):
+def test_recall_of_different_vectors_beside_copies():
+    for share in (0.05, 0.2, 0.4):
+        for seed in range(10):
             g = np.random.default_rng(seed)
-            x = g.standard_normal((600, DIM)).astype(np.float32)
-            x[: 600 // share + 30 * (share == 2)] = x[0]
-            tree = N.Tree(x, 32, seed)
-            cut = tree.prefixes(x, np.arange(len(x)), 50, 1.0)
-            dealt = [i for i, p in enumerate(cut) if "#" in p]
-            assert dealt and (x[dealt] == x[0]).all(), (share, seed)
+            x = np.concatenate([c + g.standard_normal((20, DIM)) * 0.3 for c in g.standard_normal((60, DIM))])
+            x = np.concatenate([x, np.tile(x[7], (int(len(x) * share / (1 - share)), 1))])
+            x, ids = N._unit(list(x), DIM), g.permutation(len(x))
+            best = {i: {} for i in ids}
+            for names, key, length in forest(x, g.permutation(len(x))[: len(x) // 2], 64, 256, seed).places(x, ids):
+                names = np.array(names)
+                for s in np.unique(names):
+                    r = np.flatnonzero(names == s)
+                    assert len(r) <= 1024
+                    for i, near, cos in N._search(key[r], length[r], ids[r], x[r], 5, 64).itertuples(index=False):
+                        best[i].update(zip(near, cos, strict=True))
+            s = x[:1200] @ x.T
+            s[np.arange(1200), np.arange(1200)] = -9
+            kth = np.sort(s, axis=1)[:, -5]
+            hits = sum(sum(c >= kth[j] - 1e-5 for c in sorted(best[ids[j]].values())[-5:]) for j in range(1200))
+            assert hits >= 0.95 * 6000, (share, seed, hits)
+
+
+def test_segments_that_hold_too_many_are_divided(spark):
+    """A copied vector that the sample misses is found by the counts."""
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.standard_normal((300, DIM)), np.tile(g.standard_normal(DIM), (700, 1))])
+    got = N.nearest(frame(spark, x), "entry_id", "vec", k=3, dim=DIM, block=16, segment=16, sample=40).collect()
+    assert len(got) == 3000 and all(r.cosine > 0.9999 for r in got if r.id >= 300)
+    f = forest(x, np.arange(200), 16, 16)
+    f.split = [{f.places(x, np.arange(1000))[0][0][-1]: 700}]
+    parts = np.unique(f.places(x, np.arange(1000))[0][0])
+    assert any("." in p for p in parts)

@@ -1,19 +1,25 @@
 """Problem 1: the k most similar vectors of every vector, by a hash-prefix forest.
 
-Each tree turns a vector into a long string of bits: the sides it falls on while it descends
-hyperplanes fitted on a bounded sample, then the sides of random hyperplanes centred on the leaf.
-A tree's sorted array of strings is cut at prefixes of variable length, each the longest prefix
-that still holds about ``block`` vectors; that is the level to which a query would ascend for
-candidates. All vectors under one prefix are compared with each other in blocks by matrix
-products, and the trees' candidates are merged. Every vector is indexed and every vector is a query.
-
-The sample (``sample`` vectors, chosen by a hash of their id) fits hyperplanes and estimates
-sizes only. Work is n * block * trees, whatever the size of the collection.
+Each tree turns a vector into a long string of bits: the sides it falls on while it descends hyperplanes fitted on a
+bounded sample, then the sides of random hyperplanes centred on the leaf. A tree is the sorted array of the strings of
+all vectors. It is held in segments, each the run of strings under one prefix, which tasks sort and search.
+
+Every vector is a query. It descends all trees to its own string, the longest match there is, and then ascends in all
+trees at once: the prefix is shortened by the same number of bits everywhere until the vectors under it number about
+``block`` for each tree together (numbers by the sample). In the sorted array the prefix is a run; where the run's true
+length is far from the one foreseen, the prefix is lengthened or shortened by the counts of the array itself. The query
+is compared with the run by a matrix product, and the trees' candidates are merged.
+
+The sample (``sample`` vectors, chosen by a hash of their id) fits hyperplanes and foresees sizes only; equal vectors
+in it count as one when hyperplanes are fitted. Sizes of segments are counted over all vectors, and one beyond four
+times its size is divided by further bits of its strings, and where three times that doesn't help (copies of one vector)
+by the ids, as in any part the other copies are as near. Work is n * block * trees, whatever the size of the collection.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +29,8 @@ from pyspark.sql import functions as F
 
 from verbaloom.llm.sampling import hash_sample
 
-TAIL = 24
+#: Bits of a string, and the most that come from fitted hyperplanes.
+BITS, DEEPEST = 62, 40
 
 
 def usable(column: str, dim: int):
@@ -34,36 +41,37 @@ def usable(column: str, dim: int):
 
 
 class Tree:
-    """Hyperplanes by node; the string of a vector is its path and then TAIL random bits."""
+    """Hyperplanes by node, fitted on different vectors; weight: how often each of them stands in the sample."""
 
-    def __init__(self, x: np.ndarray, least: int, seed: int):
+    def __init__(self, x: np.ndarray, weight: np.ndarray, least: int, seed: int):
         rng = np.random.default_rng(seed)
         dim = x.shape[1]
-        self.w, self.b, self.kids, self.size, self.path = [], [], [], [], []
+        self.w, self.b, self.kids, self.size, self.depth, self.path = [], [], [], [], [], []
         self.mid: dict[int, np.ndarray] = {}
-        self.flat: set[int] = set()  # leaves of equal vectors, which no hyperplane divides
-        self.tail = rng.standard_normal((dim, TAIL)).astype(np.float32)
-        todo = [(np.arange(len(x)), "", -1, 0)]
+        self.heavy: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of a leaf: its most repeated vectors, and how often
+        self.tail = rng.standard_normal((dim, BITS)).astype(np.float32)
+        todo = [(np.arange(len(x)), 0, 0, -1, 0)]
         while todo:
-            ix, path, up, side = todo.pop()
+            ix, path, depth, up, side = todo.pop()
             me = len(self.w)
             if up >= 0:
                 self.kids[up][side] = me
-            self.size.append(len(ix))
-            self.path.append(path)
+            self.size.append(int(weight[ix].sum()))
+            self.depth.append(depth)
+            self.path.append(path << BITS - depth)
             self.kids.append([-1, -1])
-            cut = self._cut(x[ix], rng) if len(ix) > least and len(path) < 48 else None
+            cut = self._cut(x[ix], rng) if len(ix) > least and depth < DEEPEST else None
             if cut is None:
                 self.w.append(np.zeros(dim, np.float32))
                 self.b.append(0.0)
-                if len(ix) > least:
-                    self.flat.add(me)
-                self.mid[me] = np.median(x[ix] @ self.tail, axis=0) if len(ix) else np.zeros(TAIL, np.float32)
+                self.mid[me] = np.median(x[ix] @ self.tail, axis=0) if len(ix) else np.zeros(BITS, np.float32)
+                top = ix[np.argsort(-weight[ix], kind="stable")[:8]]
+                self.heavy[me] = (x[top], weight[top])
                 continue
             w, b, right = cut
             self.w.append(w)
             self.b.append(b)
-            todo += [(ix[~right], path + "0", me, 0), (ix[right], path + "1", me, 1)]
+            todo += [(ix[~right], path << 1, depth + 1, me, 0), (ix[right], path << 1 | 1, depth + 1, me, 1)]
 
     @staticmethod
     def _cut(x: np.ndarray, rng: np.random.Generator):
@@ -93,36 +101,47 @@ class Tree:
             right = p > b
         return None if right.all() or not right.any() else (w.astype(np.float32), b, right)
 
-    def prefixes(self, x: np.ndarray, ids: np.ndarray, block: int, scale: float) -> np.ndarray:
-        """The cut prefix of each vector. scale: vectors of the collection for each of the sample.
+    def descend(self, x: np.ndarray, scale: float, segment: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(string, vectors foreseen under its prefix of each length, length and copies' divisor of its segment, whether it is a copy).
 
-        Equal vectors beyond a block are dealt out by their id: in any block the others are as near.
+        scale: vectors of the collection for each of the sample. The segment is the longest prefix not below the leaf
+        under which no more than ``segment`` vectors are foreseen, or bits of the tail where a leaf holds more.
         """
-        node = np.zeros(len(x), np.int64)
-        live = np.arange(len(x)) if self.kids[0][0] >= 0 and self.size[0] * scale > block else np.zeros(0, np.int64)
-        while len(live):
-            going = []
-            order = live[np.argsort(node[live], kind="stable")]
-            for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
-                at = int(node[part[0]])
-                for side, rows in enumerate((part[~(right := x[part] @ self.w[at] > self.b[at])], part[right])):
-                    to = self.kids[at][side]
-                    node[rows] = to
-                    if len(rows) and self.size[to] * scale > block and self.kids[to][0] >= 0:
-                        going.append(rows)
-            live = np.concatenate(going) if going else np.zeros(0, np.int64)
-        out = np.empty(len(x), object)
-        for at in np.unique(node):
-            rows = np.flatnonzero(node == at)
-            want = self.size[at] * scale / block
-            out[rows] = self.path[at]
-            if want > 1 and at in self.flat:
-                out[rows] = [f"{self.path[at]}#{i % math.ceil(want)}" for i in ids[rows]]
-            elif want > 1 and self.kids[at][0] < 0:  # deeper than the sample reaches: bits of the tail
-                bits = min(TAIL, math.ceil(math.log2(want)))
-                low = (x[rows] @ self.tail[:, :bits]) > self.mid[at][:bits]
-                out[rows] = [f"{self.path[at]}.{''.join('01'[int(b)] for b in r)}" for r in low]
-        return out
+        n = len(x)
+        key, size, cut, ways, copy = np.zeros(n, np.int64), np.zeros((n, levels)), np.full(n, -1, np.int64), np.ones(n, np.int64), np.zeros(n, bool)
+        todo = [(0, np.arange(n))]
+        while todo:
+            at, rows = todo.pop()
+            depth, here = self.depth[at], self.size[at] * scale
+            if depth < levels:
+                size[rows, depth] = here
+            if here <= segment:
+                cut[rows[cut[rows] < 0]] = depth
+            if self.kids[at][0] >= 0:
+                right = x[rows] @ self.w[at] > self.b[at]
+                todo += [(kid, part) for kid, part in zip(self.kids[at], (rows[~right], rows[right]), strict=True) if len(part)]
+                continue
+            left = BITS - depth
+            sides = (x[rows] @ self.tail[:, :left]) > self.mid[at][:left]
+            key[rows] = self.path[at] | (sides.astype(np.int64) << np.arange(left - 1, -1, -1)).sum(axis=1)
+            for k in range(depth + 1, levels):
+                size[rows, k] = here / 2.0 ** (k - depth)
+            vectors, often = self.heavy[at]
+            rest = here
+            for v, times in zip(vectors, often, strict=True):
+                if here > segment and times * scale > segment / 2:
+                    same = rows[np.abs(x[rows] - v).max(axis=1) < 1e-4]
+                    copy[same], ways[same], cut[same] = True, math.ceil(times * scale / segment), depth
+                    rest -= times * scale
+            open_rows = rows[cut[rows] < 0]
+            cut[open_rows] = min(BITS, depth + max(0, math.ceil(math.log2(max(1.0, rest / segment)))))
+        return key, size, cut, ways, copy
+
+
+def ascent(sizes: list[np.ndarray], enough: float) -> np.ndarray:
+    """The longest prefix under which all trees together hold ``enough`` vectors; 0 if none does. sizes: by tree, (query, length)."""
+    total = sum(sizes)
+    return np.where((ok := total >= enough).any(axis=1), total.shape[1] - 1 - ok[:, ::-1].argmax(axis=1), 0)
 
 
 def _unit(values: pd.Series, dim: int) -> np.ndarray:
@@ -136,28 +155,84 @@ def _pack(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return [r.tobytes() for r in np.rint(x / top[:, None] * 32767).astype(np.int16)], (top / 32767).astype(np.float32)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int, rows: int) -> pd.DataFrame:
-    """The k best of the group for each of its vectors, ties by the smaller id."""
-    keep_i, keep_s = [], []
-    order = np.argsort(ids)
-    ids, x = ids[order], x[order]
-    for lo in range(0, len(x), rows):
-        s = x[lo : lo + rows] @ x.T
-        n = len(s)
-        s[np.arange(n), lo + np.arange(n)] = -9
-        m = min(k + 3, s.shape[1])
-        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        top.sort(axis=1)
-        v = np.take_along_axis(s, top, 1)
-        o = np.argsort(-v, axis=1, kind="stable")[:, :k]
-        top, v = np.take_along_axis(top, o, 1), np.take_along_axis(v, o, 1)
-        keep_i += [ids[t[q > -5]].tolist() for t, q in zip(top, v, strict=True)]
-        keep_s += [q[q > -5].astype(float).tolist() for q in v]
-    return pd.DataFrame({"id": ids, "near": keep_i, "cos": keep_s})
+def _runs(key: np.ndarray, length: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run of each place of a sorted array: that of its prefix of the given length, made longer or shorter where the run holds too many or too few."""
+    at = np.arange(len(key))
+
+    def bounds(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        free = (BITS - n).astype(np.int64)
+        low = key[rows] >> free << free
+        return np.searchsorted(key, low), np.searchsorted(key, low + (np.int64(1) << free))
+
+    length = length.copy()
+    lo, hi = bounds(at, length)
+    many, few, least = 4 * block, max(1, block // 4), 0
+    while len(rows := np.flatnonzero((hi - lo > many) & (length < BITS))):
+        length[rows] += 1
+        lo[rows], hi[rows] = bounds(rows, length[rows])
+    while len(rows := np.flatnonzero((hi - lo < few) & (length > least))):
+        length[rows] -= 1
+        lo[rows], hi[rows] = bounds(rows, length[rows])
+    wide = hi - lo > many  # equal strings to the last bit: those around the own place
+    first = np.clip(at // block * block - block // 2, lo, np.maximum(lo, hi - 2 * block))
+    return np.where(wide, first, lo), np.where(wide, np.minimum(hi, first + 2 * block), hi)
+
+
+def _search(key: np.ndarray, length: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, block: int) -> pd.DataFrame:
+    """The k best of its run for each vector of a segment, ties by the smaller id."""
+    order = np.lexsort((ids, key))
+    key, length, ids, x = key[order], length[order], ids[order], x[order]
+    lo, hi = _runs(key, length, block)
+    near, cos = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -9.0)
+    by = np.lexsort((hi, lo))
+    for rows in np.split(by, np.flatnonzero((np.diff(lo[by]) != 0) | (np.diff(hi[by]) != 0)) + 1):
+        if not len(rows):
+            continue
+        a, z = int(lo[rows[0]]), int(hi[rows[0]])
+        names = ids[a:z]
+        for part in np.array_split(rows, math.ceil(len(rows) / 1024)):
+            s = x[part] @ x[a:z].T
+            s[np.arange(len(part)), part - a] = -9
+            m = min(k + 3, s.shape[1])
+            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            v = np.take_along_axis(s, top, 1)
+            o = np.lexsort((names[top], -v), axis=1)[:, :k]
+            got = o.shape[1]
+            near[part, :got], cos[part, :got] = names[np.take_along_axis(top, o, 1)], np.take_along_axis(v, o, 1)
+    real = cos > -5
+    return pd.DataFrame({"id": ids, "near": [r[q].tolist() for r, q in zip(near, real, strict=True)], "cos": [r[q].tolist() for r, q in zip(cos, real, strict=True)]})
+
+
+class Forest:
+    """The trees and the division of their arrays into segments."""
+
+    def __init__(self, trees: list[Tree], scale: float, block: int, segment: int):
+        self.trees, self.scale, self.block, self.segment = trees, scale, block, segment
+        self.split: list[dict[str, int]] = []  # in rounds: segments that held too many, and how many
+
+    def places(self, x: np.ndarray, ids: np.ndarray) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """By tree: the segment of each vector, its string, and the length of the prefix to which it ascends."""
+        found = [t.descend(x, self.scale, self.segment, BITS) for t in self.trees]
+        length = ascent([f[1] for f in found], self.block * len(self.trees))
+        out = []
+        for t, (key, _, cut, ways, copy) in enumerate(found):
+            names = [f"{t}:{n}:{k >> BITS - n}" for k, n in zip(key.tolist(), cut.tolist(), strict=True)]
+            # Copies beyond a segment are dealt out; the first part stays with the rest of the leaf.
+            names = [f"{s}#{i % w}" if c and i % w else s for s, i, w, c in zip(names, ids.tolist(), ways.tolist(), copy.tolist(), strict=True)]
+            cut = cut.tolist()
+            for turn, held in enumerate(self.split):
+                for i, s in enumerate(names):
+                    if s in held:
+                        bits = min(BITS - cut[i], math.ceil(math.log2(held[s] / self.segment))) if turn < 3 else 0
+                        parts = math.ceil(held[s] / self.segment)
+                        names[i] = f"{s}.{key[i] >> BITS - cut[i] - bits & (1 << bits) - 1:0{bits}b}" if bits else f"{s}/{ids[i] % parts}"
+                        cut[i] += bits
+            out.append((names, key, length))
+        return out
 
 
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, trees: int = 4,
-            block: int = 1024, sample: int = 16384, rows: int = 1024) -> DataFrame:
+            block: int = 768, segment: int = 8192, sample: int = 16384) -> DataFrame:
     """(id, neighbour, cosine, rank) for every usable vector, rank 1 to k.
 
     Unusable vectors (null, another length, a null or non-finite value, all zero) are left out.
@@ -167,24 +242,41 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & usable("vec", dim))
     total = base.count()
-    some = hash_sample(base, "id", sample, total).toPandas().drop_duplicates("id")
-    made = [Tree(_unit(some.vec, dim), 32, 17 + t) for t in range(trees)] if len(some) else []
+    some = hash_sample(base, "id", sample, total).toPandas().drop_duplicates("id").sort_values("id")
     scale = total / max(1, len(some))
-    shared = spark.sparkContext.broadcast(made)
+    different, weight = np.unique(_unit(some.vec, dim).round(5), axis=0, return_counts=True)
+    forest = Forest([Tree(different, weight, 32, 17 + t) for t in range(trees)] if len(some) else [], scale, block, segment)
+    while forest.trees:
+        shared = spark.sparkContext.broadcast(forest)
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            held: Counter[str] = Counter()
+            for pdf in batches:
+                for names, _, _ in shared.value.places(_unit(pdf.vec, dim), pdf.id.to_numpy()):
+                    held.update(names)
+            if held:
+                yield pd.DataFrame({"g": list(held), "n": list(held.values())})
+
+        held = base.mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > 4 * segment)
+        over = {r.g: r.n for r in held.collect() if "/" not in r.g}  # at most a quarter of trees * vectors / segment rows
+        if not over:
+            break
+        forest.split.append(over)
+    shared = spark.sparkContext.broadcast(forest)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = _unit(pdf.vec, dim)
             packed, unit = _pack(x)
-            for t, tree in enumerate(shared.value):
-                yield pd.DataFrame({"g": [f"{t}:{p}" for p in tree.prefixes(x, pdf.id.to_numpy(), block, scale)], "id": pdf.id, "q": packed, "u": unit})
+            for names, key, length in shared.value.places(x, pdf.id.to_numpy()):
+                yield pd.DataFrame({"g": names, "id": pdf.id, "key": key, "m": length.astype(np.int32), "q": packed, "u": unit})
 
-    spread_out = base.mapInPandas(spread, "g string, id long, q binary, u float")
+    spread_out = base.mapInPandas(spread, "g string, id long, key long, m int, q binary, u float")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
         x = np.frombuffer(b"".join(pdf.q), np.int16).reshape(-1, dim).astype(np.float32) * pdf.u.to_numpy()[:, None]
-        return _best(pdf.id.to_numpy(), x, k, rows)
+        return _search(pdf.key.to_numpy(), pdf.m.to_numpy(), pdf.id.to_numpy(), x, k, block)
 
     lists = spread_out.groupBy("g").applyInPandas(compare, "id long, near array<long>, cos array<double>")
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("near", "cos"), lambda p: F.struct((-p["cos"]).alias("d"), p["near"].alias("near")))))
