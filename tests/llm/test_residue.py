@@ -1,5 +1,4 @@
 import random
-from collections import Counter
 
 import pytest
 
@@ -103,7 +102,9 @@ def test_empty_table(spark):
 
 
 def test_skeletons():
-    assert R.skeleton("Blah blah. Blah blah.")[0] == ("blah",) and R.core(R.skeleton("HTTP 404: Page not found")[0]) == ("page", "not", "found")
+    assert list(R.skeletons("Blah blah. Blah blah.")) == [(("blah",), R.PLAIN)] * 2 and R.core(next(R.skeletons("HTTP 404: Page not found"))[0]) == ("page", "not", "found")
     assert R.lines_of("a\n```\nb\n```\nc `d` e") == ["a", "c  \x03  e"] and R.lines_of("a\n```\nunclosed") == ["a"]
-    assert list(R.sentences_of(["# A", "One.", "Two", "parts."])) == ["One.", "Two parts."] and list(R.sentences_of(["One."])) == []
-    assert Counter(R.units_of("One two. One two.")) == Counter({("one", "two"): R.PLAIN})
+    assert list(R.wrapped(["# A", "One.", "Two", "parts.", "", "Three"])) == ["One. Two parts."]
+    assert R.units_of("One two. One two.") == {("one", "two"): R.PLAIN}
+    assert R.units_of("One two one. One two one. One two one.") == {("one", "two", "one"): R.FILLER}
+    assert R.units_of("A {{ x }} b. C [d e] f.") == {("a", "\x01", "b"): R.TEMPLATE, ("c", "\x01", "f"): R.SLOT}

@@ -1,8 +1,8 @@
 """Problem 8: template residue, filler, error pages and scripts-required notices.
 
-A document is taken apart into units outside code: its lines, and the sentences of paragraphs that hold several
-(also where a sentence is wrapped over lines). A unit's skeleton is its words without markup, numbers, case and
-repeated sentences, with every placeholder or run of pseudo-Latin reduced to one mark. No sentence is known
+A document is taken apart into units outside code: the sentences of its lines (a title or cell counts as one), and
+of paragraphs that are wrapped over lines. A unit's skeleton is its words without markup, numbers, case and
+repetitions, with every placeholder or run of pseudo-Latin reduced to one mark. No sentence is known
 beforehand. Trusted labels come from the structure of a unit alone:
 
 * a placeholder in the syntax of a template engine (``{{x}}``, ``{% x %}``, ``${x}``, ``#{x}``);
@@ -37,7 +37,7 @@ FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^[ ]{0,3}\1[`~]*[ \t]*$
 #: A code span ends in its own paragraph.
 SPAN = re.compile(r"(?<!`)(`+)(?!`)((?:[^\n]|\n(?![ \t]*(?:\n|[-*+>#|]|\d+[.)])))+?)(?<!`)\1(?!`)")
 OWN_SPAN = re.compile(r"`[^`\n]+`")
-WORD = re.compile(r"[^\W\d_]+|\x01|\x02")
+WORD = re.compile(r"[^\W\d_]+|[\x01\x02\x04]")
 NAME = r"[^\W\d][\w.\-]*(?: [^\W\d][\w.\-]*){0,3}"  # an identifier or a few words
 #: The syntax of template engines, which nothing else uses.
 ENGINE = r"\{\{[^{}\n]*\}\}|\{%[^%{}\n]*%\}|[$#]\{[^{}\n]+\}"
@@ -99,21 +99,17 @@ def lines_of(text: str) -> list[str]:
     return [x for x in masked(text).split("\n") if x.strip()]
 
 
-def sentences_of(lines: list[str]) -> Iterator[str]:
-    """The sentences of paragraphs that hold several or run over several lines. lines: with the blank ones."""
+def wrapped(lines: list[str]) -> Iterator[str]:
+    """Paragraphs that run over several lines, each as one line. lines: with the blank ones."""
     run: list[str] = []
     for line in [*lines, ""]:
         own = OWN.match(line) is not None
         if run and (own or not line.strip()):
-            if len(run) > 1 or SENTENCE.search(run[0]):
-                yield from SENTENCE.split(" ".join(run))
+            if len(run) > 1:
+                yield " ".join(run)
             run = []
-        if line.strip():
+        if line.strip() and not (own and line.lstrip()[0] in "#|"):
             run.append(line)
-            if own and line.lstrip()[:1] in "#|":
-                if SENTENCE.search(line):
-                    yield from SENTENCE.split(line)
-                run = []
 
 
 def mashed(words: list[str]) -> bool:
@@ -121,37 +117,37 @@ def mashed(words: list[str]) -> bool:
     return not RUNS.isdisjoint(words) and len(RUNS.intersection(words)) >= 2 and sum(w in RUNS for w in words) * 2 >= len(words)
 
 
-def skeleton(line: str) -> tuple[tuple[str, ...], int]:
-    """(words, kind). \\x01 stands for a placeholder, \\x02 for pseudo-Latin."""
-    kind, bare = PLAIN, line
-    if HINT.search(line):
-        bare = SURE.sub(" \x01 ", line)
-        kind = TEMPLATE if "\x01" in bare else PLAIN
-        bare = MAYBE.sub(" \x01 ", bare)
-        if kind == PLAIN and "\x01" in bare:
-            kind = SLOT
-        bare = TAG.sub(" ", bare)
-    found = WORD.findall(bare.casefold())
-    out, latin = found, 0 if LATIN.isdisjoint(found) else sum(w in LATIN for w in found)
-    if latin >= 3 and latin >= 0.3 * len(found):
-        out = []
-        for w in found:
-            if w not in LATIN:
-                out.append(w)
-            elif not out or out[-1] != "\x02":
-                out.append("\x02")
-    n, times = len(out), 1
-    if n > 1 and out.count(out[0]) > 1:  # what is said over and over counts once
-        for period in range(1, n // 2 + 1):
-            if n % period == 0 and out == out[:period] * (n // period):
-                out, times = out[:period], n // period
-                break
-    if kind == PLAIN and found:
-        if len(found) >= 3 and latin >= 0.6 * len(found) or times >= 3 and len(out) >= 3 and line.lstrip()[:1] != "|" or mashed(found):
-            kind = FILLER
-        elif n <= 12 and ("4" in line or "5" in line) and STATUS.match(bare):
-            kind = MESSAGE
-    return tuple(out), kind
+def skeletons(line: str) -> Iterator[tuple[tuple[str, ...], int]]:
+    """(words, kind) of each sentence of a line. \\x01 stands for a placeholder, \\x02 for pseudo-Latin."""
+    marks = HINT.search(line) is not None
+    bare = TAG.sub(" ", MAYBE.sub(" \x04 ", SURE.sub(" \x01 ", line))) if marks else line
+    status = ("4" in line or "5" in line) and STATUS.match(bare) is not None
+    parts = SENTENCE.split(bare) if SENTENCE.search(bare) else [bare]
+    said = Counter(parts) if len(parts) > 2 else None
+    again = said is not None and min(said.values()) > 2  # nothing but what is said three times over
+    for part in said or parts:
+        found = WORD.findall(part.casefold())
+        kind = PLAIN
+        if marks:
+            kind = TEMPLATE if "\x01" in found else SLOT if "\x04" in found else PLAIN
+            found = ["\x01" if w == "\x04" else w for w in found]
+        out, n = found, len(found)
+        latin = 0 if LATIN.isdisjoint(found) else sum(w in LATIN for w in found)
+        if latin >= 3 and latin >= 0.3 * n:
+            out = [w for k, w in enumerate("\x02" if w in LATIN else w for w in found) if w != "\x02" or k == 0 or found[k - 1] not in LATIN]
+        m, times = len(out), 1
+        if m > 1 and out.count(out[0]) > 1:  # what is said over and over counts once
+            for period in range(1, m // 2 + 1):
+                if m % period == 0 and out == out[:period] * (m // period):
+                    out, times = out[:period], m // period
+                    break
+        if kind == PLAIN and found:
+            if latin >= 3 and latin >= 0.6 * n or len(out) >= 3 and (again or times >= 3 and line.lstrip()[:1] != "|") or mashed(found):
+                kind = FILLER
+            elif status and len(parts) == 1 and n <= 12:
+                kind = MESSAGE
+        if out:
+            yield tuple(out), kind
 
 
 def core(words: tuple[str, ...]) -> tuple[str, ...]:
@@ -162,26 +158,24 @@ def core(words: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def units_of(text: str) -> dict[tuple[str, ...], int]:
-    """The skeletons of a text's lines and sentences, each with its kind."""
+    """The skeletons of a text's sentences, line by line and by paragraph, each with its kind."""
     text, found = masked(text), {}
     lines = text.split("\n")
 
-    def take(part: str, kind: int = PLAIN) -> None:
-        words, own = skeleton(part)
-        if words:
-            words, kind = core(words), max(own, kind)
-            if kind > found.get(words, -1):
-                found[words] = kind
+    def take(line: str, least: int = PLAIN) -> None:
+        for words, kind in skeletons(line):
+            words = core(words)
+            if max(kind, least) > found.get(words, -1):
+                found[words] = max(kind, least)
 
-    if "noscript" in text.lower():
+    if "<noscript" in text.lower():
         for m in NOSCRIPT.finditer(text):
-            for part in (m.group(1), *SENTENCE.split(m.group(1))):
-                take(part, MESSAGE)
+            take(m.group(1).replace("\n", " "), MESSAGE)
     for line in lines:
         if line.strip():
             take(line)
-    for part in sentences_of(lines):
-        take(part)
+    for line in wrapped(lines):
+        take(line)
     return found
 
 
@@ -257,10 +251,10 @@ def labels(documents: DataFrame, id_col: str, text_col: str, differ: int = 16, s
     small: most searching units that are broadcast (548 keys each); beyond it the join shuffles. That changes no result.
     """
     units = stored(_units(documents, id_col, text_col))
-    different = stored(units.groupBy("unit").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.max("kind").alias("kind"), F.max(F.col("kind").isin(SLOT, TEMPLATE)).alias("slot")))
-    texts = units.select("unit", "words")
-    trusted = checkpointed(different.filter(F.col("kind") >= TEMPLATE).join(texts, "unit").groupBy("unit", "sim", "n", "slot", "kind").agg(F.first("words").alias("words")))
-    open_units = different.filter(F.col("kind") < TEMPLATE).select("unit", "sim", "n", _keys(False))
+    texts, slot = units.select("unit", "words"), F.col("kind").isin(SLOT, TEMPLATE).alias("slot")
+    trusted = units.filter(F.col("kind") >= TEMPLATE).groupBy("unit", "sim", "n", slot).agg(F.max("kind").alias("kind"), F.first("words").alias("words"))
+    trusted = checkpointed(trusted)
+    others = units.filter(F.col("kind") < TEMPLATE).select("unit", "sim", "n", slot)
     labelled, frontier, links = trusted.select("unit"), trusted.drop("kind"), None
 
     @F.pandas_udf("double")
@@ -272,7 +266,9 @@ def labels(documents: DataFrame, id_col: str, text_col: str, differ: int = 16, s
         if not n:
             break
         probe = frontier.select(F.col("unit").alias("from"), F.col("sim").alias("other"), F.col("n").alias("m"), F.col("slot"), _keys(True))
-        met = open_units.join(F.broadcast(probe) if n <= small else probe, "key")
+        # A unit that many documents repeat is joined once: where the join shuffles, copies are combined before it.
+        searched = (others if n <= small else others.distinct()).select("unit", "sim", "n", _keys(False))
+        met = searched.join(F.broadcast(probe) if n <= small else probe, "key")
         # Texts this similar differ in length by no more than the similarity allows.
         met = met.filter((F.least("n", "m") >= F.greatest("n", "m") * similar) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= differ))
         met = checkpointed(met.select("unit", "sim", "n", "slot", "from").distinct().join(labelled.distinct(), "unit", "left_anti"))
