@@ -116,3 +116,62 @@ def test_backfill(spark):
     df = spark.createDataFrame([(1, "a", None, None), (2, "b", [1.0], "m")], "i int, source string, embedding array<float>, embedding_backend string")
     got = {r.i: (len(r.embedding), r.embedding_backend) for r in M.backfill(df).collect()}
     assert got == {1: (96, "hash-ngram"), 2: (1, "m")} and F is not None
+
+
+def test_ratio_alone_equals_a_plain_search(spark):
+    data = corpus(120, 9) + [(500, "", "de"), (501, None, "de"), (502, "  ", None)]
+    df = spark.createDataFrame([(*d, 0) for d in data], "entry_id long, source string, lang string, score int")
+    q = df.filter("entry_id % 5 = 0").withColumnRenamed("entry_id", "query_id")
+    n = lambda s: " ".join(s.split())
+    want = []
+    for i, a, _ in data:
+        if i % 5 == 0 and a and n(a):
+            scored = sorted((-round(s, 4), j) for j, b, _ in data if j != i and b and n(b) and (s := difflib.SequenceMatcher(None, n(a), n(b)).ratio()) >= 0.75)[:5]
+            want += [(i, j, -s, k) for k, (s, j) in enumerate(scored, 1)]
+    got = sorted(map(tuple, M.fuzzy_ratio(q, df, 0.75, 5, block=16).select("query_id", "entry_id", "score", "rank").collect()))
+    assert got == sorted(want) and want
+    assert M.fuzzy_ratio(q.limit(0), df).count() == 0
+
+
+def test_vectors_alone_pack_and_recency(spark):
+    df = spark.createDataFrame([(0, "de", [1.0, 0.0], 1), (1, "de", [0.96, 0.28], 2), (2, "de", [0.6, 0.8], 3), (3, "en", [1.0, 0.0], 9), (4, "de", None, None)], "entry_id long, lang string, vector array<float>, updated_at int")
+    got = M.fuzzy_vector(df.withColumnRenamed("entry_id", "query_id"), df, 0.9, 3)
+    assert sorted((r.query_id, r.entry_id, r.score) for r in got.collect()) == [(0, 1, 0.96), (1, 0, 0.96)]
+    both = df.withColumn("p", S.packed("vector")).withColumn("u", S.unpacked("p")).collect()
+    assert [r.u for r in both] == [r.vector for r in both] and len(both[0].p) == 8
+    assert sorted((r.entry_id, r["rank"]) for r in M.recent(df, 2).collect()) == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_prefill_takes_exact_before_fuzzy(spark):
+    import json
+
+    from verbaloom.functions import text as T
+
+    memory = spark.createDataFrame([(1, "Open the file menu now", "Datei", "de", 1), (2, "Open the file menu today and wait", "Heute", "de", 2), (3, "Empty", "", "de", 3)], "entry_id long, source string, target string, lang string, updated_at int")
+    memory = memory.withColumns({"source_key": T.source_key(F.col("source")), "vector": S.hashed_vectors("source")})
+    segs = [(10, "Open  the file menu now", "de", "", "translated", '{"level": 1}', False), (11, "Open the file menu today and wait!", "de", None, None, None, False), (12, "Quite different", "de", "", "new", "{}", False), (13, "Open the file menu now", "de", "", "new", "{}", True), (14, "Open the file menu now", "en", "", "new", "{}", None), (15, None, "de", None, None, None, None), (16, "Empty", "de", "", "new", "{}", False)]
+    df = spark.createDataFrame(segs, "pair_id long, source string, lang string, target string, status string, meta string, frozen boolean")
+    got = {r.pair_id: r for r in M.prefill(df, memory, "pair_id").collect()}
+    assert set(got) == {10, 11} and (got[10].target, got[10].status) == ("Datei", "translated") and json.loads(got[10].meta) == {"level": 1, "tm_reused": True, "tm_score": 1.0}
+    assert (got[11].target, got[11].status) == ("Heute", "needs_review") and json.loads(got[11].meta)["tm_source"] == "Open the file menu today and wait"
+
+
+def test_edits_reach_the_first_entry_of_each_document(spark):
+    from verbaloom.operators import catalogue as C
+
+    rows = [("a", "de", 0, "x", "t", "new"), ("a", "de", 1, "x", "t", "new"), ("b", "de", 0, "x", None, None), ("a", "en", 0, "x", "t", "new"), ("a", "de", 2, None, "t", "new")]
+    cat = spark.createDataFrame(rows, "doc_path string, lang string, ord int, id string, target string, status string")
+    edits = spark.createDataFrame([("x", "de", "N", None), ("none", "de", "N", None), (None, "de", "N", "new")], "id string, lang string, target string, status string")
+    assert sorted((r.doc_path, r.ord, r.target, r.status) for r in C.edited(cat, edits).collect()) == [("a", 0, "N", "translated"), ("b", 0, "N", "translated")]
+    after = {(r.doc_path, r.lang, r.ord): (r.target, r.status) for r in C.with_edits(cat, edits).collect()}
+    assert len(after) == 5 and after["a", "de", 0] == ("N", "translated") and after["a", "de", 1] == ("t", "new") and after["a", "en", 0] == ("t", "new") and after["b", "de", 0] == ("N", "translated")
+    assert C.with_edits(cat, edits.limit(0)).count() == 5
+
+
+def test_the_dashboard_shows_shares(spark):
+    from verbaloom.operators import catalogue as C
+
+    pages = spark.createDataFrame([("a<b", 1, 2, 1, 4, 3)], "doc_path string, translated int, missing int, needs_review int, total int, lint_issues int")
+    page = C.dashboard(pages, "de")
+    assert "a&lt;b" in page and "<dd>25.0%</dd>" in page and "<dd>50.0%</dd>" in page and "<dt>QA warnings</dt><dd>3</dd>" in page and "value='25.0'" in page
+    assert "0.0%" in C.dashboard(pages.limit(0), "de")

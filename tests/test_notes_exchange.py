@@ -106,9 +106,56 @@ def test_markdown_and_html(spark):
     assert page.count("<tr>") == page.count("</tr>") == 3 and '<pre data-token="i8"><code class="language-py">x\n</code></pre>' in page and page.endswith("</blockquote>")
 
 
+INLINE = {
+    "a **b** *c* ***d*** __e__ _f_": "a <strong>b</strong> <em>c</em> <em><strong>d</strong></em> <strong>e</strong> <em>f</em>", "a_b_c a*b*c": "a_b_c a<em>b</em>c", "2*3*4 5 * 6": "2<em>3</em>4 5 * 6", "**a*": "*<em>a</em>", "*a **b** c*": "<em>a <strong>b</strong> c</em>",
+    "***a** b*": "<em><strong>a</strong> b</em>", "`**x**` ``a`b``": "<code>**x**</code> <code>a`b</code>", "`a": "`a", "[a](/_x_/y)": '<a href="/_x_/y">a</a>', '[a *b*](u "t")': '<a href="u" title="t">a <em>b</em></a>', "![a *b*](u)": '<img src="u" alt="a b" />', "[x](<a b>)": '<a href="a%20b">x</a>',
+    "**[a](b)**": '<strong><a href="b">a</a></strong>', "[a]": "[a]", "[a][b]": "[a][b]", "[ü](/ä?x=1&y=2)": '<a href="/%C3%A4?x=1&amp;y=2">ü</a>', "<b>x</b> & &amp; \"q\" 's": "<b>x</b> &amp; &amp; &quot;q&quot; 's", "a < b > c": "a &lt; b &gt; c", "\\*a\\* \\<b>": "*a* &lt;b&gt;",
+    "x  \ny\\\nz\nw": "x<br />\ny<br />\nz\nw", "<http://a.b>": '<a href="http://a.b">http://a.b</a>', "<!-- *a* --> *b*": "<!-- *a* --> <em>b</em>", "`d<`": "<code>d&lt;</code>", "(*a*), \"**b**\"": "(<em>a</em>), &quot;<strong>b</strong>&quot;", "* a *": "* a *", "_a*b_": "<em>a*b</em>", "": "",
+}
+
+
 def test_inline(spark):
-    df = spark.createDataFrame([("a **b** *c* `d<` [e](f) ![g](h) 2*3*4",)], "s string")
-    assert df.select(X.inline(F.col("s"))).first()[0] == 'a <strong>b</strong> <em>c</em> <code>d&lt;</code> <a href="f">e</a> <img src="h" alt="g"> 2*3*4'
+    assert {k: X.inline_html(k) for k in INLINE} == INLINE
+    df = spark.createDataFrame([(k,) for k in INLINE] + [(None,)], "s string")
+    assert [r[0] for r in df.coalesce(1).select(X.inline("s")).collect()] == [*INLINE.values(), ""]
+
+
+def test_catalogues_and_manifests_are_read_back_whole(spark, tmp_path, rows):
+    from verbaloom.sources import files, sinks
+
+    df = cat(spark, ("heading", 'T "q" \\ /', "Ü\n2", False, "translated", '{"level": 2, "x": {"y": [1]}}'), ("code_block", "g", None, True, None, None), ("paragraph", None, "", False, "new", "not json"))
+    full = X.catalogue_json(df, KEYS, include_frozen=True)
+    sinks.write_texts(full.withColumn("p", F.lit("a/one.json")), "p", "json", str(tmp_path / "c")).collect()
+    got = {r.id: r for r in files.catalogues(spark, str(tmp_path / "c")).collect()}
+    assert (got["i0"].source, got["i0"].target, got["i0"].frozen, got["i0"].meta["level"]) == ('T "q" \\ /', "Ü\n2", False, "2")
+    assert (got["i1"].frozen, got["i1"].status, got["i1"].target, got["i1"].meta) == (True, "", "", {}) and (got["i2"].source, got["i2"].meta) == ("", {})
+    assert '"id":"i1"' not in X.catalogue_json(df, KEYS).first().json and X.catalogue_json(df.limit(0), KEYS).count() == 0
+    sinks.write_texts(X.manifest_json(df, KEYS).withColumn("p", F.lit("m.json")), "p", "json", str(tmp_path / "m")).collect()
+    assert [(r.ord, r.id, r.kind) for r in files.manifests(spark, str(tmp_path / "m")).orderBy("ord").collect()] == [(0, "i0", "heading"), (1, "i1", "code_block"), (2, "i2", "paragraph")]
+
+
+def test_front_matter_survives(spark):
+    import json
+
+    from verbaloom.functions import text as T
+    from verbaloom.operators.segment import segments
+
+    docs = spark.createDataFrame([("a.md", "---\r\ntitle: A\r\n---\r\n# H\r\n\r\nx\r\n"), ("b.md", "# B")], "doc_path string, text string")
+    fronts = docs.select("doc_path", T.front_block(F.col("text")).alias("front"))
+    segs = segments(docs, "doc_path", "text").withColumns({"meta": F.to_json("meta"), "shown": F.col("src_text")})
+    got = {r.doc_path: r.text for r in X.markdown_documents(segs, ["doc_path"], fronts=fronts).collect()}
+    assert got == {"a.md": "---\ntitle: A\n---\n\n# H\n\nx\n", "b.md": "# B\n"}
+    ir = json.loads({r.doc_path: r.json for r in X.document_json(segs, ["doc_path"], fronts).collect()}["a.md"])
+    assert (ir["type"], ir["source"], ir["frontmatter"]) == ("document", "a.md", "---\ntitle: A\n---\n") and [(n["kind"], n["frozen"], n["meta"]) for n in ir["nodes"]] == [("heading", False, {"level": "1"}), ("paragraph", False, {})]
+
+
+def test_whole_pages(spark):
+    pages = spark.createDataFrame([("b", "/b.html", "B & C", 2), ("a", "a.html", None, None), ("c", "c.html", "C", 1)], "source string, url string, title string, page_order int")
+    nav = X.navigation(pages).first().nav
+    assert nav == '<a class="nav-link" href="/c.html">C</a>\n<a class="nav-link" href="/b.html">B &amp; C</a>\n<a class="nav-link" href="/a.html">a.html</a>'
+    df = spark.createDataFrame([("a", "<p>x</p>", None), ("b", None, "<li>y</li>")], "doc_path string, html string, toc string")
+    got = {r.doc_path: r.html for r in X.page_html(df, ["doc_path"], F.lit(nav), F.col("toc"), css="p{}", inspect=True).collect()}
+    assert "<p>x</p></main>\n" in got["a"] and "On this page" not in got["a"] and "<ul><li>y</li></ul>" in got["b"] and '<body class="inspect">' in got["b"] and "<style>p{}</style>" in got["a"]
 
 
 def test_token_listing_and_toc_and_diagrams(spark):

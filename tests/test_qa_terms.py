@@ -49,7 +49,29 @@ def test_tone_products_and_visual(spark, rows):
     assert rows(qa.tone(df, ["id"], "formal")) == [("1", "du")] and qa.tone(df, ["id"], "locker").count() == 0
     assert rows(qa.lost_products(df, ["id"])) == [("1", "MyTool"), ("1", "PowerShell")]
     page = spark.createDataFrame([('<td data-token="a">' + "x" * 81 + '</td><p data-token="b"><b>' + "y" * 240 + '</b></p><h2 data-token="c">' + "z " * 61 + "</h2>",)], "html string")
-    assert rows(qa.visual(qa.token_blocks(page, "html"))) == [("a", "td", 81, 80), ("c", "h2", 121, 120)]
+    assert rows(qa.visual(qa.token_blocks(page, "html")).drop("shown")) == [("a", "td", 81, 80), ("c", "h2", 121, 120)]
+
+
+def test_messages_and_repairs_say_what_they_did(spark):
+    pair = ("1", "d", "p", "See [a](u) `c` {x} {{it's}} <T> <T>", "Siehe", False, "x")
+    df = spark.createDataFrame([pair], PAIR).withColumn("meta", F.lit('{"level": 1}'))
+    said = {r.rule: r.message for r in qa.issues(df, ["id"]).collect()}
+    assert said["L1"] == "Markdown link count changed: source=1 target=0" and said["L5"] == "Inline code span count changed: source=1 target=0" and said["L9"] == "JSX/MDX tag mismatch: source=['<T>', '<T>'] target=[]"
+    assert said["L8"] == """Placeholder mismatch: source=['<T>', '{x}', "{{it's}}"] target=[]"""
+    line = qa.issues(df, ["id"]).filter("rule = 'L1'").select(qa.format_issue(*[F.col(c) for c in ("level", "id", "kind", "message", "source", "target")])).first()[0]
+    assert line.split("\n") == ["[WARN] token=1 kind=p", "       Markdown link count changed: source=1 target=0", "       Source: " + pair[3], "       Target: Siehe"]
+    fix = qa.repaired(df).first()
+    assert fix.fixed == "Siehe [a](u) `c` <T> {x} {{it's}}" and fix.status == "needs_review"
+    assert fix.notes == ["reinserted missing markdown links", "reinserted inline code `c`", "reinserted placeholder <T>", "reinserted placeholder {x}", "reinserted placeholder {{it's}}"]
+    assert fix.meta.startswith('{"level": 1, "auto_fixed":true,"auto_fix_notes":["reinserted missing')
+    assert qa.repaired(df.withColumn("target", F.col("source"))).count() == 0 and qa.repaired(df.limit(0)).count() == 0
+
+
+def test_model_results_are_joined_by_id(spark, rows):
+    df = spark.createDataFrame([("1", "d", "p", "s", "t", False, "x"), ("2", "d", "p", "s", "", False, "x"), ("3", "d", "p", "s", "t", True, "x")], PAIR).withColumn("ord", F.lit(0))
+    reply = '```json\n[{"id": "1", "message": "m"}, {"id": "1", "level": "error", "rule_violated": "r"}, {"id": "1"}, {"id": "2", "message": "no target"}, {"id": "3"}, {"id": "9"},]\n```'
+    got = qa.model_issues(df, spark.createDataFrame([(reply,), ("prose",), (None,)], "reply string"), "reply")
+    assert rows(got.select("id", "level", "message")) == [("1", "ai-warn", "AI semantic warning"), ("1", "ai-warn", "m"), ("1", "error", "r")]
 
 
 def test_terms(spark, rows):

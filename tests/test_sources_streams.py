@@ -78,8 +78,9 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path, rows):
         spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(src)
     for _ in range(2):  # the second start finds nothing new
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-        watch.latest_state(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/c", ["source_key", "lang"], ["revised_at", "id"]).awaitTermination()
-    got = spark.read.parquet(sinks.current(spark, f"file://{tmp_path}/t"))
+        watch.latest_state(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/c", ["source_key", "lang"], ["revised_at", "id"], compact=2).awaitTermination()
+    assert sinks.current(spark, f"file://{tmp_path}/t") and len(watch._deltas(spark, f"file://{tmp_path}/t")) == 1
+    got = watch.state(spark, f"file://{tmp_path}/t", ["source_key", "lang"], ["revised_at", "id"])
     assert rows(got.select("source_key", "id")) == rows(latest(spark.read.parquet(src), ["source_key", "lang"], ["revised_at", "id"]).select("source_key", "id")) == [("k", 3), ("m", 2)]
 
 
@@ -95,3 +96,23 @@ def test_documents_stream_and_counts(spark, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("counts").collect()) == [1, 1]
+
+
+def test_old_versions_go_and_a_reader_always_finds_one(spark, tmp_path):
+    root = f"file://{tmp_path}/w"
+    made = [sinks.write_version(spark.range(n + 1).toDF("i"), root) for n in range(4)]
+    assert sinks.current(spark, root) == made[-1] and spark.read.parquet(made[-2]).count() == 3
+    assert sorted(p.name for p in (tmp_path / "w").iterdir() if not p.name.startswith(".")) == ["CURRENT-3", "CURRENT-4", "v3", "v4"]
+
+
+def test_projects(spark, tmp_path):
+    from verbaloom.sources import files
+
+    root = str(tmp_path / "p")
+    assert sorted(files.scaffold(root)) == [".verbaloom.json", "docs/index.md", "locales/glossary.json"] and files.scaffold(root) == []
+    (tmp_path / "p" / "docs" / "deep").mkdir()
+    assert files.find_root(root + "/docs/deep") == str((tmp_path / "p").resolve()) and files.find_root(str(tmp_path)) == str(tmp_path.resolve())
+    assert files.markdown(spark, root + "/docs").count() == 1 and files.json_at_branch(root, "main", "x.json") is None
+    old = spark.createDataFrame([("a  b", "c")], "source string, target string")
+    row = files.migrated(old).first()
+    assert (row.lang, row.status, row.meta_json, row.embedding, len(row)) == ("de", "translated", "{}", None, 11) and files.migrated(files.migrated(old)).first() == row

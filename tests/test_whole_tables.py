@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from verbaloom.operators import terms
+from verbaloom.operators.exchange import inline_html
 from verbaloom.plans.catalogue import QUERIES
 
 BASE = "/root/testdata/sf0.001"
@@ -32,19 +33,19 @@ def test_terms_of_texts_beyond_ascii(spark, tmp_path):
     texts = ["Die Übersetzung prüft Größe und MyTool – „Neue Ordner“", "Le système gère l’API Été Café", "plain API text", None, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("übersetzung", "x", None)], "source string, target string, note string").write.parquet(f"{tmp_path}/glossary.parquet")
-    got = {r.term: r.score for r in QUERIES["term_scores_whole"](spark, str(tmp_path)).collect()}
+    got = {r.term: r.score for r in QUERIES["term_scores"](spark, str(tmp_path)).collect()}
     assert got == plain_terms(texts)
     assert got["API"] == 10 and got["MyTool"] == 3 and got["Größe"] == 1 and got["Neue Ordner"] == 3
-    best = QUERIES["term_topk_whole"](spark, str(tmp_path)).collect()
+    best = QUERIES["term_topk"](spark, str(tmp_path)).collect()
     assert [(r.term, r.score) for r in best] == sorted(((t, n) for t, n in got.items() if n >= 5), key=lambda x: (-x[1], x[0]))
-    fresh = {r.source for r in QUERIES["glossary_new_terms_whole"](spark, str(tmp_path)).collect()}
+    fresh = {r.source for r in QUERIES["glossary_new_terms"](spark, str(tmp_path)).collect()}
     assert "Größe" in fresh and "Übersetzung" not in fresh
 
 
 @here
 def test_terms_of_all_documents(spark):
     texts = [r.text for r in spark.read.parquet(f"{BASE}/documents.parquet").select("text").collect()]
-    assert {r.term: r.score for r in QUERIES["term_scores_whole"](spark, BASE).collect()} == plain_terms(texts)
+    assert {r.term: r.score for r in QUERIES["term_scores"](spark, BASE).collect()} == plain_terms(texts)
 
 
 CATALOGUE = "pair_id long, doc_path string, lang string, ord int, id string, kind string, source string, target string, frozen boolean, fingerprint string, status string, meta string, extracted_at timestamp"
@@ -81,9 +82,9 @@ def plain_slug(s):
 
 def same_as_plain(spark, rows, base):
     cat = pairs(spark, base)
-    assert rows(QUERIES["ai_lint_tone_whole"](spark, base)) == sorted(plain_tone(cat), key=repr)
-    assert rows(QUERIES["ai_lint_product_case_whole"](spark, base)) == sorted(plain_products(cat), key=repr)
-    assert rows(QUERIES["slugify_whole"](spark, base)) == sorted(((i, plain_slug(r.source)) for i, r in cat.items()), key=repr)
+    assert rows(QUERIES["ai_lint_tone"](spark, base)) == sorted(plain_tone(cat), key=repr)
+    assert rows(QUERIES["ai_lint_product_case"](spark, base)) == sorted(plain_products(cat), key=repr)
+    assert rows(QUERIES["slugify"](spark, base)) == sorted(((i, plain_slug(r.source)) for i, r in cat.items()), key=repr)
     return cat
 
 
@@ -99,39 +100,21 @@ def test_checks_and_slugs_of_all_pairs(spark, rows):
     same_as_plain(spark, rows, BASE)
 
 
-def plain_inline(s):
-    """Emphasis is looked for between code and tags, in text whose code and tags are cut out."""
-    kept = []
-
-    def cut(x):
-        kept.append(x)
-        return f"\ue000{len(kept) - 1}\ue001"
-
-    s = re.sub(r"`([^`]+)`", r"<code>\1</code>", html.escape(s))
-    s = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img src="\2" alt="\1">', s)
-    s = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', s)
-    s = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", s)
-    s = re.sub(r"(?s)<code>.*?</code>|<[^>]*>", lambda m: cut(m.group(0)), s)
-    for mark in (r"\*", "_"):
-        s = re.sub(rf"(?<![\w*]){mark}(?!\s)([^*_]+)(?<!\s){mark}(?![\w*])", r"<em>\1</em>", s)
-    return re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m.group(1))], s)
-
-
 def same_markup_and_json(spark, rows, base):
     cat = pairs(spark, base)
-    assert rows(QUERIES["json_repair_whole"](spark, base)) == sorted(((i, r.target or "") for i, r in cat.items()), key=repr)
-    lists = rows(QUERIES["translation_lists_whole"](spark, base).select("batch", "id", "target", "ok"))
+    assert rows(QUERIES["json_repair"](spark, base)) == sorted(((i, r.target or "") for i, r in cat.items()), key=repr)
+    lists = rows(QUERIES["translation_lists"](spark, base).select("batch", "id", "target", "ok"))
     assert lists == sorted(((str(i), r.id, r.target, True) for i, r in cat.items() if r.id is not None and r.target is not None), key=repr)
-    blocks = rows(QUERIES["token_blocks_whole"](spark, base).select("token", "tag", "text"))
+    blocks = rows(QUERIES["token_blocks"](spark, base).select("token", "tag", "text"))
     assert blocks == sorted(((r.id, "td", html.escape(r.source or "")) for r in cat.values() if r.id is not None), key=repr)
-    assert rows(QUERIES["inline_html_whole"](spark, base)) == sorted(((i, plain_inline(r.target or r.source or "")) for i, r in cat.items()), key=repr)
+    assert rows(QUERIES["inline_html"](spark, base)) == sorted(((i, inline_html(r.target or r.source or "")) for i, r in cat.items()), key=repr)
 
 
 def test_markup_and_json_that_sql_leaves_out(spark, rows, tmp_path):
     targets = ["`a`, }", "[1, ] und ```json", 'say "x, ]" \\ ,}', "a *b* und é_c_ _d_ `_e_ *f*` [g](/_h_/) *i_ _j `k` l_", None, "", ",]\n,\t}", "**a** *b c*, 2*3*4"]
     base = demo(spark, tmp_path, [{"target": t, "source": "<Tab a='1'> </td> *x*"} for t in targets])
     same_markup_and_json(spark, rows, base)
-    got = {r.pair_id: r.html for r in QUERIES["inline_html_whole"](spark, base).collect()}
+    got = {r.pair_id: r.html for r in QUERIES["inline_html"](spark, base).collect()}
     assert got[3] == 'a <em>b</em> und é_c_ <em>d</em> <code>_e_ *f*</code> <a href="/_h_/">g</a> *i_ <em>j <code>k</code> l</em>'
 
 
@@ -196,21 +179,21 @@ def plain_ids(cat):
 
 def same_states(spark, rows, base):
     cat = pairs(spark, base)
-    assert rows(QUERIES["catalog_merge_whole"](spark, base)) == plain_merge(cat)
-    sync, got = plain_sync(cat), QUERIES["branch_sync_whole"](spark, base).collect()
+    assert rows(QUERIES["catalog_merge"](spark, base)) == plain_merge(cat)
+    sync, got = plain_sync(cat), QUERIES["branch_sync"](spark, base).collect()
     assert sorted(r.pair_id for r in got) == sorted(sync) and all((r.target, r.synced_from_id) in sync[r.pair_id] for r in got)
-    assert rows(QUERIES["po_import_merge_whole"](spark, base)) == plain_po(cat)
+    assert rows(QUERIES["po_import_merge"](spark, base)) == plain_po(cat)
 
 
 def test_states_of_every_language(spark, rows, tmp_path):
     made = [{"lang": lang, "ord": i, "id": f"x{i}", "target": f"{lang}{i}", "status": "translated", "fingerprint": f"f{i // 6}", "source": f"The number of the text is {i}"} for lang in ("en", "de", "it") for i in range(8)]
     base = demo(spark, tmp_path, made)
     same_states(spark, rows, base)
-    got = {r.pair_id: r for r in QUERIES["catalog_merge_whole"](spark, base).collect()}
+    got = {r.pair_id: r for r in QUERIES["catalog_merge"](spark, base).collect()}
     assert got[9].target == "de1" and got[17].target == "it1"
-    synced = {r.pair_id: r.target for r in QUERIES["branch_sync_whole"](spark, base).collect()}
+    synced = {r.pair_id: r.target for r in QUERIES["branch_sync"](spark, base).collect()}
     assert synced[8] == "de4" and synced[16] == "it4"
-    merged = {r.pair_id: r.target for r in QUERIES["po_import_merge_whole"](spark, base).collect()}
+    merged = {r.pair_id: r.target for r in QUERIES["po_import_merge"](spark, base).collect()}
     assert merged[10] == 'Neu "\\n\nde2' and merged[11] == "de3"
     ids = rows(QUERIES["id_reuse_greedy"](spark, base).select("doc_path", "lang", "ord", "id", "status"))
     assert ids == plain_ids(pairs(spark, base)) and {r[1] for r in ids} == {"de", "it"}

@@ -15,9 +15,6 @@ PLACEHOLDER = r"(\{\{[^}]+\}\}|\{[A-Za-z_][A-Za-z0-9_]*\}|%[sd]|:[A-Za-z_][A-Za-
 TAG = r"(</?[A-Z][A-Za-z0-9_.]*\b[^>]*>)"
 PROP = r"""\b(title|label|description|alt|aria-label|placeholder)=["']([^"']+)["']"""
 CHILD = r"(?s)<([A-Z][A-Za-z0-9_.]*)\b[^>]*>(.*?)</\1>"
-#: The same without what DuckDB's expressions lack, for the queries' SQL: images go first, then links are matched.
-LINK_PLAIN = r"\[([^\]]+)\]\(([^)]+)\)"
-
 
 def _all(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text_or_empty(c), F.lit(pattern), F.lit(group))

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType
 
 from verbaloom.functions.text import normalised, text_or_empty
 
@@ -60,6 +60,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
+def usable(column: str, dim: int) -> Column:
+    """Whether a vector has ``dim`` values, all finite, not all zero; false for null."""
+    v = F.col(column)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of unit vectors, cut to 0 to 1; null if one is null."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b)))
@@ -98,3 +105,15 @@ def hashed_vectors(text: pd.Series) -> pd.Series:
     made = [hashed_vector(v) for v in values]
     empty = hashed_vector("")
     return pd.Series([made[c] if c >= 0 else empty for c in codes])
+
+
+@F.pandas_udf(BinaryType())
+def packed(vector: pd.Series) -> pd.Series:
+    """Vectors as 32-bit floats, little-endian, one after the other; null stays null."""
+    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def unpacked(packed: pd.Series) -> pd.Series:
+    """The inverse; null and empty give null, odd bytes at the end are left out."""
+    return packed.map(lambda b: np.frombuffer(b[: len(b) // 4 * 4], "<f4") if b else None)

@@ -72,6 +72,11 @@ def front_matter(c: Column) -> Column:
     return F.regexp_extract(text_or_empty(c), FRONT, 1)
 
 
+def front_block(c: Column) -> Column:
+    """The front matter with its opening and closing rule, as it stands; empty if there is none. Line ends are unified."""
+    return F.regexp_extract(unix_lines(text_or_empty(c)), FRONT, 0)
+
+
 def body(c: Column) -> Column:
     return F.regexp_replace(text_or_empty(c), FRONT, "")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import html
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,6 +105,24 @@ def merge_targets(segs: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] =
     return joined.select(*[status.alias("status") if c == "status" else target.alias("target") if c == "target" else F.col(c) for c in segs.columns])
 
 
+def edited(catalogue: DataFrame, edits: DataFrame) -> DataFrame:
+    """The entries that edits (id, lang, target, status) reach, with the new target and status: in each document the first with the id.
+
+    status null means translated; of edits to one id and language the last by (target, status) counts; ids that aren't there do nothing.
+    """
+    one = edits.filter("id is not null").groupBy("id", "lang").agg(F.max(F.struct(F.col("target"), F.coalesce("status", F.lit("translated")).alias("status"))).alias("e"))
+    first = catalogue.join(one, ["id", "lang"]).groupBy("doc_path", "lang", "id", "e").agg(F.min("ord").alias("ord"))
+    hit = catalogue.join(first, ["doc_path", "lang", "id", "ord"])
+    return hit.select(*[F.col(f"e.{c}").alias(c) if c in ("target", "status") else F.col(c) for c in catalogue.columns])
+
+
+def with_edits(catalogue: DataFrame, edits: DataFrame) -> DataFrame:
+    """catalogue after the edits; every other entry stays as it is."""
+    new = edited(catalogue, edits).select("doc_path", "lang", "id", "ord", F.struct(F.col("target"), F.col("status")).alias("_e")).distinct()
+    joined = catalogue.join(new, ["doc_path", "lang", "id", "ord"], "left")
+    return joined.select(*[F.when(F.col("_e").isNotNull(), F.col(f"_e.{c}")).otherwise(F.col(c)).alias(c) if c in ("target", "status") else F.col(c) for c in catalogue.columns])
+
+
 def resolved(target: str, own: str, source: str) -> Column:
     """The first of the three that isn't empty."""
     return F.coalesce(F.nullif(F.col(target), F.lit("")), F.nullif(F.col(own), F.lit("")), F.col(source))
@@ -125,6 +145,22 @@ def neighbours(catalogue: DataFrame, keys: list[str]) -> DataFrame:
     return catalogue.select("*", T.text_or_empty(before).alias("prev_source"), T.text_or_empty(after).alias("next_source"))
 
 
+def dashboard(pages: DataFrame, lang: str) -> str:
+    """An HTML page of the roll-up (attention's rows, ``k`` of them at most, are collected): totals, shares and one row by page."""
+    rows = pages.collect()
+    share = lambda n, of: 0.0 if not of else round(100 * n / of, 1)
+    whole = {c: sum(r[c] for r in rows) for c in ("translated", "needs_review", "missing", "lint_issues", "total")}
+    cards = "".join(f"<dt>{name}</dt><dd>{share(whole[c], whole['total'])}%</dd>" for name, c in (("Translated", "translated"), ("Needs review", "needs_review"), ("Missing", "missing")))
+    cells = lambda r: "".join(f"<td>{r[c]}</td>" for c in ("translated", "needs_review", "missing", "lint_issues"))
+    body = "\n".join(f"<tr><td><code>{html.escape(r.doc_path or '')}</code></td>{cells(r)}<td><meter max='100' value='{share(r.translated, r.total)}'></meter></td></tr>" for r in rows)
+    data = html.escape(json.dumps({"lang": lang, "total": whole, "pages": [r.asDict() for r in rows]}, ensure_ascii=False))
+    head = "<tr><th>Page</th><th>Translated</th><th>Review</th><th>Missing</th><th>QA</th><th>Progress</th></tr>"
+    return (
+        f"<!doctype html>\n<html lang='en'><head><meta charset='utf-8'><title>Localization</title></head><body>\n<h1>Localization: {html.escape(lang)}</h1>\n"
+        f"<dl>{cards}<dt>QA warnings</dt><dd>{whole['lint_issues']}</dd></dl>\n<table><thead>{head}</thead><tbody>\n{body}\n</tbody></table>\n<script type='application/json'>{data}</script>\n</body></html>\n"
+    )
+
+
 def changed_inputs(old: DataFrame, new: DataFrame, old_globals: DataFrame | None = None, new_globals: DataFrame | None = None) -> DataFrame:
     """Rows of ``new`` (path, hash) to build again: all if a global input changed, else those not in ``old``."""
     fresh = new.join(old, [new.path == old.path, new.hash.eqNullSafe(old.hash)], "left_anti")

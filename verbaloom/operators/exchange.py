@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from verbaloom.functions import jsonish as J
 from verbaloom.functions import text as T
 from verbaloom.operators.catalogue import resolved
 
 #: What an XLIFF placeholder stands for, and which helper segments a page leaves out.
 PROTECTED = re.compile(r"(`[^`]+`|\{\{[^}]+\}\}|</?[A-Z][A-Za-z0-9_.]*\b[^>]*>)")
 HELPERS = ("image_alt", "link_text", "jsx_prop", "jsx_child")
-#: Two noncharacters, which no text may hold.
-ASIDE = "\ufdd0\ufdd1"
 
 
 def ordered(value: Column, separator: str, by: str = "ord") -> Column:
@@ -36,12 +37,45 @@ def token_listing(catalogue: DataFrame, keys: list[str]) -> DataFrame:
     return catalogue.groupBy(*keys).agg(ordered(line, "\n").alias("text"))
 
 
-def catalogue_json(catalogue: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, json): one catalogue document without frozen segments."""
-    entry = F.struct("ord", "id", "kind", "source", "target", "fingerprint", "status")
-    rows = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("ord"))
-    open_ = catalogue.filter(~F.coalesce("frozen", F.lit(False)))
-    return open_.groupBy(*keys).agg(rows.alias("entries")).select(*keys, F.to_json(F.struct(F.col("doc_path").alias("source"), "entries")).alias("json"))
+def _object(c: Column) -> Column:
+    """A JSON object as it stands; anything else as an empty one."""
+    return F.when(T.text_or_empty(c).rlike(r"(?s)^\s*\{.*\}\s*$") & J.valid(c), F.trim(c)).otherwise("{}")
+
+
+def _member(row: Column, name: str, value: Column) -> Column:
+    """A row as a JSON object with one more member, which is JSON already."""
+    return F.concat(F.regexp_replace(F.to_json(row, {"ignoreNullFields": "false"}), r"\}\z", ""), F.lit(f',"{name}":'), value, F.lit("}"))
+
+
+def _texts(*columns: str) -> list[Column]:
+    return [T.text_or_empty(F.col(c)).alias(c) for c in columns]
+
+
+def catalogue_json(catalogue: DataFrame, keys: list[str], include_frozen: bool = False) -> DataFrame:
+    """(keys, json): one catalogue document, in order; frozen segments are left out unless asked for.
+
+    Null texts are written as empty, a null ``frozen`` as false, ``meta`` (JSON text) as an object. sources.files.catalogues reads it.
+    """
+    rows = catalogue if include_frozen else catalogue.filter(~F.coalesce("frozen", F.lit(False)))
+    entry = _member(F.struct(*_texts("id", "kind", "source", "target"), F.coalesce("frozen", F.lit(False)).alias("frozen"), *_texts("fingerprint", "status")), "meta", _object(F.col("meta")))
+    made = rows.groupBy(*keys).agg(ordered(entry, ",").alias("entries"))
+    return made.select(*keys, F.concat(F.regexp_replace(F.to_json(F.struct(F.col("doc_path").alias("source"))), r"\}\z", ""), F.lit(',"entries":['), F.col("entries"), F.lit("]}")).alias("json"))
+
+
+def manifest_json(segs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, json): the manifest of all segments, frozen ones too, in order; sources.files.manifests reads it."""
+    node = F.struct("ord", F.struct(*_texts("id", "kind", "source", "fingerprint")).alias("n"))
+    made = segs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(node)), lambda x: x["n"]).alias("nodes"))
+    return made.select(*keys, F.to_json(F.struct(F.col("doc_path").alias("source"), "nodes")).alias("json"))
+
+
+def document_json(segs: DataFrame, keys: list[str], fronts: DataFrame | None = None) -> DataFrame:
+    """(keys, json): type, source, front matter and nodes of each document. fronts: doc_path and ``front``; without it, it is empty."""
+    node = _member(F.struct(*_texts("id", "kind"), F.coalesce("frozen", F.lit(False)).alias("frozen")), "meta", _object(F.col("meta")))
+    made = segs.groupBy(*keys).agg(ordered(node, ",").alias("nodes"))
+    made = made.withColumn("front", F.lit("")) if fronts is None else made.join(fronts.select("doc_path", "front"), "doc_path", "left")
+    head = F.to_json(F.struct(F.lit("document").alias("type"), F.col("doc_path").alias("source"), T.text_or_empty(F.col("front")).alias("frontmatter")))
+    return made.select(*keys, F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"nodes":['), F.col("nodes"), F.lit("]}")).alias("json"))
 
 
 PO_HEAD = 'msgid ""\nmsgstr ""\n"Content-Type: text/plain; charset=UTF-8\\n"\n\n'
@@ -84,11 +118,10 @@ def xliff_text(text: pd.Series) -> pd.Series:
     """Escaped text in which code, placeholders and tags are numbered elements."""
 
     def one(s: str) -> str:
-        parts, last = [], 0
-        for n, m in enumerate(PROTECTED.finditer(s), 1):
-            parts += [html.escape(s[last : m.start()]), f'<ph id="{n}" equiv="{html.escape(m.group(0))}"/>']
-            last = m.end()
-        return "".join([*parts, html.escape(s[last:])])
+        # The pattern is one group, so every second part is protected.
+        parts = PROTECTED.split(s)
+        held = [f'<ph id="{n}" equiv="{html.escape(x)}"/>' for n, x in enumerate(parts[1::2], 1)]
+        return "".join(html.escape(plain) + ph for plain, ph in zip(parts[::2], [*held, ""], strict=True))
 
     return text.fillna("").map(one)
 
@@ -115,8 +148,11 @@ def meta(key: str, default: str) -> Column:
     return F.coalesce(F.get_json_object("meta", f"$.{key}"), F.lit(default))
 
 
-def markdown_documents(segs: DataFrame, keys: list[str], columns: int = 2) -> DataFrame:
-    """(keys, text): documents written from segments, which bring ``meta`` as JSON and ``shown``, their text."""
+def markdown_documents(segs: DataFrame, keys: list[str], columns: int = 2, fronts: DataFrame | None = None) -> DataFrame:
+    """(keys, text): documents written from segments, which bring ``meta`` as JSON and ``shown``, their text.
+
+    fronts: doc_path and ``front``, the front matter with its rules, which goes before the text where there is one.
+    """
     t = F.col("shown")
     runs = _runs(segs, keys, HELPERS)
     last = F.lead("run").over(Window.partitionBy(*keys).orderBy("ord")).eqNullSafe(F.col("run")) == F.lit(False)
@@ -140,21 +176,123 @@ def markdown_documents(segs: DataFrame, keys: list[str], columns: int = 2) -> Da
         .otherwise(F.concat(t, F.lit("\n\n")))
     )
     whole = runs.withColumn("piece", piece).groupBy(*keys).agg(ordered(F.col("piece"), "").alias("text"))
-    return whole.select(*keys, F.concat(F.regexp_replace("text", r"\s+\z", ""), F.lit("\n")).alias("text"))
+    text = F.concat(F.regexp_replace("text", r"\s+\z", ""), F.lit("\n"))
+    if fronts is None:
+        return whole.select(*keys, text.alias("text"))
+    front = F.regexp_replace(T.text_or_empty(F.col("front")), r"\s+\z", "")
+    joined = whole.join(fronts.select("doc_path", "front"), "doc_path", "left")
+    return joined.select(*keys, F.concat(F.when(front == "", "").otherwise(F.concat(front, F.lit("\n\n"))), text).alias("text"))
+
+
+#: What stands in a line besides plain text: an escaped sign, code, an image or link, an address or tag of HTML.
+PIECE = re.compile(
+    r"\\([!-/:-@\[-`{-~])|(?<!`)(`+)(?!`)(.+?)(?<!`)\2(?!`)|(!?)\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\(\s*(<[^<>\n]*>|[^\s()<]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)"
+    r"|<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>|(<(?:[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[A-Za-z][A-Za-z0-9-]*\s*|!--.*?--|\?.*?\?|![A-Z][^>]*)>)|( {2,}|\\)?\n *",
+    re.S,
+)
+RUN = re.compile(r"\*+|_+")
+
+
+def _safe(s: str) -> str:
+    """Escaped; entities of HTML are taken for their signs first."""
+    return html.escape(html.unescape(s)).replace("&#x27;", "'")
+
+
+def _address(s: str) -> str:
+    s = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", s[1:-1] if s.startswith("<") else s)
+    return html.escape(quote(html.unescape(s), safe="!#$%&'()*+,-./:;=?@_~")).replace("&#x27;", "'")
+
+
+def _emphasis(pieces: list[str], runs: list[tuple[int, str, int, bool, bool]]) -> None:
+    """Turn runs of signs into tags, in place. runs: place, sign, length, may open, may close, in order.
+
+    A closing run takes the nearest run before it that opens with its sign; what stands between loses its signs' meaning.
+    A run that may do both pairs only if the lengths don't add up to a multiple of three, or both are one.
+    """
+    left = [size for _, _, size, _, _ in runs]
+    opened, closed = [""] * len(runs), [""] * len(runs)
+    waiting: list[int] = []
+    for k, (_, sign, size, may_open, may_close) in enumerate(runs):
+        while left[k] and may_close:
+            fits = lambda j, sign=sign, size=size, both=may_open: runs[j][1] == sign and not ((both or runs[j][4]) and (runs[j][2] + size) % 3 == 0 and (runs[j][2] % 3 or size % 3))
+            at = next((n for n in range(len(waiting) - 1, -1, -1) if fits(waiting[n])), None)
+            if at is None:
+                break
+            j = waiting[at]
+            del waiting[at + 1 :]
+            n = 2 if left[k] > 1 and left[j] > 1 else 1
+            tag = ("em", "strong")[n - 1]
+            opened[j], closed[k] = f"<{tag}>" + opened[j], closed[k] + f"</{tag}>"
+            left[j] -= n
+            left[k] -= n
+            if not left[j]:
+                waiting.pop()
+        if left[k] and may_open:
+            waiting.append(k)
+    for k, (at, sign, *_) in enumerate(runs):
+        pieces[at] = closed[k] + sign * left[k] + opened[k]
+
+
+def inline_html(s: str, plain: bool = False) -> str:
+    """The inline Markdown of a text as HTML; plain: without tags, for what an image is called."""
+    pieces: list[str] = []
+    runs: list[tuple[int, str, int, bool, bool]] = []
+
+    def put_text(lo: int, hi: int) -> None:
+        last = lo
+        for m in RUN.finditer(s, lo, hi):
+            if m.start() > last:
+                pieces.append(_safe(s[last : m.start()]))
+            prev, nxt = (s[m.start() - 1] if m.start() else " "), (s[m.end()] if m.end() < len(s) else " ")
+            blank = lambda c: c.isspace()
+            mark = lambda c: unicodedata.category(c)[0] in "PS"
+            left = not blank(nxt) and (not mark(nxt) or blank(prev) or mark(prev))
+            right = not blank(prev) and (not mark(prev) or blank(nxt) or mark(nxt))
+            if m.group()[0] == "_":
+                left, right = left and (not right or mark(prev)), right and (not left or mark(nxt))
+            runs.append((len(pieces), m.group()[0], len(m.group()), left, right))
+            pieces.append(m.group())
+            last = m.end()
+        if hi > last:
+            pieces.append(_safe(s[last:hi]))
+
+    end = 0
+    for m in PIECE.finditer(s):
+        put_text(end, m.start())
+        end = m.end()
+        escaped, ticks, code, bang, label, address, title, auto, tag, hard = m.groups()
+        if escaped:
+            pieces.append(html.escape(escaped).replace("&#x27;", "'"))
+        elif ticks:
+            code = code.replace("\n", " ")
+            code = code[1:-1] if code.startswith(" ") and code.endswith(" ") and code.strip() else code
+            pieces.append(code if plain else f"<code>{html.escape(code).replace('&#x27;', chr(39))}</code>")
+        elif label is not None:
+            named = f' title="{_safe(title[1:-1])}"' if title else ""
+            if bang:
+                alt = inline_html(label, plain=True)
+                pieces.append(alt if plain else f'<img src="{_address(address)}" alt="{alt}"{named} />')
+            else:
+                inner = inline_html(label, plain)
+                pieces.append(inner if plain else f'<a href="{_address(address)}"{named}>{inner}</a>')
+        elif auto:
+            pieces.append(_safe(auto) if plain else f'<a href="{_address(auto)}">{_safe(auto)}</a>')
+        elif tag:
+            pieces.append("" if plain else tag)
+        else:
+            pieces.append("<br />\n" if hard and not plain else "\n")
+    put_text(end, len(s))
+    _emphasis(pieces, runs)
+    whole = "".join(pieces)
+    return re.sub(r"</?(?:em|strong)>", "", whole) if plain else whole
 
 
-def inline(c: Column) -> Column:
-    """Code, images, links, strong and emphasis; the rest is escaped."""
-    s = T.html_escape(c)
-    s = F.regexp_replace(s, r"`([^`]+)`", "<code>$1</code>")
-    s = F.regexp_replace(s, r"!\[([^\]]*)\]\(([^)\s]+)\)", '<img src="$2" alt="$1">')
-    s = F.regexp_replace(s, r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>')
-    s = F.regexp_replace(s, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    # Stars and underscores of code and tags are set aside while emphasis is looked for.
-    parts = F.regexp_extract_all(s, F.lit(r"(?s)<code>.*?</code>|<[^>]*>|[^<]+"), F.lit(0))
-    s = F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("<")), F.translate(p, "*_", ASIDE)).otherwise(p)), "")
-    s = F.regexp_replace(s, r"(?U)(?<![\w*])([*_])([^*_\s](?:[^*_]*[^*_\s])?)\1(?![\w*])", "<em>$2</em>")
-    return F.translate(s, ASIDE, "*_")
+@F.pandas_udf(StringType())
+def inline(text: pd.Series) -> pd.Series:
+    """Inline Markdown as HTML, once for each different text of a batch: code, links, images, emphasis, breaks; HTML passes. Null is empty."""
+    codes, values = pd.factorize(text.fillna(""))
+    made = [inline_html(v) for v in values]
+    return pd.Series([made[c] for c in codes], dtype=object)
 
 
 def html_documents(segs: DataFrame, keys: list[str], columns: int = 2) -> DataFrame:
@@ -187,6 +325,27 @@ def html_documents(segs: DataFrame, keys: list[str], columns: int = 2) -> DataFr
     return runs.withColumn("piece", F.concat(glue, piece)).groupBy(*keys).agg(F.regexp_replace(ordered(F.col("piece"), ""), r"\A\n", "").alias("html"))
 
 
+def page_html(pages: DataFrame, keys: list[str], nav: Column, toc: Column, css: str = "", search: str = "", inspect: bool = False) -> DataFrame:
+    """(keys, html): whole pages around ``html``; nav and toc are HTML, empty where a page has none. css, search: the same for all pages.
+
+    inspect marks the page's body, so that a style sheet can point out segments.
+    """
+    aside = F.when(T.text_or_empty(toc) == "", "").otherwise(F.concat(F.lit('<aside class="toc"><strong>On this page</strong><ul>'), toc, F.lit("</ul></aside>")))
+    menu = F.when(T.text_or_empty(nav) == "", "").otherwise(F.concat(F.lit('<nav class="sidebar"><strong>Docs</strong>'), nav, F.lit("</nav>")))
+    head = f'<!doctype html>\n<html><head><meta charset="utf-8"><meta name="viewport" content="width=device-width,initial-scale=1"><style>{css}</style></head><body class="{"inspect" if inspect else ""}">\n'
+    body = F.concat(F.lit(head), menu, F.lit(f'{search}\n<main class="content">'), T.text_or_empty(F.col("html")), F.lit("</main>"), aside, F.lit("\n</body></html>\n"))
+    return pages.select(*keys, body.alias("html"))
+
+
+def navigation(pages: DataFrame) -> DataFrame:
+    """(nav): one row, the links to all pages (url, title, page_order) in order; a null title shows the address."""
+    url = F.regexp_replace(T.text_or_empty(F.col("url")), "^/+", "")
+    title = F.coalesce("title", "url", F.lit(""))
+    link = F.concat(F.lit('<a class="nav-link" href="/'), T.html_escape(url), F.lit('">'), T.html_escape(title), F.lit("</a>"))
+    item = F.struct(F.coalesce("page_order", F.lit(999)).alias("o"), title.alias("t"), url.alias("u"), link.alias("v"))
+    return pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]), "\n").alias("nav"))
+
+
 def shown(catalogue: DataFrame) -> DataFrame:
     """catalogue with ``shown``: the target if there is one, else the source."""
     return catalogue.withColumn("shown", T.text_or_empty(resolved("target", "target", "source")))

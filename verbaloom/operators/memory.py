@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from verbaloom.functions import similarity as S
 from verbaloom.functions import text as T
+from verbaloom.operators import qa as Q
 from verbaloom.operators.catalogue import latest
 
 
@@ -31,6 +33,30 @@ def exact(segs: DataFrame, memory: DataFrame, source: str = "source") -> DataFra
     return joined.withColumns({"tm_score": F.when(F.col("tm_target").isNotNull(), F.lit(1.0)), "tm_status": F.when(F.col("tm_target").isNotNull(), F.lit("needs_review"))})
 
 
+def prefill(segs: DataFrame, memory: DataFrame, key: str, least: float = 0.82) -> DataFrame:
+    """Segments without a target, frozen ones aside, filled from the memory: by the exact source, else by the best fuzzy hit.
+
+    segs: key, source, lang, target, status, meta (JSON), frozen. memory: one row by (source_key, lang), with entry_id, vector.
+    Gives (key, target, status, meta) of those filled: an exact hit keeps a status of translated, any other is needs_review;
+    meta gets tm_reused or tm_fuzzy, tm_score, and the source of a fuzzy hit. Ties as in the fuzzy search.
+    """
+    gaps = segs.filter(~F.coalesce("frozen", F.lit(False)) & (T.text_or_empty(F.col("target")) == "") & (F.col("source") != ""))
+    looked = exact(gaps.select(key, "source", "lang", "status", "meta"), memory.select("source_key", "lang", "target"))
+    said = lambda *extra: Q.with_meta(F.col("meta"), F.to_json(F.struct(*extra)))
+    hits = looked.filter("tm_target is not null").select(key, F.col("tm_target").alias("target"), F.when(F.col("status") == "translated", "translated").otherwise("needs_review").alias("status"), said(F.lit(True).alias("tm_reused"), F.lit(1.0).alias("tm_score")).alias("meta"))
+    rest = looked.filter("tm_target is null").select(F.col(key).alias("query_id"), "source", "lang", S.hashed_vectors("source").alias("vector"))
+    best = fuzzy_hybrid(rest, memory, least, 1).withColumnRenamed("query_id", key)
+    near = best.join(memory.select("entry_id", F.col("target").alias("found"), F.col("source").alias("of")), "entry_id").filter("found <> ''").join(gaps.select(key, "meta"), key)
+    fuzzy = near.select(key, F.col("found").alias("target"), F.lit("needs_review").alias("status"), said(F.lit(True).alias("tm_fuzzy"), F.col("score").alias("tm_score"), F.col("of").alias("tm_source")).alias("meta"))
+    return hits.unionByName(fuzzy)
+
+
+def recent(memory: DataFrame, n: int = 10_000) -> DataFrame:
+    """The n entries of each language updated last, a null time before all others; ties by the smaller id."""
+    w = Window.partitionBy("lang").orderBy(F.desc_nulls_last("updated_at"), "entry_id")
+    return memory.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
 def upsert(memory: DataFrame, new: DataFrame) -> DataFrame:
     """memory with the rows of ``new``; both have one schema and ``seq`` orders rows of equal time.
 
@@ -154,6 +180,55 @@ def fuzzy_hybrid(queries: DataFrame, memory: DataFrame, least: float, k: int) ->
     return _top(scored.filter(F.col("score") >= least), k)
 
 
+def fuzzy_vector(queries: DataFrame, memory: DataFrame, least: float, k: int) -> DataFrame:
+    """The same by the cosine of the vectors alone."""
+    keep = lambda df, ident, *more: df.select(F.col(ident).alias("i"), "lang", F.col("vector").alias("v"), *more)
+    q, m = keep(queries, "query_id"), keep(memory, "entry_id", "updated_at")
+    pairs = above(q, m.drop("updated_at"), least - 5e-5).filter("query_id <> entry_id")
+    both = pairs.join(q.select(F.col("i").alias("query_id"), F.col("v").alias("a")), "query_id").join(m.select(F.col("i").alias("entry_id"), F.col("v").alias("b"), "updated_at"), "entry_id")
+    return _top(both.withColumn("score", F.round(S.cosine(F.col("a"), F.col("b")), 4)).filter(F.col("score") >= least), k)
+
+
+def fuzzy_ratio(queries: DataFrame, memory: DataFrame, least: float = 0.75, k: int = 5, block: int = 1024) -> DataFrame:
+    """(query_id, entry_id, score, rank): the k entries whose source has the highest ratio of matching characters, whatever the language.
+
+    Query blocks meet chunks of the memory. In a task the ratio of the characters' numbers, in 64 bins, bounds the ratio of
+    a pair from above, which loses nothing; the rest is compared by difflib. Ties by the smaller id; empty sources match nothing.
+    """
+    text = T.normalised(F.col("source")).alias("v")
+    q, m = (df.select(F.col(c).alias("i"), text).filter("v <> ''") for df, c in ((queries, "query_id"), (memory, "entry_id")))
+    a, b = _blocks(q, m, block)
+
+    def bins(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        size = texts.str.len().to_numpy(np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) % 64
+        return np.bincount(np.repeat(np.arange(len(size)), size) * 64 + codes, minlength=64 * len(size)).reshape(-1, 64).astype(np.int32), size
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            y = y.sort_values("i")
+            (h, n), (g, l) = bins(x.v), bins(y.v)
+            for j, (i, v) in enumerate(zip(x.i, x.v, strict=True)):
+                short = np.minimum(n[j], l) * 2 >= (n[j] + l) * least - 1e-9
+                rows = np.flatnonzero(short)
+                rows = rows[2 * np.minimum(h[j], g[rows]).sum(axis=1) >= (n[j] + l[rows]) * least - 1e-9]
+                m = difflib.SequenceMatcher(None, v, "")
+                found = []
+                for r in rows:
+                    if y.i.iat[r] != i:
+                        # The order of the two matters to the matcher: the query is the first sequence.
+                        m.set_seq2(y.v.iat[r])
+                        if (s := m.ratio()) >= least:
+                            found.append((-round(s, 4), int(y.i.iat[r])))
+                out += [(i, e, -s) for s, e in sorted(found)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "entry_id", "score"])
+
+    near = a.groupBy("b", "c").cogroup(b.groupBy("b", "c")).applyInPandas(compare, "query_id long, entry_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def _blocks(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt out so that every block of the left (b) meets every chunk of the right (c) once."""
     blocks = max(1, math.ceil(left.count() / block))
@@ -187,9 +262,7 @@ def exact_nearest(rows: DataFrame, ident: str, vector: str, k: int, dim: int, ev
     Query blocks meet chunks of rows: each task multiplies one block by one chunk and keeps k of it, and the
     chunks' lists are merged. Nothing is broadcast; memory is a block and a chunk, whatever the table's size.
     """
-    v = F.col(vector)
-    good = v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    base = rows.filter(good & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("i"), v.cast("array<double>").alias("v"))
+    base = rows.filter(S.usable(vector, dim) & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
     left, right = _blocks(base.filter(F.col("i") % every == 0), base, block)
 
     def multiply(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

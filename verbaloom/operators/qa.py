@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from verbaloom.functions import jsonish as J
 from verbaloom.functions import markup as M
 from verbaloom.functions import text as T
 
@@ -50,15 +51,59 @@ def lint(catalogue: DataFrame, keys: list[str]) -> DataFrame:
     return lintable(catalogue).select(*keys, F.explode(rules(F.col("source"), F.col("target"))).alias("rule"))
 
 
-MESSAGES = {
-    "L1": "Markdown link count changed", "L2": "Markdown link URLs changed", "L3": "Image count changed", "L4": "Image URLs changed", "L5": "Inline code span count changed",
-    "L6": "Text expansion > 50%", "L7": "Text contraction > 55%", "L8": "Placeholder mismatch", "L9": "JSX/MDX tag mismatch",
-}
+def _listed(values: Column) -> Column:
+    """An array of strings as a list in single quotes; in double ones where a value holds a single quote only."""
+    safe = lambda v: F.replace(v, F.lit("\\"), F.lit("\\\\"))
+    single, double = F.lit("'"), F.lit('"')
+    quoted = lambda v: F.when(~F.contains(v, single), F.concat(single, safe(v), single)).when(~F.contains(v, double), F.concat(double, safe(v), double)).otherwise(F.concat(single, F.replace(safe(v), single, F.lit("\\'")), single))
+    return F.concat(F.lit("["), F.array_join(F.transform(values, quoted), ", "), F.lit("]"))
 
 
-def format_issue(level: Column, ident: Column, kind: Column, rule: Column) -> Column:
-    words = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
-    return F.concat(F.lit("["), F.upper(level), F.lit("] "), ident, F.lit(" ("), kind, F.lit("): "), words[rule])
+def message(rule: Column, source: Column, target: Column) -> Column:
+    """What a broken rule says, with the numbers or lists it compares."""
+    both = lambda head, of, tail="": F.concat(F.lit(f"{head}source="), of(source), F.lit(" target="), of(target), F.lit(tail))
+    lengths = lambda head, tail: F.concat(F.lit(f"{head}source_len="), F.length(source), F.lit(" target_len="), F.length(target), F.lit(tail))
+    size = lambda f: lambda c: F.size(f(c)).cast("string")
+    said = {
+        "L1": both("Markdown link count changed: ", size(M.link_urls)), "L2": F.lit("Markdown link URLs changed."), "L3": both("Image count changed: ", size(M.image_urls)), "L4": F.lit("Image URLs changed."),
+        "L5": both("Inline code span count changed: ", size(M.code_spans)), "L6": lengths("Text expansion > 50%: ", ". UI layout might break."), "L7": lengths("Text contraction > 55%: ", ". Meaning may be missing."),
+        "L8": both("Placeholder mismatch: ", lambda c: _listed(M.placeholders(c))), "L9": both("JSX/MDX tag mismatch: ", lambda c: _listed(M.tags(c))),
+    }
+    out = F.lit(None).cast("string")
+    for code, text in said.items():
+        out = F.when(rule == code, text).otherwise(out)
+    return out
+
+
+def issues(catalogue: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, kind, source, target, level, rule, message): one row for each broken rule of each segment."""
+    cols = list(dict.fromkeys([*keys, "id", "kind", "source", "target"]))
+    rows = lintable(catalogue).select(*cols, F.explode(rules(F.col("source"), F.col("target"))).alias("rule"))
+    return rows.select(*cols, F.lit("warn").alias("level"), "rule", message(F.col("rule"), T.text_or_empty(F.col("source")), F.col("target")).alias("message"))
+
+
+def format_issue(level: Column, ident: Column, kind: Column, said: Column, source: Column, target: Column) -> Column:
+    """Four lines; nulls count as empty."""
+    e = T.text_or_empty
+    return F.concat(F.lit("["), F.upper(level), F.lit("] token="), e(ident), F.lit(" kind="), e(kind), F.lit("\n       "), e(said), F.lit("\n       Source: "), e(source), F.lit("\n       Target: "), e(target))
+
+
+def format_visual(page: Column, token: Column, tag: Column, chars: Column, most: Column, text: Column) -> Column:
+    """The message of a block with more visible characters than fit, with the first 240 of its text."""
+    said = F.concat(F.lit("Potential overflow: <"), tag, F.lit("> has "), chars.cast("string"), F.lit(" visible chars (limit "), most.cast("string"), F.lit(")."))
+    return F.concat(F.lit("[VISUAL-WARN] "), page, F.lit(" token="), token, F.lit("\n       "), said, F.lit("\n       Text: "), F.substring(text, 1, 240))
+
+
+def model_issues(catalogue: DataFrame, replies: DataFrame, reply: str) -> DataFrame:
+    """(id, kind, level, message, source, target) of what a model reports: JSON lists of {id, level, message or rule_violated}, perhaps fenced.
+
+    Ids that no lintable segment has are dropped, as are replies that aren't JSON; of entries with one id the last counts.
+    """
+    item = "array<struct<id:string,level:string,message:string,rule_violated:string>>"
+    found = replies.select(F.explode(F.from_json(J.parseable(F.col(reply)), item)).alias("i")).select("i.*")
+    own = lintable(catalogue).groupBy("id").agg(F.max_by(F.struct("kind", "source", "target"), F.struct("ord", "kind", "source", "target")).alias("e"))
+    said = F.coalesce(F.nullif("message", F.lit("")), "rule_violated", F.lit("AI semantic warning"))
+    return found.join(own, "id").select("id", "e.kind", F.coalesce("level", F.lit("ai-warn")).alias("level"), said.alias("message"), "e.source", "e.target")
 
 
 def tone(catalogue: DataFrame, keys: list[str], style: str) -> DataFrame:
@@ -74,25 +119,6 @@ def lost_products(catalogue: DataFrame, keys: list[str]) -> DataFrame:
     return lintable(catalogue).select(*keys, F.explode(names).alias("product"))
 
 
-def _append(text: Column, missing: Column, wrap) -> Column:
-    return F.aggregate(missing, text, lambda acc, x: F.concat(acc, F.lit(" "), wrap(x)))
-
-
-def with_missing_markup(source: Column, target: Column) -> Column:
-    """The target with links (if all are gone), images (if all are gone), code spans, placeholders and tags it lacks."""
-    both = F.arrays_zip(M.link_labels(source).alias("label"), M.link_urls(source).alias("url"))
-    links = F.array_join(F.transform(both, lambda p: F.concat(F.lit("["), p["label"], F.lit("]("), p["url"], F.lit(")"))), " ")
-    text = F.when((F.size(both) > 0) & (F.size(M.link_urls(target)) == 0), F.concat(target, F.lit(" "), links)).otherwise(target)
-    pics = F.arrays_zip(M.image_labels(source).alias("label"), M.image_urls(source).alias("url"))
-    images = F.array_join(F.transform(pics, lambda p: F.concat(F.lit("!["), p["label"], F.lit("]("), p["url"], F.lit(")"))), "\n")
-    text = F.when((F.size(pics) > 0) & (F.size(M.image_urls(target)) == 0), F.concat(text, F.lit("\n\n"), images)).otherwise(text)
-    codes = F.array_except(M.code_spans(source), M.code_spans(text))
-    text = _append(text, codes, lambda x: F.concat(F.lit("`"), x, F.lit("`")))
-    text = _append(text, F.array_except(M.placeholders(source), M.placeholders(text)), lambda x: x)
-    text = _append(text, F.array_except(M.tags(source), M.tags(text)), lambda x: x)
-    return F.trim(text)
-
-
 @F.pandas_udf(StringType())
 def with_source_urls(source: pd.Series, target: pd.Series) -> pd.Series:
     """The target with the source's addresses put into its links by position, if there are as many."""
@@ -107,22 +133,51 @@ def with_source_urls(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def repaired(catalogue: DataFrame) -> DataFrame:
-    """catalogue's lintable rows that a repair changes, with ``fixed`` and status needs_review.
+def with_meta(meta: Column, extra: Column) -> Column:
+    """A JSON object with the members of another behind its own; anything but an object counts as empty."""
+    own = F.when(T.text_or_empty(meta).rlike(r"(?s)^\s*\{.*\}\s*$") & J.valid(meta), F.regexp_extract(meta, r"(?s)^\s*\{(.*)\}\s*$", 1)).otherwise("")
+    inner = F.regexp_extract(extra, r"(?s)^\{(.*)\}$", 1)
+    return F.concat(F.lit("{"), own, F.when(F.trim(own) == "", "").otherwise(", "), inner, F.lit("}"))
 
-    Three columns are cut one after the other, so the long expressions aren't nested into each other.
-    """
-    step = lintable(catalogue).withColumn("with_urls", with_source_urls("source", "target"))
-    done = step.withColumn("fixed", with_missing_markup(F.col("source"), F.col("with_urls")))
-    return done.filter(F.col("fixed") != F.trim("target")).withColumn("status", F.lit("needs_review")).drop("with_urls")
 
+def repaired(catalogue: DataFrame) -> DataFrame:
+    """catalogue's lintable rows that a repair changes, with ``fixed``, ``notes`` on what was done, and status needs_review.
 
-def visual(blocks: DataFrame) -> DataFrame:
-    """(token, tag, chars, most): blocks (token, tag, text) with more visible characters than fit."""
+    Addresses are put back by position if there are as many links; then come the links (if all are gone), the images
+    (if all are gone), code spans, placeholders and tags that are lacking. A column ``meta`` (JSON) is noted down too.
+    Every list is a column of its own, so that each is computed once.
+    """
+    c, note = F.col, F.lit
+    suffix = lambda text, xs: F.aggregate(xs, text, lambda acc, x: F.concat(acc, F.lit(" "), x))
+    lacking = lambda of, text: F.filter(of, lambda x: ~F.array_contains(text, x))
+    step = lintable(catalogue).withColumns({"_t0": with_source_urls("source", "target"), "_labels": M.link_labels(c("source")), "_urls": M.link_urls(c("source")), "_alts": M.image_labels(c("source")), "_pics": M.image_urls(c("source"))})
+    step = step.withColumns({"_n0": F.when(c("_t0") != c("target"), F.array(note("restored markdown link URLs"))), "_gone": (F.size("_urls") > 0) & (F.size(M.link_urls(c("_t0"))) == 0)})
+    links = F.array_join(F.zip_with("_labels", "_urls", lambda x, u: F.concat(F.lit("["), x, F.lit("]("), u, F.lit(")"))), " ")
+    step = step.withColumn("_t1", F.when(c("_gone"), F.concat(c("_t0"), F.lit(" "), links)).otherwise(c("_t0")))
+    images = F.array_join(F.zip_with("_alts", "_pics", lambda x, u: F.concat(F.lit("!["), x, F.lit("]("), u, F.lit(")"))), "\n")
+    step = step.withColumn("_blind", (F.size("_pics") > 0) & (F.size(M.image_urls(c("_t1"))) == 0))
+    step = step.withColumn("_t2", F.when(c("_blind"), F.concat(c("_t1"), F.lit("\n\n"), images)).otherwise(c("_t1")))
+    step = step.withColumn("_codes", F.transform(F.array_except(M.code_spans(c("source")), M.code_spans(c("_t2"))), lambda x: F.concat(F.lit("`"), x, F.lit("`"))))
+    step = step.withColumn("_t3", suffix(c("_t2"), c("_codes"))).withColumn("_holes", F.array_except(M.placeholders(c("source")), M.placeholders(c("_t3"))))
+    step = step.withColumn("_t4", suffix(c("_t3"), c("_holes"))).withColumn("_tags", lacking(M.tags(c("source")), M.tags(c("_t4"))))
+    each = lambda name, head: F.transform(name, lambda x: F.concat(F.lit(head), x))
+    notes = F.flatten(F.array_compact(F.array(
+        c("_n0"), F.when(c("_gone"), F.array(note("reinserted missing markdown links"))), F.when(c("_blind"), F.array(note("reinserted missing images"))),
+        each("_codes", "reinserted inline code "), each("_holes", "reinserted placeholder "), each("_tags", "reinserted JSX tag "),
+    )))
+    done = step.withColumns({"fixed": F.trim(suffix(c("_t4"), c("_tags"))), "notes": notes}).filter((F.size("notes") > 0) & (c("fixed") != c("target")))
+    done = done.withColumn("status", F.lit("needs_review")).drop(*(x for x in done.columns if x.startswith("_")))
+    if "meta" in done.columns:
+        done = done.withColumn("meta", with_meta(c("meta"), F.to_json(F.struct(F.lit(True).alias("auto_fixed"), c("notes").alias("auto_fix_notes")))))
+    return done
+
+
+def visual(blocks: DataFrame, *keep: str) -> DataFrame:
+    """(keep, token, tag, chars, most, shown): blocks (token, tag, text) with more visible characters than fit; shown is the visible text."""
     shown = F.trim(F.regexp_replace(F.regexp_replace("text", "<[^>]+>", ""), r"\s+", " "))
     tag = F.lower("tag")
     most = F.when(F.startswith(tag, F.lit("h")), 120).when(tag.isin("td", "th"), 80).otherwise(240)
-    return blocks.select("token", tag.alias("tag"), F.length(shown).alias("chars"), most.alias("most")).filter("chars > most")
+    return blocks.select(*keep, "token", tag.alias("tag"), F.length(shown).alias("chars"), most.alias("most"), shown.alias("shown")).filter("chars > most")
 
 
 #: Fixed value: how a rendered block names its segment.

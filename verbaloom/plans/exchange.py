@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verbaloom.functions import text as T
 from verbaloom.operators import exchange as O
 from verbaloom.plans.common import CAT, catalogue, html, po, query
+from verbaloom.session import table
 
 KEYS = ["doc_path", "lang"]
 OPEN = f"{CAT}, op as (select * from cat where not coalesce(frozen, false))"
@@ -42,34 +43,77 @@ def po_import(spark: SparkSession, base: str) -> DataFrame:
     return O.po_entries(O.po_documents(catalogue(spark, base), KEYS), KEYS, "text")
 
 
-@query(f"with {OPEN}, n as (select doc_path, lang, id, max(target) as new from op where ord % 3 = 0 group by all) select c.pair_id, case when coalesce(n.new, '') <> '' then n.new else c.target end as target, case when coalesce(n.new, '') <> '' then 'translated' else c.status end as status from cat c left join n using (doc_path, lang, id)")
+@query(f"""with {OPEN}, n as (select doc_path, lang, id, max(case when ord % 2 = 0 and target <> '' then 'Neu "\\n' || chr(10) || target else coalesce(target, '') end) as new from op group by all)
+select c.pair_id, case when coalesce(n.new, '') <> '' then n.new else c.target end as target, case when coalesce(n.new, '') <> '' then 'translated' else c.status end as status from cat c left join n using (doc_path, lang, id)""")
 def po_import_merge(spark: SparkSession, base: str) -> DataFrame:
-    cat = catalogue(spark, base)
-    back = O.po_entries(O.po_documents(cat.filter("ord % 3 = 0"), KEYS), KEYS, "text")
-    return O.po_merged(cat, back, KEYS).select("pair_id", "target", "status")
-
-
-@query()
-def po_import_merge_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every row is exported and imported, with every second target changed in between; po_import_merge only compares with SQL."""
+    """Every row is exported and imported, with every second target changed in between."""
     cat = catalogue(spark, base)
     edited = cat.withColumn("target", F.when((F.col("ord") % 2 == 0) & (F.col("target") != ""), F.concat(F.lit('Neu "\\n\n'), "target")).otherwise(F.col("target")))
     back = O.po_entries(O.po_documents(edited, KEYS), KEYS, "text")
     return O.po_merged(cat, back, KEYS).select("pair_id", "target", "status")
 
 
-@query()
+HELD = r"(`[^`]+`|\{\{[^}]+\}\}|</?[A-Z][A-Za-z0-9_.]*\b[^>]*>)"
+
+
+def _xliff(x: str) -> str:
+    plain, held = f"regexp_split_to_array(coalesce({x}, ''), '{HELD}')", f"regexp_extract_all(coalesce({x}, ''), '{HELD}')"
+    return f"""array_to_string(list_transform(range(1, len({plain}) + 1), lambda k: {html(plain + '[k]')} || case when k <= len({held}) then '<ph id="' || k || '" equiv="' || {html(held + '[k]')} || '"/>' else '' end), '')"""
+
+
+XLIFF = f"""with {OPEN}, u as (select doc_path, lang, ord, '<unit id="' || {html("coalesce(id, '')")} || '"><segment><source>' || {_xliff('source')} || '</source><target>' || {_xliff('target')} || '</target></segment></unit>' as unit from op)
+select doc_path, lang, sha256('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xliff version="2.0" xmlns="urn:oasis:names:tc:xliff:document:2.0"><file id="' || {html('doc_path')} || '">' || chr(10) || string_agg(unit, chr(10) order by ord) || chr(10) || '</file></xliff>' || chr(10)) as text from u group by doc_path, lang"""
+
+
+@query(XLIFF)
 def xliff_export(spark: SparkSession, base: str) -> DataFrame:
-    """Numbered placeholders have no SQL; tested against goldens."""
-    return O.xliff_documents(catalogue(spark, base), KEYS)
+    return _hashed(O.xliff_documents(catalogue(spark, base), KEYS), "text")
+
+
+ENTRY = "coalesce(id, '') || '|' || coalesce(kind, '') || '|' || coalesce(source, '') || '|' || coalesce(target, '') || '|' || coalesce(frozen, false)::varchar || '|' || coalesce(fingerprint, '') || '|' || coalesce(status, '') || '|' || json(coalesce(meta, '{}'))"
+FIELDS = ("id", "kind", "source", "target", "frozen", "fingerprint", "status", "meta")
+
 
+def _read_back(made: DataFrame, member: str, fields: tuple[str, ...]) -> DataFrame:
+    """Number of the entries of written JSON and a hash over their fields."""
+    rows = F.from_json(F.get_json_object("json", f"$.{member}"), f"array<struct<{','.join(f'{c}:string' for c in fields)}>>")
+    text = F.array_join(F.transform(rows, lambda e: F.concat_ws("|", *[e[c] for c in fields])), chr(10))
+    return made.select(*KEYS, F.size(rows).cast("long").alias("entries"), F.sha2(text, 256).alias("whole"))
 
-@query(f"with {OPEN} select doc_path, lang, count(*) as entries, sha256(string_agg(coalesce(id, '') || coalesce(kind, '') || coalesce(source, '') || coalesce(target, ''), '|' order by ord)) as whole from op group by doc_path, lang")
+
+@query(f"with {OPEN} select doc_path, lang, count(*) as entries, sha256(string_agg({ENTRY}, chr(10) order by ord)) as whole from op group by doc_path, lang")
 def catalog_write(spark: SparkSession, base: str) -> DataFrame:
-    made = O.catalogue_json(catalogue(spark, base), KEYS)
-    entries = F.from_json(F.get_json_object("json", "$.entries"), "array<struct<id:string,kind:string,source:string,target:string>>")
-    text = F.array_join(F.transform(entries, lambda e: F.concat(*[F.coalesce(e[c], F.lit("")) for c in ("id", "kind", "source", "target")])), "|")
-    return made.select(*KEYS, F.size(entries).cast("long").alias("entries"), F.sha2(text, 256).alias("whole"))
+    """Catalogues as they are written and read: all fields, meta data as an object, frozen segments left out."""
+    return _read_back(O.catalogue_json(catalogue(spark, base), KEYS), "entries", FIELDS)
+
+
+@query(f"with {CAT} select doc_path, lang, count(*) as entries, sha256(string_agg({ENTRY}, chr(10) order by ord)) as whole from cat group by doc_path, lang")
+def catalog_write_frozen(spark: SparkSession, base: str) -> DataFrame:
+    return _read_back(O.catalogue_json(catalogue(spark, base), KEYS, include_frozen=True), "entries", FIELDS)
+
+
+@query(f"with {CAT} select doc_path, lang, count(*) as entries, sha256(string_agg(coalesce(id, '') || '|' || coalesce(kind, '') || '|' || coalesce(source, '') || '|' || coalesce(fingerprint, ''), chr(10) order by ord)) as whole from cat group by doc_path, lang")
+def manifest_write(spark: SparkSession, base: str) -> DataFrame:
+    """Manifests of all segments, frozen ones too."""
+    return _read_back(O.manifest_json(catalogue(spark, base), KEYS), "nodes", ("id", "kind", "source", "fingerprint"))
+
+
+def _fronts(spark: SparkSession, base: str) -> DataFrame:
+    """Front matter of the pages that have a title."""
+    titles = table(spark, base, "site_index").filter("title is not null").groupBy(F.col("source").alias("doc_path")).agg(F.min("title").alias("title"))
+    return titles.select("doc_path", F.concat(F.lit("---\ntitle: "), "title", F.lit("\n---\n")).alias("front"))
+
+
+FRONTS = "fr as (select source as doc_path, '---' || chr(10) || 'title: ' || min(title) || chr(10) || '---' || chr(10) as front from site_index where title is not null group by source)"
+
+
+@query(f"""with {CAT}, {FRONTS} select doc_path, lang, any_value(coalesce(front, '')) as frontmatter, 'document' as type, count(*) as entries, sha256(string_agg(coalesce(id, '') || '|' || coalesce(kind, '') || '|' || coalesce(frozen, false)::varchar || '|' || json(coalesce(meta, '{{}}')), chr(10) order by ord)) as whole
+from cat left join fr using (doc_path) group by doc_path, lang""")
+def ir_write(spark: SparkSession, base: str) -> DataFrame:
+    made = O.document_json(catalogue(spark, base), KEYS, _fronts(spark, base))
+    read = _read_back(made, "nodes", ("id", "kind", "frozen", "meta"))
+    head = made.select(*KEYS, F.get_json_object("json", "$.frontmatter").alias("frontmatter"), F.get_json_object("json", "$.type").alias("type"))
+    return read.join(head, KEYS)
 
 
 META = lambda k, d: f"coalesce(json_extract_string(meta, '$.{k}'), '{d}')"
@@ -87,29 +131,20 @@ else t || chr(10) || chr(10) end as piece from p)
 select doc_path, lang, sha256(regexp_replace(string_agg(piece, '' order by ord), '\\s+\\z', '') || chr(10)) as text from m group by doc_path, lang"""
 
 
+@query(MARKDOWN.replace("with cat as", f"with {FRONTS}, cat as", 1).replace("select doc_path, lang, sha256(", "select doc_path, lang, sha256(any_value(coalesce(rtrim(front, chr(10)) || chr(10) || chr(10), '')) || ").replace("from m group by", "from m left join fr using (doc_path) group by"))
+def render_markdown_front(spark: SparkSession, base: str) -> DataFrame:
+    """Pages with their front matter before the text."""
+    return _hashed(O.markdown_documents(O.shown(catalogue(spark, base)), KEYS, fronts=_fronts(spark, base)), "text")
+
+
 @query(MARKDOWN)
 def render_markdown(spark: SparkSession, base: str) -> DataFrame:
     return _hashed(O.markdown_documents(O.shown(catalogue(spark, base)), KEYS), "text")
 
 
-def _inline(x: str) -> str:
-    s = html(x)
-    s = f"regexp_replace({s}, '`([^`]+)`', '<code>\\1</code>', 'g')"
-    s = f"regexp_replace({s}, '!\\[([^\\]]*)\\]\\(([^)\\s]+)\\)', '<img src=\"\\2\" alt=\"\\1\">', 'g')"
-    s = f"regexp_replace({s}, '\\[([^\\]]+)\\]\\(([^)\\s]+)\\)', '<a href=\"\\2\">\\1</a>', 'g')"
-    return f"regexp_replace({s}, '\\*\\*([^*]+)\\*\\*', '<strong>\\1</strong>', 'g')"
-
-
-@query(f"with {CAT}, v as (select pair_id, coalesce(nullif(target, ''), source, '') as t from cat) select pair_id, {_inline('t')} as html from v where not regexp_matches(replace(t, '**', ''), '[*_]')")
-def inline_html(spark: SparkSession, base: str) -> DataFrame:
-    """Emphasis needs a look-behind, so the query keeps to texts without single stars and underscores."""
-    rows = O.shown(catalogue(spark, base, "source target")).filter(~F.replace("shown", F.lit("**"), F.lit("")).rlike("[*_]"))
-    return rows.select("pair_id", O.inline(F.col("shown")).alias("html"))
-
-
 @query()
-def inline_html_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every shown text; inline_html only compares with SQL."""
+def inline_html(spark: SparkSession, base: str) -> DataFrame:
+    """Every shown text; runs of signs pair by rules that SQL can't express, so it is tested against cases by hand."""
     return O.shown(catalogue(spark, base, "source target")).select("pair_id", O.inline(F.col("shown")).alias("html"))
 
 
@@ -118,6 +153,14 @@ def render_html(spark: SparkSession, base: str) -> DataFrame:
     return O.html_documents(O.shown(O.diagrams(catalogue(spark, base))), KEYS)
 
 
+@query()
+def site_pages(spark: SparkSession, base: str) -> DataFrame:
+    """Whole pages: navigation, contents and text."""
+    cat = catalogue(spark, base)
+    body = O.html_documents(O.shown(O.diagrams(cat)), KEYS).join(O.contents(cat.filter("id is not null"), KEYS), KEYS, "left")
+    return O.page_html(body.join(F.broadcast(O.navigation(table(spark, base, "site_index")))), KEYS, F.col("nav"), F.col("toc"))
+
+
 @query(f"""with {CAT} select doc_path, lang, sha256(string_agg('<li><a href="#' || id || '">' || {html("coalesce(nullif(target, ''), source, '')")} || '</a></li>', chr(10) order by ord)) as toc from cat where kind = 'heading' and id is not null group by doc_path, lang""")
 def page_toc(spark: SparkSession, base: str) -> DataFrame:
     return _hashed(O.contents(catalogue(spark, base, "doc_path lang ord id kind source target").filter("id is not null"), KEYS), "toc")

@@ -13,11 +13,11 @@ from verbaloom.plans.common import CAT, catalogue, code, holes, html, image, lin
 #: Segments of the tables hold few links and tags, so markup is put round them by their number, alike in both engines.
 SRC = "case ord % 6 when 0 then '[doc](http://x/' || ord || ') ' || s when 1 then '`cmd` {{n}} ' || s when 2 then '![i](u.png) <Tab a=\"1\"> ' || s else s end"
 TGT = "case when t = '' then '' when ord % 6 = 0 and ord % 4 = 0 then '[doc](http://y/' || ord || ') ' || t when ord % 6 = 1 and ord % 4 = 1 then '`cmd` ' || t when ord % 6 = 2 and ord % 4 = 2 then '![i](w.png) ' || t else t end"
-MARKED = f"{CAT}, p as (select *, coalesce(source, '') as s, coalesce(target, '') as t from cat), l as (select pair_id, {SRC} as source, {TGT} as target from p where not coalesce(frozen, false))"
+MARKED = f"{CAT}, p as (select *, coalesce(source, '') as s, coalesce(target, '') as t from cat), l as (select pair_id, id, kind, {SRC} as source, {TGT} as target from p where not coalesce(frozen, false))"
 
 
 def marked(spark: SparkSession, base: str) -> DataFrame:
-    cat = catalogue(spark, base, "id ord frozen source target").withColumns({"s": T.text_or_empty(F.col("source")), "t": T.text_or_empty(F.col("target"))})
+    cat = catalogue(spark, base, "id kind ord frozen source target meta").withColumns({"s": T.text_or_empty(F.col("source")), "t": T.text_or_empty(F.col("target"))})
     return cat.withColumns({"source": F.expr(SRC), "target": F.expr(TGT)})
 
 
@@ -52,36 +52,54 @@ def lint_summary(spark: SparkSession, base: str) -> DataFrame:
     return qa.lint(marked(spark, base), ["pair_id"]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query(f"with {CAT} select pair_id, '[WARN] ' || id || ' (' || kind || '): Text contraction > 55%' as line from cat where not coalesce(frozen, false) and target <> '' and length(source) > 20 and length(target) < length(source) * 0.45")
-def lint_messages(spark: SparkSession, base: str) -> DataFrame:
-    found = qa.lint(catalogue(spark, base, "id kind frozen source target"), ["pair_id", "id", "kind"]).filter("rule = 'L7'")
-    return found.select("pair_id", qa.format_issue(F.lit("warn"), F.col("id"), F.col("kind"), F.col("rule")).alias("line"))
+def _list(x: str) -> str:
+    """A list of strings as Python shows it."""
+    safe = rf"replace(u, '\', '\\')"
+    return f"""'[' || array_to_string(list_transform({x}, lambda u: case when not contains(u, chr(39)) then chr(39) || {safe} || chr(39) when not contains(u, '"') then '"' || {safe} || '"' else chr(39) || replace({safe}, chr(39), '\' || chr(39)) || chr(39) end), ', ') || ']'"""
 
 
-@query(rf"with {CAT} select pair_id, lower(regexp_extract(target, '(?i)\b(du|dir|dein|dich|euch|ihr)\b', 1)) as word from cat where not coalesce(frozen, false) and target <> '' and regexp_full_match(target, '[\x00-\x7f]*') and regexp_matches(target, '(?i)\b(du|dir|dein|dich|euch|ihr)\b')")
-def ai_lint_tone(spark: SparkSession, base: str) -> DataFrame:
-    """Word ends differ beyond ASCII between the engines, so the query keeps to ASCII targets."""
-    return qa.tone(catalogue(spark, base, "frozen target").filter(F.col("target").rlike(r"^[\x00-\x7f]*\z")), ["pair_id"], "Bitte Sie verwenden")
+def _both(head: str, of: str, tail: str = "") -> str:
+    return f"'{head}source=' || {of.replace('?', 'source')} || ' target=' || {of.replace('?', 'target')} || '{tail}'"
 
 
-@query()
-def ai_lint_tone_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every target; ai_lint_tone only compares with SQL."""
-    return qa.tone(catalogue(spark, base, "frozen target"), ["pair_id"], "Bitte Sie verwenden")
+_LONG = lambda head, tail: f"'{head}source_len=' || length(source) || ' target_len=' || length(target) || '{tail}'"
+SAID = {
+    1: f"'Markdown link count changed: source=' || len({LS}) || ' target=' || len({LT})", 2: "'Markdown link URLs changed.'", 3: f"'Image count changed: source=' || len({IS}) || ' target=' || len({IT})", 4: "'Image URLs changed.'",
+    5: f"'Inline code span count changed: source=' || len({code('source')}) || ' target=' || len({code('target')})", 6: _LONG("Text expansion > 50%: ", ". UI layout might break."), 7: _LONG("Text contraction > 55%: ", ". Meaning may be missing."),
+    8: f"'Placeholder mismatch: source=' || {_list(holes('source'))} || ' target=' || {_list(holes('target'))}", 9: f"'JSX/MDX tag mismatch: source=' || {_list(tags('source'))} || ' target=' || {_list(tags('target'))}",
+}
+MESSAGES = f"{MARKED}, i as (" + " union all ".join(f"select pair_id, id, kind, source, target, 'L{n}' as rule, {SAID[n]} as message from l where target <> '' and {t}" for n, t in TESTS.items()) + ")"
 
 
-PRODUCT = r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"
+@query(f"with {MESSAGES} select pair_id, rule, '[WARN] token=' || coalesce(id, '') || ' kind=' || coalesce(kind, '') || chr(10) || '       ' || message || chr(10) || '       Source: ' || coalesce(source, '') || chr(10) || '       Target: ' || target as line from i")
+def lint_messages(spark: SparkSession, base: str) -> DataFrame:
+    found = qa.issues(marked(spark, base), ["pair_id"])
+    return found.select("pair_id", "rule", qa.format_issue(*[F.col(c) for c in ("level", "id", "kind", "message", "source", "target")]).alias("line"))
 
 
-@query(rf"with {CAT}, a as (select pair_id, target, regexp_extract_all('MyTool ' || source, '{PRODUCT}', 0) as n from cat where not coalesce(frozen, false) and target <> '' and regexp_full_match(source, '[\x00-\x7f]*')), u as (select pair_id, target, unnest(n) as product from a) select pair_id, product from u where not contains(target, product)")
-def ai_lint_product_case(spark: SparkSession, base: str) -> DataFrame:
-    cat = catalogue(spark, base, "frozen source target").filter(F.col("source").rlike(r"^[\x00-\x7f]*\z")).withColumn("source", F.concat(F.lit("MyTool "), F.col("source")))
-    return qa.lost_products(cat, ["pair_id"])
+@query(f"""with {CAT}, own as (select * from cat where not coalesce(frozen, false) and target <> '' and id is not null), e as (select id, kind, source, target from own qualify row_number() over (partition by id order by ord desc nulls last, kind desc nulls last, source desc nulls last, target desc nulls last) = 1),
+r as (select distinct id from own where lower(trim(coalesce(status, ''))) = 'needs_review') select e.id, e.kind, 'ai-warn' as level, 'Check ' || e.id as message, e.source, e.target from r join e using (id)""")
+def ai_lint_join(spark: SparkSession, base: str) -> DataFrame:
+    """A model reports every segment to be reviewed, in a fenced list by page, besides an id that no segment has."""
+    cat = catalogue(spark, base, "doc_path ord id kind frozen source target status")
+    item = F.struct("id", F.concat(F.lit("Check "), "id").alias("rule_violated"))
+    asked = qa.lintable(cat).filter((F.lower(F.trim(T.text_or_empty(F.col("status")))) == "needs_review") & F.col("id").isNotNull())
+    unknown = F.array(F.struct(F.lit("unknown").alias("id"), F.lit("none").alias("rule_violated")))
+    replies = asked.groupBy("doc_path").agg(F.concat(F.lit("```json\n"), F.to_json(F.array_union(F.collect_set(item), unknown)), F.lit("\n```")).alias("reply"))
+    return qa.model_issues(cat, replies, "reply").distinct()
 
 
-@query()
-def ai_lint_product_case_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every source; ai_lint_product_case only compares with SQL."""
+#: Ends of words by Unicode, which DuckDB's expressions don't know.
+NO_WORD = r"[^\p{L}\p{N}\p{M}_]"
+
+
+@query(rf"with {CAT} select pair_id, lower(regexp_extract(target, '(?i)(^|{NO_WORD})(du|dir|dein|dich|euch|ihr)($|{NO_WORD})', 2)) as word from cat where not coalesce(frozen, false) and target <> '' and regexp_matches(target, '(?i)(^|{NO_WORD})(du|dir|dein|dich|euch|ihr)($|{NO_WORD})')")
+def ai_lint_tone(spark: SparkSession, base: str) -> DataFrame:
+    return qa.tone(catalogue(spark, base, "frozen target"), ["pair_id"], "Bitte Sie verwenden")
+
+
+@query(rf"with {CAT}, a as (select pair_id, target, list_filter(regexp_extract_all('MyTool ' || source, '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+')) as n from cat where not coalesce(frozen, false) and target <> ''), u as (select pair_id, target, unnest(n) as product from a) select pair_id, product from u where not contains(target, product)")
+def ai_lint_product_case(spark: SparkSession, base: str) -> DataFrame:
     cat = catalogue(spark, base, "frozen source target").withColumn("source", F.concat(F.lit("MyTool "), F.col("source")))
     return qa.lost_products(cat, ["pair_id"])
 
@@ -103,7 +121,8 @@ def autofix_append(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def autofix(spark: SparkSession, base: str) -> DataFrame:
-    return qa.repaired(marked(spark, base)).select("pair_id", "fixed", "status")
+    """Every segment, with what was done and what the segment's meta data say of it."""
+    return qa.repaired(marked(spark, base)).select("pair_id", "fixed", "status", F.array_join("notes", "\n").alias("notes"), "meta")
 
 
 @query(f"""with {CAT}, b as (select id as token, case when kind = 'heading' then 'h1' when kind = 'table_cell' then 'td' else 'p' end as tag, coalesce(target, '') as text from cat where id is not null),
@@ -111,17 +130,21 @@ s as (select token, tag, length(trim(regexp_replace(regexp_replace(text, '<[^>]+
 def visual_overflow(spark: SparkSession, base: str) -> DataFrame:
     tag = F.when(F.col("kind") == "heading", "h1").when(F.col("kind") == "table_cell", "td").otherwise("p")
     blocks = catalogue(spark, base, "id kind target").filter("id is not null").select(F.col("id").alias("token"), tag.alias("tag"), T.text_or_empty(F.col("target")).alias("text"))
-    return qa.visual(blocks)
+    return qa.visual(blocks).drop("shown")
 
 
-@query(f"with {CAT} select id as token, 'td' as tag, {html('coalesce(source, %s)' % (chr(39) * 2))} as text from cat where id is not null and not contains(coalesce(source, ''), '<')")
-def token_blocks(spark: SparkSession, base: str) -> DataFrame:
-    return _blocks(catalogue(spark, base, "id source").filter(~F.contains(T.text_or_empty(F.col("source")), F.lit("<"))))
+@query(f"""with {CAT}, b as (select doc_path, id as token, case when kind = 'heading' then 'h1' when kind = 'table_cell' then 'td' else 'p' end as tag, coalesce(target, '') as text from cat where id is not null),
+s as (select doc_path, token, tag, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) as t, case when tag = 'h1' then 120 when tag = 'td' then 80 else 240 end as most from b)
+select doc_path, token, '[VISUAL-WARN] ' || doc_path || ' token=' || token || chr(10) || '       Potential overflow: <' || tag || '> has ' || length(t) || ' visible chars (limit ' || most || ').' || chr(10) || '       Text: ' || substring(t, 1, 240) as line from s where length(t) > most""")
+def visual_messages(spark: SparkSession, base: str) -> DataFrame:
+    tag = F.when(F.col("kind") == "heading", "h1").when(F.col("kind") == "table_cell", "td").otherwise("p")
+    rows = catalogue(spark, base, "doc_path id kind target").filter("id is not null").select("doc_path", F.col("id").alias("token"), tag.alias("tag"), T.text_or_empty(F.col("target")).alias("text"))
+    found = qa.visual(rows, "doc_path")
+    return found.select("doc_path", "token", qa.format_visual(*[F.col(c) for c in ("doc_path", "token", "tag", "chars", "most", "shown")]).alias("line"))
 
 
-@query()
-def token_blocks_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every source; token_blocks only compares with SQL."""
+@query(f"with {CAT} select id as token, 'td' as tag, {html('coalesce(source, %s)' % (chr(39) * 2))} as text from cat where id is not null")
+def token_blocks(spark: SparkSession, base: str) -> DataFrame:
     return _blocks(catalogue(spark, base, "id source"))
 
 
@@ -131,16 +154,9 @@ def _blocks(cat: DataFrame) -> DataFrame:
     return qa.token_blocks(page.withColumn("html", F.regexp_replace("html", "^<table><tr>|</tr></table>$", "")), "html")
 
 
-@query(f"""with {CAT}, r as (select pair_id, '```json' || chr(10) || '{{"translations": [' || to_json(coalesce(target, '')) || ',],}}' || chr(10) || '```' as reply from cat where not contains(coalesce(target, ''), '`') and not regexp_matches(coalesce(target, ''), ',\\s*[\\]}}]'))
-select pair_id, json_extract_string(regexp_replace(trim(replace(replace(reply, '```json', ''), '```', '')), ',\\s*([\\]}}])', '\\1', 'g'), '$.translations[0]') as target from r""")
+@query(rf"""with {CAT}, r as (select pair_id, '```json' || chr(10) || '{{"translations": [' || to_json(coalesce(target, '')) || ',],}}' || chr(10) || '```' as reply from cat)
+select pair_id, json_extract_string(regexp_replace(substring(reply, 9, length(reply) - 12), '("[^"\\]*(?:\\.[^"\\]*)*")|,\s*([\]}}])', '\1\2', 'g'), '$.translations[0]') as target from r""")
 def json_repair(spark: SparkSession, base: str) -> DataFrame:
-    clean = catalogue(spark, base, "target").filter(~F.contains(T.text_or_empty(F.col("target")), F.lit("`")) & ~T.text_or_empty(F.col("target")).rlike(r",\s*[\]}]"))
-    return _from_reply(clean)
-
-
-@query()
-def json_repair_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every target; json_repair only compares with SQL."""
     return _from_reply(catalogue(spark, base, "target"))
 
 
@@ -150,14 +166,8 @@ def _from_reply(cat: DataFrame) -> DataFrame:
     return cat.select("pair_id", F.get_json_object(jsonish.repaired(reply), "$.translations[0]").alias("target"))
 
 
-@query(f"with {CAT} select pair_id::varchar as batch, id, target, true as ok from cat where id is not null and target is not null and not regexp_matches(target, ',\\s*[\\]}}]')")
+@query(f"with {CAT} select pair_id::varchar as batch, id, target, true as ok from cat where id is not null and target is not null")
 def translation_lists(spark: SparkSession, base: str) -> DataFrame:
-    return _from_lists(catalogue(spark, base, "id target").filter(~F.col("target").rlike(r",\s*[\]}]")))
-
-
-@query()
-def translation_lists_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every target that isn't null; translation_lists only compares with SQL."""
     return _from_lists(catalogue(spark, base, "id target"))
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbaloom.functions import similarity as S
+from verbaloom.functions.similarity import usable
 from verbaloom.operators import memory as M
 from verbaloom.operators.catalogue import latest
 from verbaloom.plans.common import CAT, MEM, REV, catalogue, memory, norm, query
-from verbaloom.session import shared_dir, table
+from verbaloom.session import scratch, table
 
 ONE = "one as (select * from mem qualify row_number() over (partition by source_key, lang order by updated_at desc nulls last, entry_id desc) = 1)"
 
@@ -120,6 +119,41 @@ def tm_fuzzy_hybrid(spark: SparkSession, base: str) -> DataFrame:
     return M.fuzzy_hybrid(q.withColumn("vector", S.hashed_vectors("source")), mem.withColumn("vector", S.hashed_vectors("source")), 0.82, 3)
 
 
+@query(f"""with {VECS}, l as (select v.*, m.lang from v join mem m using (entry_id) where m.lang is not null), c as (select a.entry_id as query_id, b.entry_id, b.lang, round(greatest(0, least(1, list_dot_product(a.embedding::double[], b.embedding::double[]))), 4) as score, m.updated_at from l a join l b on a.lang = b.lang and a.entry_id % 50 = 0 and a.entry_id <> b.entry_id join mem m on m.entry_id = b.entry_id)
+select query_id, entry_id, score, row_number() over (partition by query_id order by score desc, updated_at desc nulls last, entry_id) as rank from c where score >= 0.82 qualify rank <= 3""")
+def tm_fuzzy_vector(spark: SparkSession, base: str) -> DataFrame:
+    """By the vectors alone; queries are the ids divisible by 50."""
+    mem = memory(spark, base, "lang updated_at embedding").filter(usable("embedding", 96)).withColumnRenamed("embedding", "vector")
+    return M.fuzzy_vector(mem.filter("entry_id % 50 = 0").withColumnRenamed("entry_id", "query_id"), mem, 0.82, 3)
+
+
+@query()
+def tm_suggestions(spark: SparkSession, base: str) -> DataFrame:
+    """By the ratio of matching characters in any language; queries are the ids divisible by 50. Tested against all pairs; the ratio has no SQL."""
+    mem = memory(spark, base, "source").filter("source is not null")
+    return M.fuzzy_ratio(mem.filter("entry_id % 50 = 0").withColumnRenamed("entry_id", "query_id"), mem, 0.75, 5)
+
+
+@query()
+def tm_prefill(spark: SparkSession, base: str) -> DataFrame:
+    """Every missing target from the memory, exact before fuzzy. Tested against a plain search; the ratio has no SQL."""
+    one = latest(memory(spark, base, "source_key lang source target updated_at").filter("source is not null"), ["source_key", "lang"], ["updated_at", "entry_id"])
+    segs = catalogue(spark, base, "source lang target status meta frozen")
+    return M.prefill(segs, one.withColumn("vector", S.hashed_vectors("source")), "pair_id", 0.82)
+
+
+@query(f"with {MEM} select entry_id, row_number() over (partition by lang order by updated_at desc nulls last, entry_id) as rank from mem qualify rank <= 10000")
+def tm_recent(spark: SparkSession, base: str) -> DataFrame:
+    return M.recent(memory(spark, base, "lang updated_at")).select("entry_id", "rank")
+
+
+@query(f"with {MEM} select entry_id, 4 * len(embedding) as bytes, true as same from mem where len(embedding) > 0")
+def vector_pack(spark: SparkSession, base: str) -> DataFrame:
+    """Vectors packed to bytes and unpacked again."""
+    rows = memory(spark, base, "embedding").filter(F.size("embedding") > 0).withColumn("p", S.packed("embedding"))
+    return rows.select("entry_id", F.octet_length("p").cast("long").alias("bytes"), (S.unpacked("p") == F.col("embedding")).alias("same"))
+
+
 @query()
 def hash_vectors(spark: SparkSession, base: str) -> DataFrame:
     return memory(spark, base, "source").select("entry_id", S.hashed_vectors("source").alias("vector"))
@@ -133,12 +167,10 @@ def tm_backfill(spark: SparkSession, base: str) -> DataFrame:
 @query(f"with {REV} select source_key, lang, id, status from rev where source_key is not null qualify row_number() over (partition by source_key, lang order by revised_at desc nulls last, id desc) = 1")
 def stream_revision_latest(spark: SparkSession, base: str) -> DataFrame:
     """The revisions as a stream of files; the table it leaves equals the batch result."""
-    from verbaloom.sources import sinks
     from verbaloom.streaming import watch
 
-    root = f"{shared_dir(spark).rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    root, keys, by = scratch(spark, "stream"), ["source_key", "lang"], ["revised_at", "id"]
     batch = table(spark, base, "tm_revisions")
     stream = spark.readStream.schema(batch.schema).parquet(f"{base.rstrip('/')}/tm_revisions.parquet*").filter("source_key is not null").select("source_key", "lang", "revised_at", "id", "status")
-    watch.latest_state(stream, f"{root}/table", f"{root}/checkpoint", ["source_key", "lang"], ["revised_at", "id"]).awaitTermination()
-    return spark.read.parquet(sinks.current(spark, f"{root}/table")).select("source_key", "lang", "id", "status")
-
+    watch.latest_state(stream, f"{root}/table", f"{root}/checkpoint", keys, by).awaitTermination()
+    return watch.state(spark, f"{root}/table", keys, by).select("source_key", "lang", "id", "status")

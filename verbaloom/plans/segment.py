@@ -170,15 +170,11 @@ def site_search(spark: SparkSession, base: str) -> DataFrame:
     return site.search(table(spark, base, "site_index"), "Kataloge")
 
 
-@query(f"with {CAT} select pair_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(source, ''))), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '-'), ''), 'section') as slug from cat where regexp_full_match(coalesce(source, ''), '[\\x00-\\x7f]*')")
-def slugify(spark: SparkSession, base: str) -> DataFrame:
-    ascii_only = catalogue(spark, base, "source").filter(T.text_or_empty(F.col("source")).rlike(r"^[\x00-\x7f]*\z"))
-    return ascii_only.select("pair_id", T.slug(F.col("source")).alias("slug"))
+BLANK = BLANKS.removesuffix("]+").removeprefix("[")
 
 
-@query()
-def slugify_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every source; slugify only compares with SQL."""
+@query(rf"with {CAT} select pair_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(source, ''))), '[^\p{{L}}\p{{N}}_{BLANK}-]', '', 'g'), '[{BLANK}_]+', '-', 'g'), '-+', '-', 'g'), '-'), ''), 'section') as slug from cat")
+def slugify(spark: SparkSession, base: str) -> DataFrame:
     return catalogue(spark, base, "source").select("pair_id", T.slug(F.col("source")).alias("slug"))
 
 

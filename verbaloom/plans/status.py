@@ -94,27 +94,12 @@ def missing_filter(spark: SparkSession, base: str) -> DataFrame:
     return C.needs_translation(catalogue(spark, base, "source frozen target")).select("pair_id", "source")
 
 
-def _halves(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """The state before the newest deliveries as the old catalogue, the whole one without targets as new segments."""
-    old = catalogue(spark, base, "doc_path lang frozen status target ord id").filter("lang = 'en'")
-    return old, old.withColumns({"target": F.lit(""), "status": F.when(F.col("ord") % 7 == 0, "needs_review").otherwise("new")})
-
-
-MERGE = f"""with {CAT}, old as (select * from cat where lang = 'en'), seg as (select pair_id, doc_path, id, case when ord % 7 = 0 then 'needs_review' else 'new' end as status, '' as target from old),
-e as (select id, target, status from old qualify row_number() over (partition by id order by ord desc, pair_id desc) = 1)"""
-
-
-@query(MERGE + """ select seg.pair_id, case when e.id is not null then coalesce(e.target, '') else seg.target end as target,
-case when e.id is null then seg.status when seg.status = 'needs_review' or e.status = 'needs_review' then 'needs_review' when coalesce(e.target, '') <> '' then 'translated' else seg.status end as status from seg left join e using (id)""")
+@query(f"""with {CAT}, seg as (select pair_id, lang, id, case when ord % 7 = 0 then 'needs_review' else 'new' end as status from cat),
+e as (select lang, id, target, status from cat qualify row_number() over (partition by lang, id order by ord desc, pair_id desc) = 1)
+select seg.pair_id, case when e.id is not null then coalesce(e.target, '') else '' end as target,
+case when e.id is null then seg.status when seg.status = 'needs_review' or e.status = 'needs_review' then 'needs_review' when coalesce(e.target, '') <> '' then 'translated' else seg.status end as status from seg left join e on e.lang = seg.lang and e.id = seg.id""")
 def catalog_merge(spark: SparkSession, base: str) -> DataFrame:
-    old, new = _halves(spark, base)
-    once = old.groupBy("id").agg(F.max_by(F.struct("target", "status", "ord"), F.struct("ord", "pair_id")).alias("e")).select("id", "e.*")
-    return C.merge_targets(new, once).select("pair_id", "target", "status")
-
-
-@query()
-def catalog_merge_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every language, each merged with its own entries; catalog_merge only compares with SQL, in English."""
+    """Every language, new segments without targets merged with its own entries."""
     old = catalogue(spark, base, "lang status target ord id")
     new = old.withColumns({"target": F.lit(""), "status": F.when(F.col("ord") % 7 == 0, "needs_review").otherwise("new")})
     once = old.groupBy("lang", "id").agg(F.max_by(F.struct("target", "status", "ord"), F.struct("ord", "pair_id")).alias("e")).select("lang", "id", "e.*")
@@ -126,17 +111,11 @@ def target_resolution(spark: SparkSession, base: str) -> DataFrame:
     return catalogue(spark, base, "target source").select("pair_id", C.resolved("target", "target", "source").alias("shown"))
 
 
-@query(f"""with {CAT}, n as (select * replace (case when ord % 5 = 0 then '' else target end as target), lower(trim(coalesce(status, ''))) as said from cat where lang = 'en'),
-best as (select doc_path, fingerprint, target, id from n where fingerprint is not null and target <> '' and said in ('translated', 'needs_review') qualify row_number() over (partition by fingerprint order by ord desc, id desc) = 1)
-select n.pair_id, best.target, best.id as synced_from_id from n join best using (fingerprint) where not coalesce(n.frozen, false) and coalesce(n.target, '') = ''""")
+@query(f"""with {CAT}, n as (select * replace (case when ord % 5 = 0 then '' else target end as target), lower(trim(coalesce(status, ''))) as said from cat),
+best as (select lang, fingerprint, target, id from n where fingerprint is not null and target <> '' and said in ('translated', 'needs_review') qualify row_number() over (partition by lang, fingerprint order by ord desc, id desc) = 1)
+select n.pair_id, best.target, best.id as synced_from_id from n join best using (lang, fingerprint) where not coalesce(n.frozen, false) and coalesce(n.target, '') = ''""")
 def branch_sync(spark: SparkSession, base: str) -> DataFrame:
-    """The branch to fill lacks every fifth target; pages repeat some of their texts."""
-    return _synced(catalogue(spark, base, "doc_path lang frozen status target ord id fingerprint").filter("lang = 'en'"))
-
-
-@query()
-def branch_sync_whole(spark: SparkSession, base: str) -> DataFrame:
-    """Every language, each filled from itself; branch_sync only compares with SQL, in English."""
+    """Every language; the branch to fill lacks every fifth target, and pages repeat some of their texts."""
     return _synced(catalogue(spark, base, "doc_path lang frozen status target ord id fingerprint"))
 
 
@@ -160,9 +139,37 @@ def mock_translate(spark: SparkSession, base: str) -> DataFrame:
     return P.translate(catalogue(spark, base, "doc_path lang ord id frozen source target"), "mock", ["doc_path", "lang"]).drop("lang")
 
 
-@query()
+EDITS = "edits as (select distinct lang, id, '* ' || source as target from cat where lower(trim(coalesce(status, ''))) = 'needs_review' and id is not null and source <> '' qualify row_number() over (partition by lang, id order by source desc) = 1)"
+
+
+def _edits(cat: DataFrame) -> DataFrame:
+    chosen = cat.filter((F.lower(F.trim(T.text_or_empty(F.col("status")))) == "needs_review") & (F.col("source") != ""))
+    return chosen.select("id", "lang", F.concat(F.lit("* "), "source").alias("target"), F.lit(None).cast("string").alias("status"))
+
+
+@query(f"""with {CAT}, {EDITS}, hit as (select c.pair_id, e.target from cat c join edits e on e.lang = c.lang and e.id = c.id qualify row_number() over (partition by c.doc_path, c.lang, c.id order by c.ord) = 1)
+select pair_id, target, 'translated' as status from hit""")
+def token_updates(spark: SparkSession, base: str) -> DataFrame:
+    """What is to be reviewed is edited by id: in each document the first entry with the id takes the text."""
+    cat = catalogue(spark, base, "doc_path lang ord id source target status")
+    return C.edited(cat, _edits(cat)).select("pair_id", "target", "status")
+
+
+@query(f"""with {CAT}, {EDITS}, hit as (select c.pair_id, e.target from cat c join edits e on e.lang = c.lang and e.id = c.id qualify row_number() over (partition by c.doc_path, c.lang, c.id order by c.ord) = 1)
+select c.pair_id, case when h.pair_id is null then c.target else h.target end as target, case when h.pair_id is null then c.status else 'translated' end as status from cat c left join hit h using (pair_id)""")
+def catalog_after_updates(spark: SparkSession, base: str) -> DataFrame:
+    cat = catalogue(spark, base, "doc_path lang ord id source target status")
+    return C.with_edits(cat, _edits(cat)).select("pair_id", "target", "status")
+
+
+@query(f"""with {CAT}, gaps as (select *, row_number() over (partition by doc_path, lang order by ord) - 1 as rn from (select *,
+coalesce(last_value(case when not coalesce(frozen, false) then source end ignore nulls) over (partition by doc_path, lang order by ord rows between unbounded preceding and 1 preceding), '') as prev_source,
+coalesce(first_value(case when not coalesce(frozen, false) then source end ignore nulls) over (partition by doc_path, lang order by ord rows between 1 following and unbounded following), '') as next_source from cat)
+where not coalesce(frozen, false) and coalesce(target, '') = '' and source <> '')
+select doc_path, lang, (rn // 20)::int as batch, sha256(to_json({{'items': list({{'id': id, 'kind': kind, 'source': source, 'prev_source': prev_source, 'next_source': next_source}} order by ord)}})) as payload from gaps group by all""")
 def prompt_payloads(spark: SparkSession, base: str) -> DataFrame:
-    return P.payloads(catalogue(spark, base, "doc_path lang ord id kind frozen source target"), ["doc_path", "lang"])
+    made = P.payloads(catalogue(spark, base, "doc_path lang ord id kind frozen source target"), ["doc_path", "lang"])
+    return made.withColumn("payload", F.sha2("payload", 256))
 
 
 @query("""with d as (select path, sha256(coalesce(text, '')) as hash, fetched_at from documents where path is not null), lim as (select timestamp '2025-01-01' as t)

@@ -3,59 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verbaloom.operators import terms as O
 from verbaloom.plans.common import CAT, catalogue, query
 from verbaloom.session import table
 
-#: Word ends differ beyond ASCII between the engines, so these queries keep to ASCII texts, whole.
-PHRASE = r"\b([A-Z][\w-]+(?:\s+[A-Z][\w-]+){1,4})\b"
-WORD = r"\b[A-Za-z][A-Za-z0-9_-]{2,}\b"
-STOP = ", ".join(f"'{w}'" for w in O.STOP)
-SCORES = rf"""a as (select doc_id, text from documents where regexp_full_match(text, '(?s)[\x00-\x7f]*')),
-ph as (select trim(unnest(regexp_extract_all(text, '{PHRASE}', 1))) as term from a),
-wo as (select unnest(regexp_extract_all(text, '{WORD}', 0)) as term from a),
-al as (select term, 3 as score from ph where length(term) > 4 union all
-  select term, 1 + case when regexp_matches(substring(term, 2), '[A-Z]') then 2 else 0 end + case when term = upper(term) and term <> lower(term) then 2 else 0 end + case when regexp_matches(term, '[-_]') then 1 else 0 end + case when length(term) > 10 then 1 else 0 end from wo where lower(term) not in ({STOP})),
-sc as (select term, sum(score)::bigint as score from al group by term)"""
-
-
-def _ascii(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-
-
-@query(f"with {SCORES} select * from sc")
+@query()
 def term_scores(spark: SparkSession, base: str) -> DataFrame:
-    return O.term_scores(_ascii(spark, base), "text")
+    """Every document. Ends of words beyond ASCII have no counterpart in DuckDB, so these three are tested against brute force."""
+    return O.term_scores(table(spark, base, "documents"), "text")
 
 
-@query(f"with {SCORES} select * from (select * from sc order by score desc, term limit 80) where score >= 5")
+@query()
 def term_topk(spark: SparkSession, base: str) -> DataFrame:
     return O.top_terms(term_scores(spark, base), 80, 5)
 
 
-@query(f"with {SCORES}, t as (select lower(term) as low, max({{'score': score, 'term': term}}) as b from sc group by 1) select b.term as source, '' as target, 'candidate score ' || b.score as note from t where low not in (select lower(source) from glossary where source is not null)")
+@query()
 def glossary_new_terms(spark: SparkSession, base: str) -> DataFrame:
     return O.new_terms(term_scores(spark, base), table(spark, base, "glossary"))
 
 
-@query()
-def term_scores_whole(spark: SparkSession, base: str) -> DataFrame:
-    """The terms of every document, as are the next two; term_scores, term_topk and glossary_new_terms only compare with SQL, on ASCII texts."""
-    return O.term_scores(table(spark, base, "documents"), "text")
-
-
-@query()
-def term_topk_whole(spark: SparkSession, base: str) -> DataFrame:
-    return O.top_terms(term_scores_whole(spark, base), 80, 5)
-
-
-@query()
-def glossary_new_terms_whole(spark: SparkSession, base: str) -> DataFrame:
-    return O.new_terms(term_scores_whole(spark, base), table(spark, base, "glossary"))
-
-
 RELEVANT = f"""with {CAT}, g as (select distinct source, coalesce(target, '') as target, coalesce(note, '') as note, regexp_replace(lower(source), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g') as k from glossary where source <> ''),
 c as (select pair_id, ' ' || regexp_replace(lower(coalesce(source, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g') || ' ' as t, lower(coalesce(source, '')) as low from cat)
 select c.pair_id, g.source, g.target, g.note from c join g on contains(c.t, ' ' || g.k || ' ') and contains(c.low, lower(g.source))"""

@@ -87,6 +87,15 @@ def memory_sqlite(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{c} {'double' if c == 'updated_at' else 'string'}" for c in columns))
 
 
+def migrated(memory: DataFrame) -> DataFrame:
+    """A memory in all eleven columns of the second version: those that an older one lacks are added with their defaults."""
+    defaults = {
+        "source_key": T.source_key(F.col("source")), "source": F.lit(""), "target": F.lit(""), "lang": F.lit("de"), "kind": F.lit(""), "segment_id": F.lit(""), "status": F.lit("translated"),
+        "updated_at": F.lit(None).cast("timestamp"), "meta_json": F.lit("{}"), "embedding": F.lit(None).cast("array<float>"), "embedding_backend": F.lit(None).cast("string"),
+    }
+    return memory.select(*[F.col(c) if c in memory.columns else d.alias(c) for c, d in defaults.items()])
+
+
 def glossary(spark: SparkSession, path: str) -> DataFrame:
     """(source, target, note) of glossaries that are a list or have ``terms``; ``term`` stands for ``source``."""
     term = "array<struct<source:string,term:string,target:string,note:string>>"
@@ -101,9 +110,28 @@ def gettext(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path, "*.po")
 
 
+def find_root(start: str, marker: str = ".verbaloom.json") -> str:
+    """The nearest folder from ``start`` upwards that holds the marker; ``start`` itself if none does."""
+    here = Path(start).resolve()
+    return str(next((p for p in (here, *here.parents) if (p / marker).exists()), here))
+
+
+def scaffold(root: str, marker: str = ".verbaloom.json", force: bool = False) -> list[str]:
+    """Lay out a new project: folders, settings, a document and a glossary. What is there stays unless ``force``; the files written."""
+    base, written = Path(root), []
+    for folder in ("docs", "build", "locales/de", "locales/en"):
+        (base / folder).mkdir(parents=True, exist_ok=True)
+    first = {marker: json.dumps(config("")), "docs/index.md": "# Start\n\nFirst text.\n", "locales/glossary.json": json.dumps({"version": 1, "terms": []})}
+    for name, text in first.items():
+        if force or not (base / name).exists():
+            (base / name).write_text(text, encoding="utf-8")
+            written.append(name)
+    return written
+
+
 def config(path: str, defaults: dict | None = None) -> dict:
     """A flat JSON object over the defaults."""
-    own = json.loads(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else {}
+    own = json.loads(Path(path).read_text(encoding="utf-8")) if path and Path(path).exists() else {}
     return {"source_dir": "docs", "build_dir": "build", "locales_dir": "locales", "default_lang": "de", "langs": ["de", "en"]} | (defaults or {}) | own
 
 
@@ -118,3 +146,12 @@ def at_branch(root: str, branch: str, name: str) -> str | None:
     """A file's text on another branch."""
     run = subprocess.run(["git", "-C", root, "show", f"{branch}:{name}"], capture_output=True, text=True, check=False)
     return run.stdout if run.returncode == 0 else None
+
+
+def json_at_branch(root: str, branch: str, name: str) -> object | None:
+    """A JSON file as it is on another branch; None if it isn't there or isn't JSON."""
+    text = at_branch(root, branch, name)
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None

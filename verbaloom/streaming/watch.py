@@ -17,20 +17,35 @@ def revisions_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return raw.withColumn("revised_at", F.col("revised_at").cast("timestamp"))
 
 
-def latest_state(stream: DataFrame, root: str, checkpoint: str, keys: list[str], by: list[str]) -> StreamingQuery:
-    """Keep the last row by key in a versioned table; every micro-batch is reduced before it is merged.
+def _deltas(spark: SparkSession, root: str) -> list[str]:
+    fs, hadoop = sinks._fs(spark, root)
+    return sorted(str(f.getPath()) for f in fs.globStatus(hadoop(f"{root}/delta/*/_SUCCESS")) or [])
 
-    A batch that is run again after a failure gives the same table, since the last row wins.
+
+def state(spark: SparkSession, root: str, keys: list[str], by: list[str]) -> DataFrame:
+    """The last row by key of a table kept by ``latest_state``: its newest version and the batches since then."""
+    parts = [*([now] if (now := sinks.current(spark, root)) else []), *(d.rsplit("/", 1)[0] for d in _deltas(spark, root))]
+    return latest(spark.read.parquet(*parts), keys, by)
+
+
+def latest_state(stream: DataFrame, root: str, checkpoint: str, keys: list[str], by: list[str], compact: int = 32) -> StreamingQuery:
+    """Keep the last row by key: every micro-batch is reduced and written beside the table, under its number.
+
+    After ``compact`` batches table and batches become a new version, so what a batch costs doesn't grow with the table.
+    A batch that is run again after a failure writes the same folder, and rows that come twice change nothing, as the last one wins.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = sinks.current(spark, root)
-        new = latest(batch, keys, by)
-        whole = new if now is None else new.unionByName(spark.read.parquet(now))
-        sinks.write_version(latest(whole, keys, by), root)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        latest(batch, keys, by).write.mode("overwrite").parquet(f"{root}/delta/{number:020d}")
+        done = _deltas(spark, root)
+        if len(done) >= compact:
+            sinks.write_version(state(spark, root, keys, by), root)
+            fs, hadoop = sinks._fs(spark, root)
+            for d in done:
+                fs.delete(hadoop(d.rsplit("/", 1)[0]), True)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def revision_counts(stream: DataFrame, late: str = "2 days", window: str = "1 day") -> DataFrame:
