@@ -84,3 +84,11 @@ def test_empty_and_long(spark):
     long = " ".join(WORDS * 100)
     two = spark.createDataFrame([(1, long), (2, long + " tail")], "id long, t string")
     assert Z.duplicate_pairs(two, "id", ["t"]).count() == 1
+
+
+def test_crowded_keys_are_divided_without_a_loss(spark):
+    rows = [r for r in corpus(90, 4)]
+    df = spark.createDataFrame(rows, "id long, text string, target string")
+    whole = {tuple(r) for r in Z.duplicate_pairs(df, "id", ["text", "target"]).collect()}
+    assert whole and whole == {tuple(r) for r in Z.duplicate_pairs(df, "id", ["text", "target"], crowd=2).collect()}
+    assert whole == {tuple(r) for r in Z.duplicate_pairs(df, "id", ["text", "target"], crowd=1, small=0).collect()}

@@ -6,7 +6,8 @@ each bit from one weighted min-hash, and one more min-hash in full. The perfect
 which it and its 23 neighbours at distance one decode (six or one). Two segments that differ in at
 most two bits then share a key. A pair whose errors are spread over all segments has, by the
 pigeonhole principle, segments with few of them, so several tables find it. Records that share a key
-and the full min-hash are candidates; a comparison of 64 fingerprint bits thins them out, and the
+and the full min-hash are candidates, so that what is found is a matter of chance, table by table: a pair
+of similarity s shares the full min-hash of a table with chance s, weights aside; a comparison of 64 fingerprint bits thins them out, and the
 words of the rest are compared exactly.
 
 Words found in more than ``common`` of the records weigh less. There are at most (mean number of
@@ -139,11 +140,12 @@ def common_words(text: Column, records: DataFrame, common: float) -> dict[str, i
 
 
 def near_duplicates(records: DataFrame, id_col: str, text_cols: list[str], threshold: tuple[int, int] = (4, 5),
-                    tables: int = 6, common: float = 0.002, differ: int = 17) -> tuple[DataFrame, DataFrame]:
+                    tables: int = 6, common: float = 0.002, differ: int = 17, crowd: int = 2048, small: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(id, class) of every record with words, and (class_a, class_b, common_words, all_words) of linked classes.
 
     threshold: least share of common words in all words of two multisets, as a fraction. differ: the
-    most of 64 fingerprint bits in which candidates differ. Null columns count as empty; records without
+    most of 64 fingerprint bits in which candidates differ. crowd: classes of a key that one task compares with each other;
+    small: most divided keys that are broadcast (16 bytes each). Neither changes the result. Null columns count as empty; records without
     any word belong to no class; a record delivered twice counts once; other columns are not read.
     """
     spark = records.sparkSession
@@ -170,11 +172,23 @@ def near_duplicates(records: DataFrame, id_col: str, text_cols: list[str], thres
                 yield pd.DataFrame({"key": (t << 32) | (word << 20) | (segs[row, t] & 0xFFFFF), "cls": pdf.cls.to_numpy()[row], "n": pdf.n.to_numpy()[row], "sketch": pdf.sketch.to_numpy()[row]})
 
     keyed = marked.dropDuplicates(["cls"]).select("cls", "n", "sketch", "segs").mapInPandas(keys, "key long, cls long, n int, sketch long")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= differ)
+    # A key that many classes share is divided into blocks, each pair of which is compared by itself: no task holds the whole key.
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > crowd)
+    crowded = checkpointed(crowded.select("key", F.ceil(F.col("held") / crowd).cast("int").alias("blocks")))
+    number = crowded.count()
+    if number:
+        keyed = keyed.join(F.broadcast(crowded) if number <= small else crowded, "key", "left")
+        keyed = keyed.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+        left = keyed.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)")))
+        right = keyed.withColumn("other", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, other)")))
+    else:
+        left = right = keyed.withColumns({"block": F.lit(0), "other": F.lit(0)})
+    a, b = left.alias("a"), right.alias("b")
+    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.other") == F.col("b.other"))
+    close &= ((F.col("a.block") < F.col("a.other")) | (F.col("a.cls") < F.col("b.cls"))) & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= differ)
     # Multisets this similar differ in size by no more than the threshold allows; that loses nothing.
     close &= F.least("a.n", "b.n") * threshold[1] >= F.greatest("a.n", "b.n") * threshold[0]
-    candidates = checkpointed(a.join(b, close).select(F.col("a.cls").alias("class_a"), F.col("b.cls").alias("class_b")).distinct())
+    candidates = checkpointed(a.join(b, close).select(F.least("a.cls", "b.cls").alias("class_a"), F.greatest("a.cls", "b.cls").alias("class_b")).distinct())
 
     ends = candidates.select(F.explode(F.array("class_a", "class_b")).alias("cls")).distinct()
     one = members.join(ends, "cls").groupBy("cls").agg(F.min("id").alias("id"))
