@@ -193,7 +193,7 @@ def places(made: list[tuple[int, tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "start", "container", "each", "capacity"]).sort_values(["length", "start"], ignore_index=True)
 
 
-def pack(texts: DataFrame, id_col: str, text_col: str, capacities: list[int], vocabulary: str | None = None, salts: int = 32) -> DataFrame:
+def pack(texts: DataFrame, id_col: str, text_col: str, capacities: list[int], vocabulary: str | None = None, task: int = 50_000) -> DataFrame:
     """(doc_id, part, first_token, tokens, container_id, capacity): the place of every text.
 
     A text longer than the largest capacity is split into full containers and a rest; no other text is. A
@@ -210,8 +210,10 @@ def pack(texts: DataFrame, id_col: str, text_col: str, capacities: list[int], vo
     counted = checkpointed(token_counts(texts, id_col, text_col, vocabulary).groupBy("id").agg(F.max("tokens").alias("tokens")))
     parts = counted.filter("tokens > 0").select(F.col("id").alias("doc_id"), "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / largest))).alias("part"))
     parts = parts.select("doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * largest).alias("first_token"), F.least(F.lit(largest), F.col("tokens") - F.col("part") * largest).cast("long").alias("tokens"))
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
-    # (length, salt) groups: at most largest * salts rows on the driver, however many texts there are.
+    # Numbers within a length are given out by (length, salt), about ``task`` parts to one, so the salts of a length grow with its count.
+    # By length there are at most ``largest`` rows, which bounds the broadcast; groups are as many, plus parts / task.
+    ways = parts.groupBy("tokens").agg(F.ceil(F.count("*") / task).cast("int").alias("ways"))
+    parts = parts.join(F.broadcast(ways), "tokens").withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), "ways").cast("int")).drop("ways")
     groups = parts.groupBy("tokens", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["tokens", "salt"], ignore_index=True)
     groups["before"] = groups.groupby("tokens").n.cumsum() - groups.n if len(groups) else pd.Series(dtype="int64")
     made = plan({int(k): int(v) for k, v in groups.groupby("tokens").n.sum().items()}, capacities)
@@ -220,14 +222,14 @@ def pack(texts: DataFrame, id_col: str, text_col: str, capacities: list[int], vo
     caps = np.array(sorted(set(capacities)))
     fit = {c: int(caps[np.searchsorted(caps, w)]) for c, w in zip(np.cumsum([0, *(n for *_, n in made)])[:-1].tolist(), load.tolist(), strict=True)}
     table["capacity"] = table.container.map(fit)
-    first = (groups.tokens.to_numpy(np.int64) * salts + groups.salt.to_numpy(np.int64), groups.before.to_numpy(np.int64))
+    first = ((groups.tokens.to_numpy(np.int64) << 32) + groups.salt.to_numpy(np.int64), groups.before.to_numpy(np.int64))
     runs = (table.length.to_numpy(np.int64) << 40) + table.start.to_numpy(np.int64)
     shared = spark.sparkContext.broadcast((*first, runs, *(table[c].to_numpy(np.int64) for c in ("start", "container", "each", "capacity"))))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, before, run, start, container, each, capacity = shared.value
         for pdf in batches:
-            number = before[np.searchsorted(keys, pdf.tokens.to_numpy() * salts + pdf.salt.to_numpy())] + pdf.number.to_numpy() - 1
+            number = before[np.searchsorted(keys, (pdf.tokens.to_numpy(np.int64) << 32) + pdf.salt.to_numpy())] + pdf.number.to_numpy() - 1
             k = np.searchsorted(run, (pdf.tokens.to_numpy() << 40) + number, side="right") - 1
             yield pd.DataFrame({"doc_id": pdf.doc_id, "part": pdf.part, "first_token": pdf.first_token, "tokens": pdf.tokens, "container_id": container[k] + (number - start[k]) // each[k], "capacity": capacity[k]})
 
