@@ -48,3 +48,13 @@ def test_twelve_words_exactly(spark):
     assert sorted(r.doc_id for r in K.leaks(docs, "doc_id", "text", idf, "item_id", "text").collect()) == [1, 3]
     assert K.leaks(docs, "doc_id", "text", idf.limit(0), "item_id", "text").count() == 0
     assert K.leaks(docs.limit(0), "doc_id", "text", idf, "item_id", "text").count() == 0
+
+
+def test_cuts_where_lower_case_changes_the_length(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    text = f"İstanbul İzmir test {passage} end"
+    words, spans = K.placed_words(text)
+    assert words == K.words_of(text) and [text[a:b] for a, b in spans][-2:] == ["w11", "end"]
+    docs, items = spark.createDataFrame([(1, text), (2, None), (3, "İ")], "doc_id long, text string"), spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = {r.doc_id: (r.clean, r.removed_words) for r in K.remove_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
+    assert got == {1: ("İstanbul İzmir test  end", 12), 2: (None, 0), 3: ("İ", 0)}

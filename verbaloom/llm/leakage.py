@@ -25,6 +25,20 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def placed_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text in lower case and where each stands in it, also where lower case is longer than the text."""
+    low = text.lower()
+    if len(low) == len(text):
+        found = [(m.group(), m.span()) for m in WORD.finditer(low)]
+    else:
+        size = [len(c.lower()) for c in text]
+        if sum(size) != len(low):  # a sign whose lower case depends on its neighbours keeps its length
+            low = "".join(c.lower() for c in text)
+        owner = [i for i, n in enumerate(size) for _ in range(n)]
+        found = [(m.group(), (owner[m.start()], owner[m.end() - 1] + 1)) for m in WORD.finditer(low)]
+    return [w for w, _ in found], [s for _, s in found]
+
+
 class Passages:
     """The n-grams of the items: by rolling hash, the items and places where each begins."""
 
@@ -45,13 +59,13 @@ class Passages:
         spread ^= spread >> np.uint64(31)
         return (np.lib.stride_tricks.sliding_window_view(spread, self.n) * self.powers).sum(axis=1, dtype=np.uint64)
 
-    def numbers(self, text: str) -> np.ndarray:
+    def numbers(self, words: list[str]) -> np.ndarray:
         get = self.number.get
-        return np.array([get(w, 0) for w in WORD.findall(text.lower())], np.int64)
+        return np.array([get(w, 0) for w in words], np.int64)
 
-    def hits(self, text: str | None) -> set[tuple[int, int]]:
-        """(item, place of the passage's first word in the text) for every verified n-gram."""
-        ids = self.numbers(text) if text else np.zeros(0, np.int64)
+    def hits(self, words: list[str]) -> set[tuple[int, int]]:
+        """(item, place of the passage's first word among the text's words) for every verified n-gram."""
+        ids = self.numbers(words)
         if len(ids) < self.n:
             return set()
         known = np.concatenate([[0], (ids > 0).view(np.int8), [0]])
@@ -99,7 +113,7 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
                 rows = []
                 for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
                     by: dict[int, int] = defaultdict(int)
-                    for item, _ in own.hits(text):
+                    for item, _ in own.hits(words_of(text)):
                         by[item] += 1
                     rows += [(doc, item, k) for item, k in by.items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "passages"])
@@ -128,12 +142,12 @@ def remove_leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFr
         for pdf in batches:
             clean, gone = [], []
             for text in pdf.text:
-                starts = sorted({at for p in own for _, at in p.hits(text)})
+                words, spans = placed_words(text or "")
+                starts = sorted({at for p in own for _, at in p.hits(words)})
                 if not starts:
                     clean.append(text)
                     gone.append(0)
                     continue
-                spans = [m.span() for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
                 lost = np.zeros(len(spans), bool)
                 for at in starts:
                     lost[at : at + n] = True
