@@ -9,14 +9,14 @@ from verbaloom.functions import text as T
 
 #: The modules in order, the words that route an item to one, and what a module is for.
 MODULES = (
-    ("Overview", "idee ziel warum purpose overview problem mehrwert vision", "Explain the purpose, scope, and value of the material."),
-    ("Concepts", "konzept begriff definition modell semantik token intent graph", "Define the core concepts and vocabulary before implementation details."),
-    ("Architecture", "architektur pipeline system modul komponente server api datenbank sqlite", "Describe the system structure, data flow, and component boundaries."),
-    ("Workflow", "workflow ablauf prozess schritt command befehl powershell bash cli", "Describe the operational flow as reproducible steps."),
-    ("Implementation", "implementierung code python klasse funktion parser renderer provider", "Turn implementation notes into concrete technical guidance."),
-    ("Quality Assurance", "qa test lint prüfung validierung review status ci dashboard", "Capture validation, review, automation, and CI expectations."),
-    ("Operations", "deployment|betrieb|installation|config|umgebung|key|modell|lm studio|gemini", "Describe setup, configuration, runtime, and operational concerns."),
-    ("Risks and Open Questions", "risiko frage unklar todo offen problem limitation fehler", "Make uncertainty explicit instead of inventing missing facts."),
+    ("Overview", ("idee", "ziel", "warum", "purpose", "overview", "problem", "mehrwert", "vision"), "Explain the purpose, scope, and value of the material."),
+    ("Concepts", ("konzept", "begriff", "definition", "modell", "semantik", "token", "intent", "graph"), "Define the core concepts and vocabulary before implementation details."),
+    ("Architecture", ("architektur", "pipeline", "system", "modul", "komponente", "server", "api", "datenbank", "sqlite"), "Describe the system structure, data flow, and component boundaries."),
+    ("Workflow", ("workflow", "ablauf", "prozess", "schritt", "command", "befehl", "powershell", "bash", "cli"), "Describe the operational flow as reproducible steps."),
+    ("Implementation", ("implementierung", "code", "python", "klasse", "funktion", "parser", "renderer", "provider"), "Turn implementation notes into concrete technical guidance."),
+    ("Quality Assurance", ("qa", "test", "lint", "prüfung", "validierung", "review", "status", "ci", "dashboard"), "Capture validation, review, automation, and CI expectations."),
+    ("Operations", ("deployment", "betrieb", "installation", "config", "umgebung", "key", "modell", "lm studio", "gemini"), "Describe setup, configuration, runtime, and operational concerns."),
+    ("Risks and Open Questions", ("risiko", "frage", "unklar", "todo", "offen", "problem", "limitation", "fehler"), "Make uncertainty explicit instead of inventing missing facts."),
 )
 #: How questions begin, and parts of words that tell risks and steps.
 QUESTIONS = ("wie ", "was ", "warum ", "wann ", "welche ", "wer ", "where ", "how ", "what ", "why ")
@@ -33,10 +33,6 @@ DEFAULT_TITLE = "Generated Technical Documentation"
 LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085  ]"
 
 
-def keywords(words: str) -> list[str]:
-    return words.split("|") if "|" in words else words.split()
-
-
 def _any(text: Column, parts) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -102,7 +98,7 @@ def routed(found: DataFrame) -> DataFrame:
     default item enters the overview while it has room, and no item leaves it.
     """
     low = F.lower("text")
-    scores = [(name, sum((F.contains(low, F.lit(k)).cast("int") for k in keywords(words)), F.lit(0))) for name, words, _ in MODULES]
+    scores = [(name, sum((F.contains(low, F.lit(k)).cast("int") for k in words), F.lit(0))) for name, words, _ in MODULES]
     best = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("o")) for i, (_, s) in enumerate(scores)])
     names = F.array(*[F.lit(n) for n, _ in scores])
     shaped = (

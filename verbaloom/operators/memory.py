@@ -131,6 +131,8 @@ def _meeting(q: DataFrame, m: DataFrame, share: float, length_share: float) -> D
         rare = _rare_words(both, "i", share)
         side = lambda tag, name: rare.filter(F.startswith("i", F.lit(tag))).select(F.substring("i", 2, 40).cast("long").alias(name), "lang", "word")
         return side("q", "query_id").join(side("m", "entry_id"), ["lang", "word"]).select("query_id", "entry_id").distinct()
+    if length_share <= 0:  # nothing bounds the score, so all of a language meet
+        return q.select("query_id", "lang").join(m.select("entry_id", "lang"), "lang").select("query_id", "entry_id")
     left = q.select("query_id", "lang", F.explode(F.array(*(length_bucket(F.length("norm"), length_share) + d for d in (-1, 0, 1)))).alias("bucket"))
     return left.join(m.select("entry_id", "lang", length_bucket(F.length("norm"), length_share).alias("bucket")), ["lang", "bucket"]).select("query_id", "entry_id")
 
@@ -146,7 +148,7 @@ def _joined(pairs: DataFrame, q: DataFrame, m: DataFrame) -> DataFrame:
 
 def _by_words(q: DataFrame, m: DataFrame, least: float) -> DataFrame:
     """(query_id, entry_id) whose words and lengths allow the lexical score; nothing that reaches it is lost."""
-    length_share = max(0.05, S.shortest_for_lexical(least))
+    length_share = S.shortest_for_lexical(least)
     share = max(0.0, (least - 5e-5 - S.RATIO_SHARE) / S.JACCARD_SHARE)
     rows = _joined(_meeting(q, m, share, length_share), q, m)
     short, long = F.least(F.length("q_norm"), F.length("norm")), F.greatest(F.length("q_norm"), F.length("norm"))

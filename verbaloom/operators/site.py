@@ -24,7 +24,8 @@ def index(documents: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def search(pages: DataFrame, query: str, k: int = HITS) -> DataFrame:
-    """The first k pages, in the index's order, whose title or text holds the query, whatever its case."""
+    """The first k pages, in the index's order, whose title or text holds the query, whatever its case; of a page that comes twice the first."""
     held = F.contains(F.lower(F.concat_ws(" ", "title", "text")), F.lit(query.lower()))
-    once = pages.dropDuplicates(["source"])
+    first = F.min(F.struct("page_order", "title", "url", "text")).alias("p")
+    once = pages.groupBy("source").agg(first).select("source", "p.*")
     return once.filter(held).orderBy("page_order", "title", "source").limit(k).select("source", "title", "url", "page_order")

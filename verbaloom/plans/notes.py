@@ -30,7 +30,7 @@ def _has(column: str, parts) -> str:
 
 QUESTION = "(contains(text, '?') or " + " or ".join(f"starts_with(lower(trim(text)), '{q}')" for q in O.QUESTIONS) + ")"
 RISK, STEP = _has("text", O.RISKS), _has("text", O.STEPS)
-SCORE = [" + ".join(f"contains(lower(text), '{k}')::int" for k in O.keywords(words)) for _, words, _ in O.MODULES]
+SCORE = [" + ".join(f"contains(lower(text), '{k}')::int" for k in words) for _, words, _ in O.MODULES]
 BEST = "greatest(" + ", ".join(f"({s}) * 10 + {8 - i}" for i, s in enumerate(SCORE)) + ")"
 NAMES = "[" + ", ".join(f"'{n}'" for n, *_ in O.MODULES) + "]"
 ROUTED = f"""{ITEMS}, sc as (select *, {BEST} as best from items),
