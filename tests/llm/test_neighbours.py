@@ -107,3 +107,14 @@ def test_segments_that_hold_too_many_are_divided(spark):
     f.split = [{f.places(x, np.arange(1000))[0][0][-1]: 700}]
     parts = np.unique(f.places(x, np.arange(1000))[0][0])
     assert any("." in p for p in parts)
+
+
+def test_recall_holds_as_a_collection_grows(spark):
+    """Ten times the vectors in as many clusters; fixed sizes find too little."""
+    g = np.random.default_rng(6)
+    x = np.concatenate([c + g.standard_normal((800, DIM)) * 0.3 for c in g.standard_normal((10, DIM))])
+    best = brute(x, 5)
+    for usual, held in ((100, True), (len(x), False)):
+        got = N.nearest(frame(spark, x), "entry_id", "vec", k=5, dim=DIM, block=48, segment=512, sample=512, usual=usual).collect()
+        hits = sum(r.neighbour in best[r.id] for r in got)
+        assert (hits >= 0.9 * 5 * len(x)) == held, (usual, hits / 5 / len(x))

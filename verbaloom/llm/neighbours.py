@@ -13,7 +13,9 @@ is compared with the run by a matrix product, and the trees' candidates are merg
 The sample (``sample`` vectors, chosen by a hash of their id) fits hyperplanes and foresees sizes only; equal vectors
 in it count as one when hyperplanes are fitted. Sizes of segments are counted over all vectors, and one beyond four
 times its size is divided by further bits of its strings, and where three times that doesn't help (copies of one vector)
-by the ids, as in any part the other copies are as near. Work is n * block * trees, whatever the size of the collection.
+by the ids, as in any part the other copies are as near. Work is n * block * trees. As a collection grows, more vectors lie
+about as near as the nearest: beyond ``usual`` vectors block and segment grow with the fourth root of their number, the
+sample with its square root, so work grows with the power 1.25.
 """
 
 from __future__ import annotations
@@ -231,8 +233,14 @@ class Forest:
         return out
 
 
+def grown(total: int, block: int, segment: int, sample: int, usual: int) -> tuple[int, int, int]:
+    """block, segment and sample for a collection of ``total`` vectors; they are meant for ``usual``."""
+    times = max(1.0, total / usual)
+    return round(block * times**0.25), round(segment * times**0.25), round(sample * times**0.5)
+
+
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, trees: int = 4,
-            block: int = 768, segment: int = 8192, sample: int = 16384) -> DataFrame:
+            block: int = 768, segment: int = 8192, sample: int = 16384, usual: int = 80_000) -> DataFrame:
     """(id, neighbour, cosine, rank) for every usable vector, rank 1 to k.
 
     Unusable vectors (null, another length, a null or non-finite value, all zero) are left out.
@@ -242,9 +250,11 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & usable("vec", dim))
     total = base.count()
+    block, segment, sample = grown(total, block, segment, sample, usual)
     some = hash_sample(base, "id", sample, total).toPandas().drop_duplicates("id").sort_values("id")
     scale = total / max(1, len(some))
-    different, weight = np.unique(_unit(some.vec, dim).round(5), axis=0, return_counts=True)
+    parts = [_unit(some.vec.iloc[lo : lo + 8192], dim).round(5) for lo in range(0, max(1, len(some)), 8192)]
+    different, weight = np.unique(np.concatenate(parts), axis=0, return_counts=True)
     forest = Forest([Tree(different, weight, 32, 17 + t) for t in range(trees)] if len(some) else [], scale, block, segment)
     while forest.trees:
         shared = spark.sparkContext.broadcast(forest)
