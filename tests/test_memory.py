@@ -175,3 +175,25 @@ def test_the_dashboard_shows_shares(spark):
     page = C.dashboard(pages, "de")
     assert "a&lt;b" in page and "<dd>25.0%</dd>" in page and "<dd>50.0%</dd>" in page and "<dt>QA warnings</dt><dd>3</dd>" in page and "value='25.0'" in page
     assert "0.0%" in C.dashboard(pages.limit(0), "de")
+
+
+def written(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_searches_never_shuffle_pairs(spark):
+    """All texts of a language share most words, so nearly all pairs meet; what is written follows the rows."""
+    r = random.Random(8)
+    words = "the a red green house tree saves opens reads file page list".split()
+    texts = [(i, " ".join(r.sample(words, 6)), "de", 1) for i in range(1500)]
+    mem = spark.createDataFrame(texts, "entry_id long, source string, lang string, updated_at int")
+    q = mem.filter("entry_id % 4 = 0").withColumnRenamed("entry_id", "query_id")
+    vector = S.hashed_vectors("source")
+    for search in (
+        lambda: M.by_words(mem, 1, 3, every=4),
+        lambda: M.fuzzy_lexical(q, mem, 0.82, 3),
+        lambda: M.fuzzy_hybrid(q.withColumn("vector", vector), mem.withColumn("vector", vector), 0.82, 3),
+    ):
+        before = written(spark)
+        assert search().count() > 400
+        assert written(spark) - before < 1_500_000, written(spark) - before
