@@ -197,3 +197,25 @@ def test_searches_never_shuffle_pairs(spark):
         before = written(spark)
         assert search().count() > 400
         assert written(spark) - before < 1_500_000, written(spark) - before
+
+
+def test_bounds_of_the_matcher_hold_and_are_close(spark):
+    """No pair matches more than its bounds, also in long texts with frequent characters; most unlike pairs never reach difflib."""
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(5)
+    words = "der die das und Öffnen speichern Übersicht Datei lesen schreiben Wörter x y kenortana `a/b.md` 82 Minuten the file reads lines".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) for _ in range(80)]
+    texts += [t[:k] + "qq" + t[k:] for t in texts for k in [r.randrange(len(t))]] + ["a" * 250, "ab" * 150, "a" * 199]
+    s = pd.Series(texts)
+    signs, pairs, anchors, l = M._sign_bins(s), M._bigram_bins(s), M._sign_bins(pd.Series([M._anchors(t) for t in texts])), np.array([len(t) for t in texts])
+    left = 0
+    for j, v in enumerate(texts):
+        most = M.most_matching((signs[j], pairs[j]), (signs, pairs, anchors), len(v), l)
+        masks = {c: sum(1 << k for k, x in enumerate(v) if x == c) for c in set(v)}
+        for i, t in enumerate(texts):
+            real = sum(b.size for b in difflib.SequenceMatcher(None, v, t).get_matching_blocks())
+            assert real <= most[i] and real <= M._common(masks, len(v), t)
+            left += 2 * min(most[i], M._common(masks, len(v), t)) >= 0.75 * (len(v) + len(t))
+    assert left < 0.1 * len(texts) ** 2
