@@ -203,3 +203,16 @@ def test_states_of_every_language(spark, rows, tmp_path):
 def test_states_of_all_pairs(spark, rows):
     same_states(spark, rows, BASE)
     assert rows(QUERIES["id_reuse_greedy"](spark, BASE).select("doc_path", "lang", "ord", "id", "status")) == plain_ids(pairs(spark, BASE))
+
+
+@here
+def test_writers_weigh_pages_one_by_one(spark, tmp_path):
+    """A writer ends a group of rows by their size, also where fewer than 100 pages fill it."""
+    import pyarrow.parquet as pq
+
+    to = tmp_path / "pages"
+    pages = QUERIES["site_pages"](spark, BASE).coalesce(1)
+    pages.write.option("parquet.block.size", 4096).option("compression", "uncompressed").parquet(str(to))
+    (made,) = to.glob("*.parquet")
+    meta = pq.ParquetFile(made).metadata
+    assert 4 < meta.num_rows < 100 and meta.num_row_groups > 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verbaloom.functions import text as T
 from verbaloom.operators import exchange as O
 from verbaloom.plans.common import CAT, catalogue, html, po, query
-from verbaloom.session import table
+from verbaloom.session import table, weighed
 
 KEYS = ["doc_path", "lang"]
 OPEN = f"{CAT}, op as (select * from cat where not coalesce(frozen, false))"
@@ -155,7 +155,8 @@ def render_html(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def site_pages(spark: SparkSession, base: str) -> DataFrame:
-    """Whole pages: navigation, contents and text."""
+    """Whole pages: navigation, contents and text. A page holds the links to all pages, megabytes on large sites."""
+    weighed(spark)
     cat = catalogue(spark, base)
     body = O.html_documents(O.shown(O.diagrams(cat)), KEYS).join(O.contents(cat.filter("id is not null"), KEYS), KEYS, "left")
     return O.page_html(body.join(F.broadcast(O.navigation(table(spark, base, "site_index")))), KEYS, F.col("nav"), F.col("toc"))
