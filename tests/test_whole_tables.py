@@ -216,3 +216,24 @@ def test_writers_weigh_pages_one_by_one(spark, tmp_path):
     (made,) = to.glob("*.parquet")
     meta = pq.ParquetFile(made).metadata
     assert 4 < meta.num_rows < 100 and meta.num_row_groups > 1
+
+
+def test_links_to_all_pages_are_stored_once_a_group(spark, tmp_path):
+    """Pages begin with the same links: a file holds them once for each group of rows, and every page is read back whole."""
+    import pyarrow.parquet as pq
+
+    base = demo(spark, tmp_path, [{"doc_path": f"d{i}", "kind": "paragraph", "target": f"Text {i}"} for i in range(100)])
+    index = [(f"d{i}", f"d{i}.html", f"Page {i * i}", i) for i in range(5000)]
+    spark.createDataFrame(index, "source string, url string, title string, page_order int").write.parquet(f"{base}/site_index.parquet")
+    pages = QUERIES["site_pages"](spark, base).coalesce(1)
+    pages.write.parquet(f"{base}/pages")
+    links = "\n".join(f'<a class="nav-link" href="/{u}">{t}</a>' for _, u, t, _ in index)
+    (made,) = tmp_path.glob("pages/*.parquet")
+    meta = pq.ParquetFile(made).metadata
+    assert [meta.row_group(g).num_rows for g in range(meta.num_row_groups)] == [64, 36]  # a reader makes whole texts of one group at once
+    assert made.stat().st_size < len(links)
+    assert sum(meta.row_group(g).column(2).total_uncompressed_size for g in range(2)) < 2.5 * len(links)
+    read = {r.doc_path: r.html for r in spark.read.parquet(f"{base}/pages").collect()}
+    assert read == {r.doc_path: r.html for r in pages.collect()} and len(read) == 100
+    assert all(links in html and f">Text {p[1:]}<" in html for p, html in read.items())
+    assert spark.conf.get("parquet.block.row.count.limit", None) is None and spark.conf.get("parquet.writer.version", None) is None

@@ -331,9 +331,10 @@ def page_html(pages: DataFrame, keys: list[str], nav: Column, toc: Column, css:
     inspect marks the page's body, so that a style sheet can point out segments.
     """
     aside = F.when(T.text_or_empty(toc) == "", "").otherwise(F.concat(F.lit('<aside class="toc"><strong>On this page</strong><ul>'), toc, F.lit("</ul></aside>")))
-    menu = F.when(T.text_or_empty(nav) == "", "").otherwise(F.concat(F.lit('<nav class="sidebar"><strong>Docs</strong>'), nav, F.lit("</nav>")))
+    around = lambda tag: F.when(T.text_or_empty(nav) == "", "").otherwise(F.lit(tag))
+    menu = [around('<nav class="sidebar"><strong>Docs</strong>'), T.text_or_empty(nav), around("</nav>")]  # beside the rest, not in a text of its own: the links may be megabytes
     head = f'<!doctype html>\n<html><head><meta charset="utf-8"><meta name="viewport" content="width=device-width,initial-scale=1"><style>{css}</style></head><body class="{"inspect" if inspect else ""}">\n'
-    body = F.concat(F.lit(head), menu, F.lit(f'{search}\n<main class="content">'), T.text_or_empty(F.col("html")), F.lit("</main>"), aside, F.lit("\n</body></html>\n"))
+    body = F.concat(F.lit(head), *menu, F.lit(f'{search}\n<main class="content">'), T.text_or_empty(F.col("html")), F.lit("</main>"), aside, F.lit("\n</body></html>\n"))
     return pages.select(*keys, body.alias("html"))
 
 

@@ -156,7 +156,7 @@ def render_html(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def site_pages(spark: SparkSession, base: str) -> DataFrame:
     """Whole pages: navigation, contents and text. A page holds the links to all pages, megabytes on large sites."""
-    weighed(spark)
+    spark = weighed(spark)
     cat = catalogue(spark, base)
     body = O.html_documents(O.shown(O.diagrams(cat)), KEYS).join(O.contents(cat.filter("id is not null"), KEYS), KEYS, "left")
     return O.page_html(body.join(F.broadcast(O.navigation(table(spark, base, "site_index")))), KEYS, F.col("nav"), F.col("toc"))
